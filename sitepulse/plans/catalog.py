@@ -40,10 +40,17 @@ ALIGNED = ["lag_24", "hour_of_day", "not_computed", "rmean_24"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles, whose last digits depend on the order of summation."""
+    """Round doubles, whose last digits depend on the order of summation.
+
+    Rounding happens on decimals with three more digits, so that a mean lying exactly between
+    two results always goes the same way.
+    """
+    exact = f"decimal(28,{digits + 3})"
     return df.select(
         *[
-            F.round(f.name, digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else f.name
+            F.round(F.col(f.name).cast(exact), digits).cast("double").alias(f.name)
+            if isinstance(f.dataType, T.DoubleType)
+            else f.name
             for f in df.schema.fields
         ]
     )

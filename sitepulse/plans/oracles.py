@@ -100,7 +100,7 @@ features AS (SELECT *, {_columns(FEATURES)} FROM hourly)"""
 
 def _r(*names: str) -> str:
     """Select names, doubles rounded."""
-    return ", ".join(f"round({n}, 6) AS {n}" if n in FLOATS else n for n in names)
+    return ", ".join(f"round(CAST({n} AS DECIMAL(28, 9)), 6)::DOUBLE AS {n}" if n in FLOATS else n for n in names)
 
 
 def _with(ctes: str, query: str) -> str:
@@ -124,7 +124,7 @@ METRIC_COLUMNS = """avg(abs(predicted - actual)) AS mae,
        THEN 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*))
        ELSE 0 END AS r2,
   count(*) AS sample_size"""
-METRIC_ROUNDED = "round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(mape, 6) AS mape, round(r2, 6) AS r2, sample_size"
+METRIC_ROUNDED = "round(CAST(mae AS DECIMAL(28, 9)), 6)::DOUBLE AS mae, round(CAST(rmse AS DECIMAL(28, 9)), 6)::DOUBLE AS rmse, round(CAST(mape AS DECIMAL(28, 9)), 6)::DOUBLE AS mape, round(CAST(r2 AS DECIMAL(28, 9)), 6)::DOUBLE AS r2, sample_size"
 
 RECORDS = f"""{NAIVE},
 records AS (SELECT timestamp, {METRIC_COLUMNS} FROM naive GROUP BY timestamp)"""
@@ -167,10 +167,10 @@ series AS (
 central AS (
   SELECT *, CASE WHEN df % 2 = 1 THEN
       2 / pi() * (theta + sin(theta) * list_sum(list_transform(range(1, df - 1, 2),
-        k -> sqrt(pi()) / 2 * exp(lgamma((k + 1) / 2) - lgamma(k / 2 + 1)) * cos(theta) ** k)))
+        lambda k: sqrt(pi()) / 2 * exp(lgamma((k + 1) / 2) - lgamma(k / 2 + 1)) * cos(theta) ** k)))
     ELSE
       sin(theta) * list_sum(list_transform(range(0, df - 1, 2),
-        k -> exp(lgamma((k + 1) / 2) - lgamma(k / 2 + 1)) / sqrt(pi()) * cos(theta) ** k))
+        lambda k: exp(lgamma((k + 1) / 2) - lgamma(k / 2 + 1)) / sqrt(pi()) * cos(theta) ** k))
     END AS inside
   FROM series),
 trends AS (
@@ -231,7 +231,7 @@ scaled AS (
   FROM effective),
 flagged AS (
   SELECT feature, n_ref, n_new, ks_statistic, mw_statistic,
-         2 * list_sum(list_transform(range(1, 101), k -> (-1) ** (k - 1) * exp(-2 * k * k * x * x)))
+         2 * list_sum(list_transform(range(1, 101), lambda k: (-1) ** (k - 1) * exp(-2 * k * k * x * x)))
            < 0.05 AS ks_drift,
          z > 1.959963984540054 AS mw_drift
   FROM scaled),
@@ -277,7 +277,7 @@ def _pairs(pairs: list[tuple[str, str]], labels: tuple[str, ...]) -> str:
     rows = []
     for pair in pairs:
         named = ", ".join(f"'{v}' AS {label}" for v, label in zip(pair, labels))
-        rows.append(f"SELECT {named}, round({_correlation(*pair)}, 6) AS correlation FROM features")
+        rows.append(f"SELECT {named}, round(CAST({_correlation(*pair)} AS DECIMAL(28, 9)), 6)::DOUBLE AS correlation FROM features")
     return " UNION ALL ".join(rows)
 
 
@@ -303,7 +303,7 @@ THREE_WAY = """CASE WHEN row_index < row_total - n_test - n_val THEN 'train'
 
 
 def _quantiles(names: dict[str, float]) -> str:
-    return ", ".join(f"round(quantile_cont(value, {p}), 6) AS {n}" for n, p in names.items())
+    return ", ".join(f"round(CAST(quantile_cont(value, {p}) AS DECIMAL(28, 9)), 6)::DOUBLE AS {n}" for n, p in names.items())
 
 
 def oracle_sql() -> dict[str, str]:
@@ -315,7 +315,7 @@ def oracle_sql() -> dict[str, str]:
         "load_sessions": _with(
             f"{STATES}, s AS (SELECT user_id % 25 + 1 AS site_id, ts AS timestamp, value AS sessions, event_id FROM events), "
             "firsts AS (SELECT *, row_number() OVER (PARTITION BY site_id, timestamp ORDER BY event_id) AS copy FROM s)",
-            "SELECT f.site_id, timestamp, round(greatest(sessions, 0), 6) AS sessions, "
+            "SELECT f.site_id, timestamp, round(CAST(greatest(sessions, 0) AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, "
             "coalesce(state, 'Unknown') AS state FROM firsts f LEFT JOIN states d ON d.site_id = f.site_id WHERE copy = 1",
         ),
         "validate_report": _with(
@@ -326,16 +326,16 @@ def oracle_sql() -> dict[str, str]:
         ),
         "dedupe_sessions": _with(
             DIRTY,
-            "SELECT site_id, timestamp, round(sessions, 6) AS sessions, event_id FROM dirty "
+            "SELECT site_id, timestamp, round(CAST(sessions AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, event_id FROM dirty "
             "QUALIFY row_number() OVER (PARTITION BY site_id, timestamp ORDER BY event_id) = 1",
         ),
         "clip_sessions": _with(
             DIRTY,
-            "SELECT site_id, timestamp, CASE WHEN sessions < 0 THEN 0.0::DOUBLE ELSE round(sessions, 6) END AS sessions, event_id FROM dirty",
+            "SELECT site_id, timestamp, CASE WHEN sessions < 0 THEN 0.0::DOUBLE ELSE round(CAST(sessions AS DECIMAL(28, 9)), 6)::DOUBLE END AS sessions, event_id FROM dirty",
         ),
         "clean_sessions": _with(
             DIRTY,
-            "SELECT site_id, timestamp, CASE WHEN sessions < 0 THEN 0.0::DOUBLE ELSE round(sessions, 6) END AS sessions, event_id "
+            "SELECT site_id, timestamp, CASE WHEN sessions < 0 THEN 0.0::DOUBLE ELSE round(CAST(sessions AS DECIMAL(28, 9)), 6)::DOUBLE END AS sessions, event_id "
             "FROM dirty QUALIFY row_number() OVER (PARTITION BY site_id, timestamp ORDER BY event_id) = 1",
         ),
         "training_rows": _with(TRAINING, f"SELECT {_r(*BASE, *FEATURES)} FROM training"),
@@ -346,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "add_state": _with(
             STATES,
-            "SELECT e.user_id % 25 + 1 AS site_id, ts AS timestamp, round(value, 6) AS sessions, event_id, "
+            "SELECT e.user_id % 25 + 1 AS site_id, ts AS timestamp, round(CAST(value AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, event_id, "
             "coalesce(state, 'Unknown') AS state FROM events e LEFT JOIN states d ON d.site_id = e.user_id % 25 + 1",
         ),
         "unmapped_sites": _with(
@@ -355,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "station_status": _with(
             f"{_hourly()}, {PLACES}, latest AS (SELECT site_id, sessions FROM hourly WHERE hour = (SELECT max(hour) FROM hourly))",
-            "SELECT CAST(p.site_id AS BIGINT) AS site_id, lat, lon, name, round(sessions, 6) AS sessions, "
+            "SELECT CAST(p.site_id AS BIGINT) AS site_id, lat, lon, name, round(CAST(sessions AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, "
             "CASE WHEN sessions > 0 THEN 'Active' ELSE 'Inactive' END AS status, "
             "CASE WHEN sessions > 0 THEN '#2ecc71' ELSE '#e74c3c' END AS color "
             "FROM places p LEFT JOIN latest l ON l.site_id = p.site_id",
@@ -369,17 +369,17 @@ def oracle_sql() -> dict[str, str]:
         "hourly_agg_dirty": _with(
             f"{STATES}, {DIRTY}",
             "SELECT s.site_id, coalesce(d.state, 'Unknown') AS state, timestamp AS hour, "
-            "round(coalesce(sum(sessions), 0), 6) AS sessions, count(sessions) AS session_count, "
-            "round(avg(sessions), 6) AS avg_sessions, min(timestamp) AS first_timestamp "
+            "round(CAST(coalesce(sum(sessions), 0) AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, count(sessions) AS session_count, "
+            "round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS avg_sessions, min(timestamp) AS first_timestamp "
             "FROM dirty s LEFT JOIN states d ON d.site_id = s.site_id GROUP BY 1, 2, 3",
         ),
         "data_summary": _with(
             DIRTY,
             'SELECT count(*) AS total_rows, count(DISTINCT site_id) AS unique_sites, min(timestamp) AS start, max(timestamp) AS "end", '
-            "round(sum(sessions), 6) AS total, round(avg(sessions), 6) AS mean, round(stddev_samp(sessions), 6) AS std, "
-            "round(min(sessions), 6) AS min, round(max(sessions), 6) AS max, "
+            "round(CAST(sum(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS total, round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean, round(CAST(stddev_samp(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS std, "
+            "round(CAST(min(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS min, round(CAST(max(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS max, "
             "count(*) - count(site_id) AS null_site_id, count(*) - count(timestamp) AS null_timestamp, "
-            "count(*) - count(sessions) AS null_sessions, round(quantile_cont(sessions, 0.5), 6) AS median FROM dirty",
+            "count(*) - count(sessions) AS null_sessions, round(CAST(quantile_cont(sessions, 0.5) AS DECIMAL(28, 9)), 6)::DOUBLE AS median FROM dirty",
         ),
         "temporal_features": _with(
             _features(), f"SELECT {_r('site_id', 'hour', *CALENDAR)} FROM features"
@@ -403,44 +403,44 @@ def oracle_sql() -> dict[str, str]:
         ),
         "state_rollup": _with(
             _hourly(25),
-            "SELECT state, count(DISTINCT site_id) AS total_stations, round(avg(sessions), 6) AS mean_sessions, "
-            "round(max(sessions), 6) AS peak_sessions FROM hourly GROUP BY state",
+            "SELECT state, count(DISTINCT site_id) AS total_stations, round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean_sessions, "
+            "round(CAST(max(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS peak_sessions FROM hourly GROUP BY state",
         ),
         "state_hour_profile": _with(
             _hourly(),
             "SELECT state, "
             + ", ".join(
-                f"round(avg(sessions) FILTER (WHERE hour(hour) = {h}), 6) AS h{h:02d}" for h in range(24)
+                f"round(CAST(avg(sessions) FILTER (WHERE hour(hour) = {h}) AS DECIMAL(28, 9)), 6)::DOUBLE AS h{h:02d}" for h in range(24)
             )
             + " FROM hourly GROUP BY state",
         ),
         "daily_by_state": _with(
             _hourly(),
-            "SELECT CAST(hour AS DATE) AS date, state, round(sum(sessions), 6) AS sessions FROM hourly "
+            "SELECT CAST(hour AS DATE) AS date, state, round(CAST(sum(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions FROM hourly "
             "WHERE CAST(hour AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' GROUP BY 1, 2",
         ),
         "daily_total": _with(
             _hourly(),
-            "SELECT CAST(hour AS DATE) AS date, round(sum(sessions), 6) AS total_sessions FROM hourly GROUP BY 1",
+            "SELECT CAST(hour AS DATE) AS date, round(CAST(sum(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS total_sessions FROM hourly GROUP BY 1",
         ),
         "demand_heatmap": _with(
             _hourly(),
             "SELECT CAST(hour(hour) AS INTEGER) AS hour_of_day, "
             + ", ".join(
-                f'round(avg(sessions) FILTER (WHERE isodow(hour) = {i}), 6) AS "{name}"'
+                f'round(CAST(avg(sessions) FILTER (WHERE isodow(hour) = {i}) AS DECIMAL(28, 9)), 6)::DOUBLE AS "{name}"'
                 for i, name in enumerate(("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"), start=1)
             )
             + " FROM hourly GROUP BY 1",
         ),
         "peak_hours": _with(
             _hourly(),
-            "SELECT CAST(hour(hour) AS INTEGER) AS hour_of_day, round(avg(sessions), 6) AS mean_sessions "
+            "SELECT CAST(hour(hour) AS INTEGER) AS hour_of_day, round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean_sessions "
             "FROM hourly GROUP BY 1 ORDER BY avg(sessions) DESC, 1 LIMIT 5",
         ),
         "weekend_weekday": _with(
             f"{_hourly()}, means AS (SELECT avg(sessions) FILTER (WHERE isodow(hour) < 6) AS weekday_avg, "
             "avg(sessions) FILTER (WHERE isodow(hour) >= 6) AS weekend_avg FROM hourly)",
-            "SELECT round(weekday_avg, 6) AS weekday_avg, round(weekend_avg, 6) AS weekend_avg, "
+            "SELECT round(CAST(weekday_avg AS DECIMAL(28, 9)), 6)::DOUBLE AS weekday_avg, round(CAST(weekend_avg AS DECIMAL(28, 9)), 6)::DOUBLE AS weekend_avg, "
             "CASE WHEN weekend_avg > weekday_avg THEN 'weekends' ELSE 'weekdays' END AS busier FROM means",
         ),
         "overview_metrics": _with(
@@ -453,8 +453,8 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "SELECT (SELECT count(DISTINCT site_id) FROM hourly) AS active_sites, "
             "(SELECT count(*) FROM (SELECT site_id FROM today EXCEPT SELECT site_id FROM before)) AS new_sites, "
             f"CAST(trunc(t.s) AS BIGINT) AS sessions_today, {pct.format('t.s', 'b.s')} AS sessions_change_pct, "
-            "round(peak.s, 6) AS peak_sessions, CAST(peak.h AS INTEGER) AS peak_hour, "
-            f"round(t.m * 100, 6) AS mean_sessions_x100, {pct.format('t.m', 'b.m')} AS mean_change_pct FROM t, b, peak",
+            "round(CAST(peak.s AS DECIMAL(28, 9)), 6)::DOUBLE AS peak_sessions, CAST(peak.h AS INTEGER) AS peak_hour, "
+            f"round(CAST(t.m * 100 AS DECIMAL(28, 9)), 6)::DOUBLE AS mean_sessions_x100, {pct.format('t.m', 'b.m')} AS mean_change_pct FROM t, b, peak",
         ),
         "feature_correlation": _with(
             _features(),
@@ -468,7 +468,7 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         "temporal_patterns": _with(
             _features(),
             " UNION ALL ".join(
-                f"SELECT '{c}' AS pattern, {c} AS bucket, round(avg(sessions), 6) AS mean_sessions FROM features GROUP BY {c}"
+                f"SELECT '{c}' AS pattern, {c} AS bucket, round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean_sessions FROM features GROUP BY {c}"
                 for c in ("hour_of_day", "day_of_month", "month", "day_of_week")
             ),
         ),
@@ -477,21 +477,21 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "ranges AS (SELECT feature, min(value) AS lo, (max(value) - min(value)) / 30 AS width FROM long GROUP BY feature), "
             "placed AS (SELECT feature, lo, width, least(coalesce(CAST(floor((value - lo) / nullif(width, 0)) AS INTEGER), 0), 29) AS bin "
             "FROM long JOIN ranges USING (feature))",
-            "SELECT feature, CAST(bin AS INTEGER) AS bin, round(lo + bin * width, 6) AS lower, "
-            "round(lo + (bin + 1) * width, 6) AS upper, count(*) AS count FROM placed GROUP BY feature, bin, lo, width",
+            "SELECT feature, CAST(bin AS INTEGER) AS bin, round(CAST(lo + bin * width AS DECIMAL(28, 9)), 6)::DOUBLE AS lower, "
+            "round(CAST(lo + (bin + 1) * width AS DECIMAL(28, 9)), 6)::DOUBLE AS upper, count(*) AS count FROM placed GROUP BY feature, bin, lo, width",
         ),
         "box_stats": _with(
             f"{_hourly()}, long AS ({_long('hourly', BOX_COLUMNS)})",
-            f"SELECT feature, round(min(value), 6) AS min, {_quantiles({'q25': 0.25, 'median': 0.5, 'q75': 0.75})}, "
-            "round(max(value), 6) AS max FROM long GROUP BY feature",
+            f"SELECT feature, round(CAST(min(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS min, {_quantiles({'q25': 0.25, 'median': 0.5, 'q75': 0.75})}, "
+            "round(CAST(max(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS max FROM long GROUP BY feature",
         ),
         "state_metrics": _with(
             f"{_hourly()}, daily AS (SELECT avg(sessions) AS m FROM hourly GROUP BY {day})",
             "SELECT (SELECT count(DISTINCT state) FROM hourly) AS total_states, "
             "(SELECT count(DISTINCT site_id) FROM hourly) AS active_stations, "
             "(SELECT max(hour) FROM hourly) AS latest_hour, "
-            "(SELECT round(avg(sessions), 6) FROM hourly WHERE hour = (SELECT max(hour) FROM hourly)) AS sessions_at_latest_hour, "
-            "(SELECT round(avg(m), 6) FROM daily) AS avg_daily_sessions",
+            "(SELECT round(CAST(avg(sessions) AS DECIMAL(28, 9)), 6)::DOUBLE FROM hourly WHERE hour = (SELECT max(hour) FROM hourly)) AS sessions_at_latest_hour, "
+            "(SELECT round(CAST(avg(m) AS DECIMAL(28, 9)), 6)::DOUBLE FROM daily) AS avg_daily_sessions",
         ),
         "site_tail": _with(
             _hourly(),
@@ -529,8 +529,8 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         ),
         "align_features": _with(
             _features(),
-            "SELECT site_id, hour, round(lag_24, 6) AS lag_24, CAST(hour_of_day AS DOUBLE) AS hour_of_day, "
-            "0.0::DOUBLE AS not_computed, round(rmean_24, 6) AS rmean_24 FROM features",
+            "SELECT site_id, hour, round(CAST(lag_24 AS DECIMAL(28, 9)), 6)::DOUBLE AS lag_24, CAST(hour_of_day AS DOUBLE) AS hour_of_day, "
+            "0.0::DOUBLE AS not_computed, round(CAST(rmean_24 AS DECIMAL(28, 9)), 6)::DOUBLE AS rmean_24 FROM features",
         ),
         "regression_metrics": _with(
             f"{NAIVE}, m AS (SELECT {METRIC_COLUMNS} FROM naive)", f"SELECT {METRIC_ROUNDED} FROM m"
@@ -547,7 +547,7 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             REQUESTS,
             "SELECT site_id, timestamp, "
             + ", ".join(
-                f"round(coalesce(CAST({n} AS DOUBLE), 0), 6) AS {n}"
+                f"round(CAST(coalesce(CAST({n} AS DOUBLE), 0) AS DECIMAL(28, 9)), 6)::DOUBLE AS {n}"
                 if n in ("hour_of_day", "day_of_week", "is_weekend", "hour_sin", "hour_cos", "lag_1", "lag_24", "rmean_24")
                 else f"0.0::DOUBLE AS {n}"
                 for n in model_feature_names()
@@ -556,33 +556,33 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         ),
         "prediction_interval": _with(
             NAIVE,
-            "SELECT site_id, hour, round(predicted, 6) AS predicted, round(predicted * (1 - 0.1::DOUBLE), 6) AS lower, "
-            "round(predicted * (1 + 0.1::DOUBLE), 6) AS upper FROM naive",
+            "SELECT site_id, hour, round(CAST(predicted AS DECIMAL(28, 9)), 6)::DOUBLE AS predicted, round(CAST(predicted * (1 - 0.1::DOUBLE) AS DECIMAL(28, 9)), 6)::DOUBLE AS lower, "
+            "round(CAST(predicted * (1 + 0.1::DOUBLE) AS DECIMAL(28, 9)), 6)::DOUBLE AS upper FROM naive",
         ),
         "reference_stats": _with(
             f"{_hourly()}, long AS ({_long('hourly', ['site_id', 'sessions', 'session_count', 'avg_sessions'])}), "
             "centred AS (SELECT feature, value, value - avg(value) OVER (PARTITION BY feature) AS d FROM long)",
-            "SELECT feature, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, "
-            f"round(max(value), 6) AS max, {_quantiles({'median': 0.5, 'q25': 0.25, 'q75': 0.75})}, "
-            "round(avg(d ** 3) / avg(d ** 2) ** 1.5, 6) AS skewness, round(avg(d ** 4) / avg(d ** 2) ** 2 - 3, 6) AS kurtosis "
+            "SELECT feature, round(CAST(avg(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean, round(CAST(stddev_samp(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS std, round(CAST(min(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS min, "
+            f"round(CAST(max(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS max, {_quantiles({'median': 0.5, 'q25': 0.25, 'q75': 0.75})}, "
+            "round(CAST(avg(d ** 3) / avg(d ** 2) ** 1.5 AS DECIMAL(28, 9)), 6)::DOUBLE AS skewness, round(CAST(avg(d ** 4) / avg(d ** 2) ** 2 - 3 AS DECIMAL(28, 9)), 6)::DOUBLE AS kurtosis "
             "FROM centred GROUP BY feature",
         ),
         "ks_statistic": _with(
-            VALUE_TESTS, "SELECT feature, n_ref, n_new, round(ks_statistic, 9) AS ks_statistic FROM tests"
+            VALUE_TESTS, "SELECT feature, n_ref, n_new, round(CAST(ks_statistic AS DECIMAL(28, 12)), 9)::DOUBLE AS ks_statistic FROM tests"
         ),
         "mann_whitney_u": _with(
             VALUE_TESTS,
-            "SELECT feature, n_ref, n_new, round(mw_statistic, 6) AS mw_statistic, round(tie_sum, 6) AS tie_sum FROM tests",
+            "SELECT feature, n_ref, n_new, round(CAST(mw_statistic AS DECIMAL(28, 9)), 6)::DOUBLE AS mw_statistic, round(CAST(tie_sum AS DECIMAL(28, 9)), 6)::DOUBLE AS tie_sum FROM tests",
         ),
         "drift_report": _with(
             HOURLY_TESTS,
-            "SELECT feature, n_ref, n_new, round(ks_statistic, 6) AS ks_statistic, round(mw_statistic, 6) AS mw_statistic, "
+            "SELECT feature, n_ref, n_new, round(CAST(ks_statistic AS DECIMAL(28, 9)), 6)::DOUBLE AS ks_statistic, round(CAST(mw_statistic AS DECIMAL(28, 9)), 6)::DOUBLE AS mw_statistic, "
             "ks_drift, mw_drift, drift_detected FROM report",
         ),
         "drift_summary": _with(
             HOURLY_TESTS,
             "SELECT drift_detected, total_features_tested, features_with_drift, drifted_features, "
-            "round(drift_percentage, 6) AS drift_percentage FROM summary",
+            "round(CAST(drift_percentage AS DECIMAL(28, 9)), 6)::DOUBLE AS drift_percentage FROM summary",
         ),
         "drift_alerts": _with(
             HOURLY_TESTS,
@@ -595,8 +595,8 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         "performance_history": _with(RECORDS, f"SELECT timestamp, {METRIC_ROUNDED} FROM records"),
         "degraded_metrics": _with(
             DEGRADED,
-            "SELECT timestamp, metric, round(baseline, 6) AS baseline, round(current, 6) AS current, "
-            "round(degradation_pct, 6) AS degradation_pct FROM degraded",
+            "SELECT timestamp, metric, round(CAST(baseline AS DECIMAL(28, 9)), 6)::DOUBLE AS baseline, round(CAST(current AS DECIMAL(28, 9)), 6)::DOUBLE AS current, "
+            "round(CAST(degradation_pct AS DECIMAL(28, 9)), 6)::DOUBLE AS degradation_pct FROM degraded",
         ),
         "performance_alerts": _with(
             f"{DEGRADED}, lines AS (SELECT timestamp, '- ' || metric || ': ' || printf('%.4f', current) || ' (baseline: ' "
@@ -609,12 +609,12 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             f"{RECORDS}, recent AS (SELECT * FROM records WHERE timestamp >= TIMESTAMP '2024-01-31' - INTERVAL {SUMMARY_DAYS} DAY), "
             f"{_trend('recent')}, long AS ({_by_metric('recent', 'sample_size')})",
             f"SELECT metric, CAST({SUMMARY_DAYS} AS INTEGER) AS period_days, CAST(sum(sample_size) AS BIGINT) AS total_predictions, "
-            "count(*) AS num_evaluations, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, "
-            "round(min(value), 6) AS min, round(max(value), 6) AS max, trend FROM long JOIN trends USING (metric) GROUP BY metric, trend",
+            "count(*) AS num_evaluations, round(CAST(avg(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS mean, round(CAST(stddev_pop(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS std, "
+            "round(CAST(min(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS min, round(CAST(max(value) AS DECIMAL(28, 9)), 6)::DOUBLE AS max, trend FROM long JOIN trends USING (metric) GROUP BY metric, trend",
         ),
         "metric_trend": _with(
             f"{RECORDS}, {_trend('records')}",
-            "SELECT metric, n, round(slope, 6) AS slope, round(p_value, 6) AS p_value, trend FROM trends",
+            "SELECT metric, n, round(CAST(slope AS DECIMAL(28, 9)), 6)::DOUBLE AS slope, round(CAST(p_value AS DECIMAL(28, 9)), 6)::DOUBLE AS p_value, trend FROM trends",
         ),
     }
     return sql
