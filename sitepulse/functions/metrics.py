@@ -17,7 +17,7 @@ def regression_metrics(actual: str = "actual", predicted: str = "predicted") ->
         F.avg(F.abs(p - a)).alias("mae"),
         F.sqrt(F.avg(squared)).alias("rmse"),
         (F.avg(F.when(a != 0, F.abs((a - p) / F.nullif(a, F.lit(0.0))))) * 100).alias("mape"),
-        F.when(spread != 0, 1 - F.sum(squared) / F.nullif(spread, F.lit(0.0)))
+        F.when(F.min(a) < F.max(a), 1 - F.sum(squared) / F.nullif(spread, F.lit(0.0)))
         .otherwise(0.0)
         .alias("r2"),
         F.count(F.lit(1)).alias("sample_size"),

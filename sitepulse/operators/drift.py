@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .. import defaults
 from ..functions.significance import ks_p_value, mann_whitney_p_value
-from .quantiles import BUCKET, bucket_values, numeric_columns
+from .quantiles import BUCKET, long_form, numeric_columns, sorted_counts
 
 # Fixed value: subject of the alert.
 ALERT_SUBJECT = "Data Drift Alert"
@@ -22,9 +22,7 @@ def common_columns(reference: DataFrame, new: DataFrame) -> list[str]:
     return [c for c in numeric_columns(new) if c in known]
 
 
-def compare_samples(
-    reference: DataFrame, new: DataFrame, columns: list[str], buckets: int | None = None
-) -> DataFrame:
+def compare_samples(reference: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
     """Per feature: sample sizes, Kolmogorov-Smirnov D, Mann-Whitney U of the reference, tie sum.
 
     Both statistics are sums or extremes over a sorted run of distinct values, so each bucket of
@@ -36,10 +34,10 @@ def compare_samples(
         .withColumn("_is_ref", F.lit(1))
         .unionByName(new.select(*columns).withColumn("_is_ref", F.lit(0)))
     )
-    counts = (
-        bucket_values(samples, columns, keep=("_is_ref",), buckets=buckets)
-        .groupBy(*BUCKET, "value")
-        .agg(F.sum("_is_ref").alias("ref"), F.sum(1 - F.col("_is_ref")).alias("new"))
+    counts = sorted_counts(
+        long_form(samples, columns, keep=("_is_ref",)),
+        F.sum("_is_ref").alias("ref"),
+        F.sum(1 - F.col("_is_ref")).alias("new"),
     )
     # One row per feature, so always small.
     sizes = F.broadcast(
@@ -95,13 +93,12 @@ def detect_drift(
     new: DataFrame,
     significance_level: float = defaults.SIGNIFICANCE_LEVEL,
     min_sample: int = defaults.MIN_DRIFT_SAMPLE,
-    buckets: int | None = None,
 ) -> DataFrame:
     """One row per tested feature with both tests and the drift flags.
 
     Features with fewer than ``min_sample`` new values are not tested.
     """
-    tested = compare_samples(reference, new, common_columns(reference, new), buckets).filter(
+    tested = compare_samples(reference, new, common_columns(reference, new)).filter(
         (F.col("n_new") >= min_sample) & (F.col("n_ref") > 0)
     )
     ks = ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_new"))

@@ -120,15 +120,16 @@ def metric_trend(records: DataFrame) -> DataFrame:
             F.regr_sxy("value", "row_index").alias("_sxy"),
             F.regr_sxx("value", "row_index").alias("_sxx"),
             F.regr_syy("value", "row_index").alias("_syy"),
+            (F.min("value") == F.max("value")).alias("_constant"),
         )
     )
     freedom = F.col("n") - 2
-    r = F.coalesce(F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy"))), F.lit(0.0))
+    r = F.try_divide(F.col("_sxy"), F.sqrt(F.col("_sxx") * F.col("_syy")))
     unexplained = (1 - r) * (1 + r)
     t = r * F.sqrt(freedom / F.when(unexplained > 0, unexplained))
     p_value = (
         F.when(F.col("n") < 2, F.lit(None))
-        .when(F.col("_syy") == 0, 1.0)
+        .when(F.col("_constant"), 1.0)
         .when((F.col("n") == 2) | (unexplained <= 0), 0.0)
         .otherwise(student_t_p_value(t, freedom))
     )

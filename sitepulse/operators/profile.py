@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
-from .quantiles import exact_quantiles, numeric_columns
+from .quantiles import exact_quantiles, long_form, numeric_columns
 
 # Column families by a part of the column name.
 FEATURE_FAMILIES = {
@@ -19,12 +19,22 @@ DEFAULT_FAMILIES = ("Temporal", "Rolling Stats")
 KEY_COLUMNS = ("site_id", "hour")
 
 
+def _constant(x: Column) -> Column:
+    """Whether all values are equal. A variance merged from several tasks need not be exactly 0."""
+    return F.min(x) == F.max(x)
+
+
 def _safe_correlation(x: Column, y: Column) -> Column:
     """Pearson correlation over the rows that have both values; NULL if either is constant."""
     x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
     spread = F.stddev_samp(x) * F.stddev_samp(y)
     r = F.try_divide(F.covar_samp(x, y), spread)
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    return (
+        F.when(_constant(x) | _constant(y), F.lit(None))
+        .when(r > 1, 1.0)
+        .when(r < -1, -1.0)
+        .otherwise(r)
+    )
 
 
 def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -93,11 +103,6 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
     )
 
 
-def _long(df: DataFrame, columns: list[str]) -> DataFrame:
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot([], columns, "feature", "value").filter(F.col("value").isNotNull())
-
-
 def histogram(
     df: DataFrame, columns: list[str], bins: int = defaults.HISTOGRAM_BINS
 ) -> DataFrame:
@@ -105,7 +110,7 @@ def histogram(
 
     Bins without rows are left out. A constant column gets one bin.
     """
-    values = _long(df, columns)
+    values = long_form(df, columns)
     ranges = values.groupBy("feature").agg(F.min("value").alias("_min"), F.max("value").alias("_max"))
     width = (F.col("_max") - F.col("_min")) / bins
     place = F.coalesce(F.floor(F.try_divide(F.col("value") - F.col("_min"), width)), F.lit(0))
@@ -128,7 +133,7 @@ def histogram(
 
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles and maximum per column, all exact."""
-    ends = _long(df, columns).groupBy("feature").agg(
+    ends = long_form(df, columns).groupBy("feature").agg(
         F.min("value").alias("min"), F.max("value").alias("max")
     )
     quartiles = exact_quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
@@ -139,13 +144,16 @@ def reference_stats(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """Moments, range and quartiles of every numeric column. Skewness and kurtosis are biased."""
     if columns is None:
         columns = numeric_columns(df)
-    moments = _long(df, columns).groupBy("feature").agg(
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.skewness("value").alias("skewness"),
-        F.kurtosis("value").alias("kurtosis"),
+    value = F.col("value")
+    moments = long_form(df, columns).groupBy("feature").agg(
+        F.avg(value).alias("mean"),
+        F.when(_constant(value) & (F.count(value) > 1), 0.0)
+        .otherwise(F.stddev_samp(value))
+        .alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.when(~_constant(value), F.skewness(value)).alias("skewness"),
+        F.when(~_constant(value), F.kurtosis(value)).alias("kurtosis"),
     )
     quartiles = exact_quantiles(df, columns, {"median": 0.5, "q25": 0.25, "q75": 0.75})
     return moments.join(quartiles, "feature").select(

@@ -1,22 +1,19 @@
-"""Sorted distributions split over many tasks: exact quantiles and their building blocks.
+"""Sorted distributions split over many tasks: exact quantiles and their building block.
 
-A numeric column is cut into buckets of about equal row counts, with edges from the
-bounded-size quantile sketch. Equal values are counted together first, so a value that fills a
-third of the rows is one row afterwards. Any order statistic then needs a sort inside one bucket
-only, plus running totals over the few buckets of a column. The edges steer the load; results
-do not depend on them.
+Equal values of a column are counted together first, so a value that fills a third of the rows
+is one row afterwards. The counts are then sorted over all tasks; a task's share is the bucket
+in which order statistics are looked up, and only bucket totals are put in sequence.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .ranks import write_sorted
+
 BUCKET = ("feature", "bucket")
 
 
@@ -29,50 +26,32 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
     ]
 
 
-def bucket_values(
-    df: DataFrame, columns: list[str], keep: tuple[str, ...] = (), buckets: int | None = None
-) -> DataFrame:
-    """Long form ``feature, bucket, value`` (and ``keep``) of the non-null values.
+def long_form(df: DataFrame, columns: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """``feature, value`` (and ``keep``) of the values that are there."""
+    wide = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
+    return wide.unpivot(list(keep), columns, "feature", "value").filter(
+        F.col("value").isNotNull() & ~F.isnan("value")
+    )
+
 
-    One pass of the quantile sketch runs at once; only the edges (columns x buckets numbers)
-    reach the driver. The default bucket count is the session's shuffle partition count.
+def sorted_counts(long: DataFrame, *counts: Column) -> DataFrame:
+    """``counts`` per ``feature`` and distinct ``value``, in ordered ``bucket`` pieces.
+
+    Runs at once: the sorted counts are written, so the input is read a single time.
     """
-    if buckets is None:
-        buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    values = df.select(*keep, *[F.col(c).cast("double").alias(c) for c in columns])
-    inner = [i / buckets for i in range(1, buckets)] or [0.5]
-    edges = values.approxQuantile(columns, inner, 1 / (4 * buckets))
-    splits = [[-math.inf, *(sorted(set(e)) or [0.0]), math.inf] for e in edges]
-    numbered = [f"_bucket_{i}" for i in range(len(columns))]
-    cut = Bucketizer(
-        splitsArray=splits, inputCols=columns, outputCols=numbered, handleInvalid="keep"
-    ).transform(values)
-    triples = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(b).cast("int").alias("bucket"),
-                F.col(c).alias("value"),
-            )
-            for c, b in zip(columns, numbered)
-        ]
-    )
+    distinct = long.groupBy("feature", "value").agg(*counts)
     return (
-        cut.select(*keep, F.explode(triples).alias("_v"))
-        .select(*keep, "_v.*")
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
+        write_sorted(distinct, "feature", "value")
+        .withColumnRenamed("_task", "bucket")
+        .drop("_place")
     )
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: dict[str, float], buckets: int | None = None
+    df: DataFrame, columns: list[str], probabilities: dict[str, float]
 ) -> DataFrame:
     """One row per column with the linearly interpolated quantiles, named by ``probabilities``."""
-    counts = (
-        bucket_values(df, columns, buckets=buckets)
-        .groupBy(*BUCKET, "value")
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
+    counts = sorted_counts(long_form(df, columns), F.count(F.lit(1)).alias("ties"))
     up_to = Window.partitionBy(*BUCKET).orderBy("value")
     placed = counts.withColumn("last", F.sum("ties").over(up_to))
 

@@ -1,4 +1,4 @@
-"""Exact row positions in a global order."""
+"""Exact positions in a global order, with the sorting spread over all tasks."""
 
 from __future__ import annotations
 
@@ -11,20 +11,30 @@ from ..session import materialize
 _LOCAL_BITS = (1 << 33) - 1
 
 
-def with_row_index(df: DataFrame, *order_by: str) -> DataFrame:
-    """Add ``row_index`` (from 0) and ``row_total`` for the order given by ``order_by``.
+def write_sorted(df: DataFrame, *order_by: str) -> DataFrame:
+    """Sort with one range shuffle and keep each row's ``_task`` and ``_place`` in that task.
 
-    One range shuffle sorts the rows; its boundaries come from a sample of the whole key, so
-    a crowded hour or site is spread over tasks. The sorted rows are written to the shared
-    folder together with their task and their place in it, and only the task sizes (one row per
-    shuffle partition) are added up. ``order_by`` has to identify a row.
+    Everything in a task comes before everything in the next one. The range boundaries come
+    from a sample of the whole key, so a crowded hour, site or feature is spread over tasks.
+    The result is written to the shared folder: whatever is derived from it sees the same tasks,
+    also after an executor is lost, and the input is evaluated once. ``order_by`` has to
+    identify a row.
     """
-    placed = materialize(
+    placed = (
         df.orderBy(*order_by)
         .withColumn("_task", F.spark_partition_id())
-        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS))),
-        "row-index",
+        .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(_LOCAL_BITS)))
     )
+    return materialize(placed, "sorted")
+
+
+def with_row_index(df: DataFrame, *order_by: str) -> DataFrame:
+    """Add ``row_index`` (from 0) and ``row_total`` for the order given by ``order_by``.
+
+    Only the task sizes are put in sequence: one row per shuffle partition, which also bounds
+    the broadcast.
+    """
+    placed = write_sorted(df, *order_by)
     so_far = Window.orderBy("_task")
     offsets = (
         placed.groupBy("_task")

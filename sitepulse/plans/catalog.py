@@ -478,13 +478,13 @@ def q_saved_model(spark, sf_dir):
 
 def q_cross_validation(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
-    train = training._training_part(rows)
+    train = training.indexed_training_part(rows)
     return forecast.cross_validate(train, names, **SMALL_MODEL)
 
 
 def q_parameter_tuning(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
-    train = training._training_part(rows)
+    train = training.indexed_training_part(rows)
     return forecast.tune(train, names, SMALL_GRID, splits=2)[2]
 
 

@@ -26,7 +26,8 @@ def score_requests(
 ) -> DataFrame:
     """``prediction, site_id, timestamp, model_version, confidence_interval`` per valid request.
 
-    The number of scored rows is counted along the way when ``observation`` is given.
+    The number of scored rows is counted along the way when ``observation`` is given. A sort right
+    after this step would sample, and so count, the rows twice.
     """
     if model is None:
         raise RuntimeError("Model not loaded")

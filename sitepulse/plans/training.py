@@ -63,7 +63,7 @@ def _part(rows: DataFrame, name: str) -> DataFrame:
     return rows.filter(F.col("split") == name)
 
 
-def _training_part(rows: DataFrame) -> DataFrame:
+def indexed_training_part(rows: DataFrame) -> DataFrame:
     """Training rows, indexed for the folds by their place in the training part itself."""
     train = _part(rows, "train")
     size = F.lit(train.count())
@@ -100,7 +100,7 @@ def train_model(
 ) -> tuple[PipelineModel, list[DataFrame]]:
     """Fit with early stopping, or tune; then cross-validate. Returns the model and result rows."""
     results = []
-    train = _training_part(rows)
+    train = indexed_training_part(rows)
     if tuning:
         model, best, scores = forecast.tune(train, names, grid, tuning_splits, parallelism, **params)
         params = {**params, **best}
