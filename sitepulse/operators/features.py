@@ -9,16 +9,21 @@ window partition by the length of the log (8,760 rows per year) however busy the
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from math import gcd
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from .. import defaults
 from ..functions.calendar import calendar_columns, cyclical_columns
 
+_FRAME_ROWS = 6  # frames up to this length slide directly
+_MAX_PIECES = 32  # more blocks than this per window cost more than they save
 
-def _series(group_col: str, order_col: str):
+
+def _series(group_col: str, order_col: str) -> WindowSpec:
     return Window.partitionBy(group_col).orderBy(order_col)
 
 
@@ -55,6 +60,65 @@ def add_lag_features(
     return df.withColumns({f"lag_{n}": F.lag(target, n).over(series) for n in lag_periods})
 
 
+# Mergeable statistics of a run of rows: count, sum, squared deviations, minimum, maximum.
+_BLOCK = ("_n", "_sum", "_m2", "_min", "_max")
+_BLOCK_DEFAULTS = (0, 0.0, 0.0, None, None)
+
+
+def _merged(blocks: list[dict[str, Column]]) -> dict[str, Column]:
+    """Statistics of adjacent blocks put together, deviations around the common mean."""
+    if len(blocks) == 1:
+        return blocks[0]
+    count = reduce(Column.__add__, [b["_n"] for b in blocks])
+    total = reduce(Column.__add__, [b["_sum"] for b in blocks])
+    shifts = [
+        F.when(b["_n"] > 0, b["_n"] * F.pow(b["_sum"] / b["_n"] - total / count, 2)).otherwise(0.0)
+        for b in blocks
+    ]
+    return {
+        "_n": count,
+        "_sum": total,
+        "_m2": reduce(Column.__add__, [b["_m2"] for b in blocks] + shifts),
+        "_min": F.least(*[b["_min"] for b in blocks]),
+        "_max": F.greatest(*[b["_max"] for b in blocks]),
+    }
+
+
+def _adjacent(df: DataFrame, series: WindowSpec, size: int, pieces: int):
+    """``df`` with the blocks found 0, 1, .. ``pieces`` - 1 block lengths ago, and their columns."""
+    earlier = {
+        f"{name}_{size}_{i}": F.lag(name, i * size, default).over(series)
+        for i in range(1, pieces)
+        for name, default in zip(_BLOCK, _BLOCK_DEFAULTS)
+    }
+    blocks = [
+        {name: F.col(name if i == 0 else f"{name}_{size}_{i}") for name in _BLOCK}
+        for i in range(pieces)
+    ]
+    return df.withColumns(earlier), blocks
+
+
+def _with_past_block(df: DataFrame, target: str, series: WindowSpec, size: int) -> DataFrame:
+    """Add the statistics of the ``size`` rows before each row, themselves built from blocks."""
+    part = min(
+        (d for d in range(2, size) if size % d == 0), key=lambda d: d + size // d, default=size
+    )
+    if part == size or size <= _FRAME_ROWS:
+        past, value = series.rowsBetween(-size, -1), F.col(target)
+        count = F.count(value).over(past)
+        return df.withColumns(
+            {
+                "_n": count,
+                "_sum": F.coalesce(F.sum(value).over(past).cast("double"), F.lit(0.0)),
+                "_m2": F.coalesce(F.var_pop(value).over(past) * count, F.lit(0.0)),
+                "_min": F.min(value).over(past),
+                "_max": F.max(value).over(past),
+            }
+        )
+    parts, blocks = _adjacent(_with_past_block(df, target, series, part), series, part, size // part)
+    return parts.select(*df.columns, *[c.alias(name) for name, c in _merged(blocks).items()])
+
+
 def add_rolling_features(
     df: DataFrame,
     group_col: str = "site_id",
@@ -63,17 +127,39 @@ def add_rolling_features(
     include_std: bool = True,
     order_col: str = "hour",
 ) -> DataFrame:
-    """Mean, deviation, minimum and maximum of the n rows before the current one."""
+    """Mean, deviation, minimum and maximum of the n rows before the current one.
+
+    A sliding frame is evaluated anew for every row, at a cost of its length. So only a
+    short frame slides; a day is put together from the short blocks found some rows earlier and
+    a week from seven days, all in the same shuffle and sort. Windows without a useful common
+    divisor slide on their own.
+    """
+    windows = list(windows)
     series = _series(group_col, order_col)
-    columns = {}
-    for n in windows:
-        past = series.rowsBetween(-n, -1)
-        columns[f"rmean_{n}"] = F.avg(target).over(past)
-        if include_std:
+    size = gcd(*windows)
+    if max(windows) // size > _MAX_PIECES:
+        columns = {}
+        for n in windows:
+            past = series.rowsBetween(-n, -1)
+            columns[f"rmean_{n}"] = F.avg(target).over(past)
             columns[f"rstd_{n}"] = F.stddev_samp(target).over(past)
-        columns[f"rmin_{n}"] = F.min(target).over(past)
-        columns[f"rmax_{n}"] = F.max(target).over(past)
-    return df.withColumns(columns)
+            columns[f"rmin_{n}"] = F.min(target).over(past)
+            columns[f"rmax_{n}"] = F.max(target).over(past)
+        table = df
+    else:
+        table, blocks = _adjacent(
+            _with_past_block(df, target, series, size), series, size, max(windows) // size
+        )
+        columns = {}
+        for n in windows:
+            run = _merged(blocks[: n // size])
+            columns[f"rmean_{n}"] = F.try_divide(run["_sum"], run["_n"])
+            columns[f"rstd_{n}"] = F.when(run["_n"] > 1, F.sqrt(run["_m2"] / (run["_n"] - 1)))
+            columns[f"rmin_{n}"] = run["_min"]
+            columns[f"rmax_{n}"] = run["_max"]
+    if not include_std:
+        columns = {name: c for name, c in columns.items() if not name.startswith("rstd_")}
+    return table.select(*df.columns, *[c.alias(name) for name, c in columns.items()])
 
 
 def add_difference_features(

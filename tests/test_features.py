@@ -52,6 +52,28 @@ def test_windows_match_brute_force(long_series):
     pd.testing.assert_frame_equal(got[want.columns], want, check_dtype=False, atol=1e-9)
 
 
+@pytest.mark.parametrize("windows", [(5,), (4, 6), (7, 30), (12, 36), (3, 301), (50, 100)])
+def test_other_windows(long_series, windows):
+    got = (
+        features.add_rolling_features(long_series, windows=windows).toPandas()
+        .sort_values(["site_id", "hour"]).reset_index(drop=True)
+    )
+    past = got.groupby("site_id")["sessions"].shift(1)
+    for n in windows:
+        rolled = past.groupby(got["site_id"]).rolling(n, min_periods=1)
+        for name, want in (("rmean", rolled.mean()), ("rstd", rolled.std()), ("rmax", rolled.max())):
+            want = want.reset_index(0, drop=True)
+            pd.testing.assert_series_equal(got[f"{name}_{n}"], want, check_names=False, atol=1e-9)
+
+
+def test_no_deviation_in_constant_runs(spark, long_series):
+    flat = long_series.selectExpr("site_id", "hour", "0.1D + 0 * coalesce(sessions, 0) AS sessions")
+    row = features.add_rolling_features(flat).selectExpr("max(rstd_24)", "max(rstd_168)").first()
+    assert max(row) < 1e-9
+    lean = features.add_rolling_features(flat, include_std=False)
+    assert [c for c in lean.columns if c.startswith("rstd")] == []
+
+
 def test_one_shuffle_for_all_windows(long_series):
     table = features.create_feature_table(long_series)
     plan = table._jdf.queryExecution().executedPlan().toString()
