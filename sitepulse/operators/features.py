@@ -3,7 +3,8 @@
 Lags, rolling statistics and differences are positional: they count the rows of a site, not the
 hours. They all share one window specification, so the whole feature table costs one shuffle
 and one sort. An hourly table has one row per site and hour, which bounds a
-window partition by the length of the log (8,760 rows per year) however busy the site is.
+window partition by the length of the log (8,760 rows per year) however busy the site is. For
+tables without such a bound, ``chunk_rows`` cuts every series into pieces of equal size.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from pyspark.sql.window import Window, WindowSpec
 
 from .. import defaults
 from ..functions.calendar import calendar_columns, cyclical_columns
+from .ranks import with_row_index
 
 _FRAME_ROWS = 6  # frames up to this length slide directly
 _MAX_PIECES = 32  # more blocks than this per window cost more than they save
 
 
-def _series(group_col: str, order_col: str) -> WindowSpec:
-    return Window.partitionBy(group_col).orderBy(order_col)
+Group = str | tuple[str, ...]  # the column or columns that identify a series
+
+
+def _series(group_col: Group, order_col: str) -> WindowSpec:
+    keys = (group_col,) if isinstance(group_col, str) else group_col
+    return Window.partitionBy(*keys).orderBy(order_col)
 
 
 def add_temporal_features(
@@ -50,7 +56,7 @@ def add_time_features(df: DataFrame, ts_col: str = "hour") -> DataFrame:
 
 def add_lag_features(
     df: DataFrame,
-    group_col: str = "site_id",
+    group_col: Group = "site_id",
     target: str = "sessions",
     lag_periods: Iterable[int] = defaults.LAG_PERIODS,
     order_col: str = "hour",
@@ -121,7 +127,7 @@ def _with_past_block(df: DataFrame, target: str, series: WindowSpec, size: int)
 
 def add_rolling_features(
     df: DataFrame,
-    group_col: str = "site_id",
+    group_col: Group = "site_id",
     target: str = "sessions",
     windows: Iterable[int] = defaults.ROLLING_WINDOWS,
     include_std: bool = True,
@@ -164,7 +170,7 @@ def add_rolling_features(
 
 def add_difference_features(
     df: DataFrame,
-    group_col: str = "site_id",
+    group_col: Group = "site_id",
     target: str = "sessions",
     periods: Iterable[int] = defaults.DIFFERENCE_PERIODS,
     order_col: str = "hour",
@@ -189,20 +195,54 @@ def add_interaction_features(
     )
 
 
+def _with_history(
+    df: DataFrame, group_col: str, order_col: str, reach: int, chunk_rows: int
+) -> DataFrame:
+    """Cut the table, sorted by series and time, into chunks of ``chunk_rows`` rows.
+
+    The last ``reach`` rows of a chunk are repeated in the next one, marked ``_history``, so
+    that each row finds the rows it looks back on in its own ``_chunk``.
+    """
+    if chunk_rows < reach:
+        raise ValueError(f"chunk_rows must be at least {reach}, the longest look-back")
+    indexed = with_row_index(df, group_col, order_col)
+    index = F.col("row_index")
+    chunk = F.floor(index / chunk_rows)
+    here = F.struct(chunk.alias("_chunk"), F.lit(False).alias("_history"))
+    onward = F.struct((chunk + 1).alias("_chunk"), F.lit(True).alias("_history"))
+    needed = index % chunk_rows >= chunk_rows - reach
+    copies = F.when(needed, F.array(here, onward)).otherwise(F.array(here))
+    return indexed.select(*df.columns, F.inline(copies))
+
+
 def create_feature_table(
     df: DataFrame,
     ts_col: str = "hour",
     group_col: str = "site_id",
     target: str = "sessions",
     include_interactions: bool = False,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
-    """All features with their defaults."""
+    """All features with their defaults.
+
+    With ``chunk_rows``, no task handles more than that many rows of a series (plus the
+    longest look-back) at a time, at the price of a sorted copy of the table.
+    ``group_col`` and ``ts_col`` then have to identify a row.
+    """
+    series: Group = group_col
+    rows = df
+    if chunk_rows is not None:
+        reach = max(*defaults.LAG_PERIODS, *defaults.ROLLING_WINDOWS, *defaults.DIFFERENCE_PERIODS)
+        rows = _with_history(df, group_col, ts_col, reach, chunk_rows)
+        series = ("_chunk", group_col)
     table = (
-        df.transform(add_temporal_features, ts_col)
-        .transform(add_lag_features, group_col, target)
-        .transform(add_rolling_features, group_col, target)
-        .transform(add_difference_features, group_col, target)
+        rows.transform(add_temporal_features, ts_col)
+        .transform(add_lag_features, series, target, order_col=ts_col)
+        .transform(add_rolling_features, series, target, order_col=ts_col)
+        .transform(add_difference_features, series, target, order_col=ts_col)
     )
+    if chunk_rows is not None:
+        table = table.filter(~F.col("_history")).drop("_chunk", "_history")
     return add_interaction_features(table) if include_interactions else table
 
 

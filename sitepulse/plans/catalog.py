@@ -34,6 +34,7 @@ DATE_RANGE = (date(2024, 1, 5), date(2024, 1, 20))
 # Small forests keep the model queries quick; the library defaults are larger.
 SMALL_MODEL = {"max_depth": 4, "n_estimators": 5}
 SMALL_GRID = {"max_depth": (2, 4), "learning_rate": (0.1,), "n_estimators": (3,)}
+CHUNK_ROWS = 200  # small, so that series really are cut in the given tables
 HISTOGRAM_COLUMNS = ["sessions", "hour_of_day", "day_of_week", "is_weekend", "month"]
 BOX_COLUMNS = ["sessions", "session_count", "avg_sessions"]
 ALIGNED = ["lag_24", "hour_of_day", "not_computed", "rmean_24"]
@@ -287,6 +288,13 @@ def q_feature_table(spark, sf_dir):
     return rounded(feature_table(spark, sf_dir))
 
 
+def q_feature_table_in_chunks(spark, sf_dir):
+    table = features.create_feature_table(
+        hourly(spark, sf_dir), include_interactions=True, chunk_rows=CHUNK_ROWS
+    )
+    return rounded(table)
+
+
 def q_state_rollup(spark, sf_dir):
     return rounded(rollups.state_rollup(hourly(spark, sf_dir, 25)))
 

@@ -617,4 +617,5 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "SELECT metric, n, round(CAST(slope AS DECIMAL(28, 9)), 6)::DOUBLE AS slope, round(CAST(p_value AS DECIMAL(28, 9)), 6)::DOUBLE AS p_value, trend FROM trends",
         ),
     }
+    sql["feature_table_in_chunks"] = sql["feature_table"]
     return sql

@@ -66,6 +66,21 @@ def test_other_windows(long_series, windows):
             pd.testing.assert_series_equal(got[f"{name}_{n}"], want, check_names=False, atol=1e-9)
 
 
+@pytest.mark.parametrize("chunk_rows", [168, 175, 300, 5000])
+def test_chunks_do_not_change_the_result(long_series, chunk_rows):
+    whole = features.create_feature_table(long_series, include_interactions=True)
+    cut = features.create_feature_table(
+        long_series, include_interactions=True, chunk_rows=chunk_rows
+    )
+    assert cut.columns == whole.columns
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_chunks_shorter_than_the_look_back_are_refused(long_series):
+    with pytest.raises(ValueError, match="at least 168"):
+        features.create_feature_table(long_series, chunk_rows=100)
+
+
 def test_no_deviation_in_constant_runs(spark, long_series):
     flat = long_series.selectExpr("site_id", "hour", "0.1D + 0 * coalesce(sessions, 0) AS sessions")
     row = features.add_rolling_features(flat).selectExpr("max(rstd_24)", "max(rstd_168)").first()
