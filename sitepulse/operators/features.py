@@ -10,10 +10,9 @@ tables without such a bound, ``chunk_rows`` cuts every series into pieces of equ
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 from math import gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -66,63 +65,66 @@ def add_lag_features(
     return df.withColumns({f"lag_{n}": F.lag(target, n).over(series) for n in lag_periods})
 
 
-# Mergeable statistics of a run of rows: count, sum, squared deviations, minimum, maximum.
-_BLOCK = ("_n", "_sum", "_m2", "_min", "_max")
-_BLOCK_DEFAULTS = (0, 0.0, 0.0, None, None)
+# Mergeable statistics of a run of rows: count, mean, squared deviations, minimum, maximum; and
+# their values for a run without any value.
+_BLOCK = {"_n": "0L", "_mean": "0D", "_m2": "0D", "_min": "NULL", "_max": "NULL"}
 
 
-def _merged(blocks: list[dict[str, Column]]) -> dict[str, Column]:
+def _series_sql(group_col: Group, order_col: str) -> str:
+    keys = (group_col,) if isinstance(group_col, str) else group_col
+    return f"PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY `{order_col}`"
+
+
+def _merged(size: int, pieces: int) -> dict[str, str]:
     """Statistics of adjacent blocks put together, deviations around the common mean."""
-    if len(blocks) == 1:
-        return blocks[0]
-    count = reduce(Column.__add__, [b["_n"] for b in blocks])
-    total = reduce(Column.__add__, [b["_sum"] for b in blocks])
-    shifts = [
-        F.when(b["_n"] > 0, b["_n"] * F.pow(b["_sum"] / b["_n"] - total / count, 2)).otherwise(0.0)
-        for b in blocks
-    ]
+    if pieces == 1:
+        return {name: f"{name}_{size}_0" for name in _BLOCK}
+    parts = {name: [f"{name}_{size}_{i}" for i in range(pieces)] for name in _BLOCK}
+    count = f"({' + '.join(parts['_n'])})"
+    weighted = " + ".join(f"{n} * {m}" for n, m in zip(parts["_n"], parts["_mean"]))
+    mean = f"coalesce(try_divide({weighted}, {count}), 0D)"
+    shifts = [f"{n} * pow({m} - {mean}, 2)" for n, m in zip(parts["_n"], parts["_mean"])]
     return {
         "_n": count,
-        "_sum": total,
-        "_m2": reduce(Column.__add__, [b["_m2"] for b in blocks] + shifts),
-        "_min": F.least(*[b["_min"] for b in blocks]),
-        "_max": F.greatest(*[b["_max"] for b in blocks]),
+        "_mean": mean,
+        "_m2": f"({' + '.join(parts['_m2'] + shifts)})",
+        "_min": f"least({', '.join(parts['_min'])})",
+        "_max": f"greatest({', '.join(parts['_max'])})",
     }
 
 
-def _adjacent(df: DataFrame, series: WindowSpec, size: int, pieces: int):
-    """``df`` with the blocks found 0, 1, .. ``pieces`` - 1 block lengths ago, and their columns."""
-    earlier = {
-        f"{name}_{size}_{i}": F.lag(name, i * size, default).over(series)
-        for i in range(1, pieces)
-        for name, default in zip(_BLOCK, _BLOCK_DEFAULTS)
-    }
-    blocks = [
-        {name: F.col(name if i == 0 else f"{name}_{size}_{i}") for name in _BLOCK}
-        for i in range(pieces)
-    ]
-    return df.withColumns(earlier), blocks
+def _adjacent(df: DataFrame, series: str, size: int, pieces: int) -> DataFrame:
+    """Beside each block of ``size`` rows, those found 1, 2, .. ``pieces`` - 1 lengths ago."""
+    return df.selectExpr(
+        *[f"`{c}`" for c in df.columns if c not in _BLOCK],
+        *[f"{name} AS {name}_{size}_0" for name in _BLOCK],
+        *[
+            f"lag({name}, {i * size}, {default}) OVER ({series}) AS {name}_{size}_{i}"
+            for i in range(1, pieces)
+            for name, default in _BLOCK.items()
+        ],
+    )
 
 
-def _with_past_block(df: DataFrame, target: str, series: WindowSpec, size: int) -> DataFrame:
+def _with_past_block(df: DataFrame, target: str, series: str, size: int) -> DataFrame:
     """Add the statistics of the ``size`` rows before each row, themselves built from blocks."""
     part = min(
         (d for d in range(2, size) if size % d == 0), key=lambda d: d + size // d, default=size
     )
     if part == size or size <= _FRAME_ROWS:
-        past, value = series.rowsBetween(-size, -1), F.col(target)
-        count = F.count(value).over(past)
-        return df.withColumns(
-            {
-                "_n": count,
-                "_sum": F.coalesce(F.sum(value).over(past).cast("double"), F.lit(0.0)),
-                "_m2": F.coalesce(F.var_pop(value).over(past) * count, F.lit(0.0)),
-                "_min": F.min(value).over(past),
-                "_max": F.max(value).over(past),
-            }
+        past = f"OVER ({series} ROWS BETWEEN {size} PRECEDING AND 1 PRECEDING)"
+        return df.selectExpr(
+            "*",
+            f"count(`{target}`) {past} AS _n",
+            f"coalesce(avg(`{target}`) {past}, 0D) AS _mean",
+            f"coalesce(var_pop(`{target}`) {past} * count(`{target}`) {past}, 0D) AS _m2",
+            f"min(`{target}`) {past} AS _min",
+            f"max(`{target}`) {past} AS _max",
         )
-    parts, blocks = _adjacent(_with_past_block(df, target, series, part), series, part, size // part)
-    return parts.select(*df.columns, *[c.alias(name) for name, c in _merged(blocks).items()])
+    pieces = size // part
+    parts = _adjacent(_with_past_block(df, target, series, part), series, part, pieces)
+    kept = [f"`{c}`" for c in df.columns]
+    return parts.selectExpr(*kept, *[f"{sql} AS {n}" for n, sql in _merged(part, pieces).items()])
 
 
 def add_rolling_features(
@@ -141,31 +143,30 @@ def add_rolling_features(
     divisor slide on their own.
     """
     windows = list(windows)
-    series = _series(group_col, order_col)
+    series = _series_sql(group_col, order_col)
     size = gcd(*windows)
-    if max(windows) // size > _MAX_PIECES:
-        columns = {}
-        for n in windows:
-            past = series.rowsBetween(-n, -1)
-            columns[f"rmean_{n}"] = F.avg(target).over(past)
-            columns[f"rstd_{n}"] = F.stddev_samp(target).over(past)
-            columns[f"rmin_{n}"] = F.min(target).over(past)
-            columns[f"rmax_{n}"] = F.max(target).over(past)
+    pieces = max(windows) // size
+    columns = {}
+    if pieces > _MAX_PIECES:
         table = df
+        for n in windows:
+            past = f"OVER ({series} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+            columns[f"rmean_{n}"] = f"avg(`{target}`) {past}"
+            columns[f"rstd_{n}"] = f"stddev_samp(`{target}`) {past}"
+            columns[f"rmin_{n}"] = f"min(`{target}`) {past}"
+            columns[f"rmax_{n}"] = f"max(`{target}`) {past}"
     else:
-        table, blocks = _adjacent(
-            _with_past_block(df, target, series, size), series, size, max(windows) // size
-        )
-        columns = {}
+        table = _adjacent(_with_past_block(df, target, series, size), series, size, pieces)
         for n in windows:
-            run = _merged(blocks[: n // size])
-            columns[f"rmean_{n}"] = F.try_divide(run["_sum"], run["_n"])
-            columns[f"rstd_{n}"] = F.when(run["_n"] > 1, F.sqrt(run["_m2"] / (run["_n"] - 1)))
+            run = _merged(size, n // size)
+            columns[f"rmean_{n}"] = f"if({run['_n']} > 0, {run['_mean']}, NULL)"
+            columns[f"rstd_{n}"] = f"if({run['_n']} > 1, sqrt({run['_m2']} / ({run['_n']} - 1)), NULL)"
             columns[f"rmin_{n}"] = run["_min"]
             columns[f"rmax_{n}"] = run["_max"]
     if not include_std:
-        columns = {name: c for name, c in columns.items() if not name.startswith("rstd_")}
-    return table.select(*df.columns, *[c.alias(name) for name, c in columns.items()])
+        columns = {name: sql for name, sql in columns.items() if not name.startswith("rstd_")}
+    kept = [f"`{c}`" for c in df.columns]
+    return table.selectExpr(*kept, *[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
 def add_difference_features(
@@ -235,14 +236,23 @@ def create_feature_table(
         reach = max(*defaults.LAG_PERIODS, *defaults.ROLLING_WINDOWS, *defaults.DIFFERENCE_PERIODS)
         rows = _with_history(df, group_col, ts_col, reach, chunk_rows)
         series = ("_chunk", group_col)
+    # Differences next to the lags share their window pass. The calendar columns come after the
+    # sort, so that they are not shuffled, but before the last pass, so that the code generated
+    # for the final columns stays small enough to be compiled.
     table = (
-        rows.transform(add_temporal_features, ts_col)
-        .transform(add_lag_features, series, target, order_col=ts_col)
-        .transform(add_rolling_features, series, target, order_col=ts_col)
+        rows.transform(add_lag_features, series, target, order_col=ts_col)
         .transform(add_difference_features, series, target, order_col=ts_col)
+        .transform(add_temporal_features, ts_col)
+        .transform(add_rolling_features, series, target, order_col=ts_col)
     )
     if chunk_rows is not None:
         table = table.filter(~F.col("_history")).drop("_chunk", "_history")
+    added = [c for c in table.columns if c not in df.columns]
+    looking_back = ("lag_", "rmean_", "rstd_", "rmin_", "rmax_", "diff_")
+    calendar = [c for c in added if not c.startswith(looking_back)]
+    differences = [c for c in added if c.startswith("diff_")]
+    others = [c for c in added if c not in (*calendar, *differences)]
+    table = table.select(*df.columns, *calendar, *others, *differences)
     return add_interaction_features(table) if include_interactions else table
 
 

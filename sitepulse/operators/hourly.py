@@ -24,12 +24,17 @@ def aggregate_hourly(df: DataFrame) -> DataFrame:
     if not isinstance(df.schema["timestamp"].dataType, T.TimestampNTZType):
         df = df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
     keys = ["site_id"] + (["state"] if "state" in df.columns else [])
-    present = df.dropna("any", subset=[*keys, "timestamp"])
-    hourly = present.groupBy(*keys, floor_hour(F.col("timestamp")).alias("hour")).agg(
-        F.coalesce(F.sum("sessions"), F.lit(0.0)).alias("sessions"),
-        F.count("sessions").alias("session_count"),
-        F.avg("sessions").alias("avg_sessions"),
-        F.min("timestamp").alias("first_timestamp"),
+    for name in (*keys, "timestamp"):
+        df = df.filter(F.col(name).isNotNull())
+    hourly = (
+        df.groupBy(*keys, floor_hour(F.col("timestamp")).alias("hour"))
+        .agg(
+            F.sum("sessions").alias("_sum"),
+            F.count("sessions").alias("session_count"),
+            F.min("timestamp").alias("first_timestamp"),
+        )
+        .withColumn("sessions", F.coalesce("_sum", F.lit(0.0)))
+        .withColumn("avg_sessions", F.try_divide("_sum", "session_count"))
     )
     if "state" not in hourly.columns:
         hourly = add_state(hourly)

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app_name: str = "sitepulse", master: str | None = None, **conf: str) -> SparkSession:
-    """Build a session with the settings the library expects."""
+    """Build a session with the settings the library expects.
+
+    Feature tables are wide. The JVM never compiles a method above 8000 bytes, so Spark is told to
+    split the code of such a projection instead of generating one large method.
+    """
     builder = (
         SparkSession.builder.appName(app_name)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
