@@ -57,10 +57,13 @@ UNKNOWN_STATE = "Unknown"
 
 def site_states(spark: SparkSession) -> DataFrame:
     """``site_id, state``."""
-    return spark.createDataFrame(list(SITE_STATES.items()), "site_id bigint, state string")
+    rows = ", ".join(f"({site}L, '{state}')" for site, state in SITE_STATES.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS states(site_id, state)")
 
 
 def site_coordinates(spark: SparkSession) -> DataFrame:
     """``site_id, lat, lon, name``."""
-    rows = [(site, *place) for site, place in SITE_COORDINATES.items()]
-    return spark.createDataFrame(rows, "site_id bigint, lat double, lon double, name string")
+    rows = ", ".join(
+        f"({site}L, {lat}D, {lon}D, '{name}')" for site, (lat, lon, name) in SITE_COORDINATES.items()
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS places(site_id, lat, lon, name)")

@@ -80,7 +80,7 @@ def prepare_sessions(
 
 def load_sessions(
     spark: SparkSession,
-    path: str = "data/raw/synthetic_sessions.csv",
+    path: str,
     file_format: str = "csv",
     observation: Observation | None = None,
 ) -> DataFrame:
