@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ def floor_hour(ts: Column) -> Column:
     return ts - past
 
 
+def moment(value: datetime) -> Column:
+    """A ``timestamp_ntz`` literal. A plain datetime literal would pass through two time zones."""
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _flag(condition: Column) -> Column:
     return condition.cast("int")
 

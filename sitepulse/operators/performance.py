@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
+from ..functions.calendar import moment
 from ..functions.metrics import METRICS, regression_metrics
 from ..functions.significance import student_t_p_value
 from .ranks import with_row_index
@@ -91,7 +92,7 @@ def recent_records(
     records: DataFrame, as_of: datetime, days: int = defaults.SUMMARY_DAYS
 ) -> DataFrame:
     """Records of the last ``days`` days before ``as_of``."""
-    return records.filter(F.col("timestamp") >= F.lit(as_of - timedelta(days=days)).cast("timestamp_ntz"))
+    return records.filter(F.col("timestamp") >= moment(as_of - timedelta(days=days)))
 
 
 def _trend_label(n: Column, slope: Column, p_value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.calendar import floor_hour
+from ..functions.calendar import floor_hour, moment
 from ..functions.metrics import METRICS, regression_metrics
 from ..operators import drift, enrich, features, performance, profile, quality, rollups, split
 from ..operators import requests as request_ops
@@ -105,7 +105,7 @@ def daily_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    early = naive_scores(spark, sf_dir).filter(F.col("hour") < F.lit(SPLIT_DAY).cast("timestamp_ntz"))
+    early = naive_scores(spark, sf_dir).filter(F.col("hour") < moment(SPLIT_DAY))
     return early.agg(*regression_metrics()).unpivot([], list(METRICS), "metric", "value")
 
 
@@ -115,13 +115,13 @@ def degraded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def value_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet")
-    early = F.col("ts") < F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    early = F.col("ts") < moment(SPLIT_DAY)
     return events.filter(early).select("value"), events.filter(~early).select("value")
 
 
 def hourly_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = features.add_temporal_features(hourly(spark, sf_dir), include_cyclical=False)
-    early = F.col("hour") < F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    early = F.col("hour") < moment(SPLIT_DAY)
     columns = ["site_id", "sessions", "session_count", "avg_sessions", "hour_of_day", "is_weekend"]
     late_only = "day_of_month"
     return (
@@ -458,7 +458,7 @@ def q_metric_trend(spark, sf_dir):
 def q_performance_history(spark, sf_dir):
     path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
     records, baseline = daily_records(spark, sf_dir), baseline_metrics(spark, sf_dir)
-    early = F.col("timestamp") < F.lit(SPLIT_DAY).cast("timestamp_ntz")
+    early = F.col("timestamp") < moment(SPLIT_DAY)
     for part in (records.filter(early), records.filter(~early)):
         reports.save_performance_history(part, baseline, path, training.MODEL_NAME)
     return rounded(reports.load_performance_history(spark, path)[0])

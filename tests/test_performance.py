@@ -113,3 +113,14 @@ def test_history_round_trip(spark, tmp_path):
     back, base = reports.load_performance_history(spark, path)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, history.collect()))
     assert [tuple(r) for r in base.collect()] == [("gbt", "mae", 1.5)]
+
+
+def test_recent_records_do_not_depend_on_the_session_time_zone(spark):
+    history = records(spark, range(10))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        recent = performance.recent_records(history, DAY + timedelta(days=30, hours=4), 30)
+        assert recent.count() == 6
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
