@@ -122,8 +122,11 @@ def value_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 def hourly_samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = features.add_temporal_features(hourly(spark, sf_dir), include_cyclical=False)
     early = F.col("hour") < moment(SPLIT_DAY)
-    columns = ["site_id", "sessions", "session_count", "avg_sessions", "hour_of_day", "is_weekend"]
-    late_only = "day_of_month"
+    columns = [
+        "site_id", "sessions", "session_count", "avg_sessions", "hour_of_day", "is_weekend",
+        "day_of_month",
+    ]
+    late_only = "quarter"
     return (
         rows.filter(early).select(*columns),
         rows.filter(~early).select(*columns, late_only),

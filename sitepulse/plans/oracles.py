@@ -212,6 +212,7 @@ VALUE_TESTS = _two_sample(
 )
 DRIFT_COLUMNS = [
     "site_id", "sessions", "session_count", "avg_sessions", "hour_of_day", "is_weekend",
+    "day_of_month",
 ]
 HOURLY_TESTS = f"""{_features()},
 {_two_sample(" UNION ALL ".join(
@@ -238,11 +239,11 @@ flagged AS (
 report AS (SELECT *, ks_drift OR mw_drift AS drift_detected FROM flagged),
 summary AS (
   SELECT coalesce(bool_or(drift_detected), FALSE) AS drift_detected,
-         CAST(7 AS INTEGER) AS total_features_tested,
+         CAST(8 AS INTEGER) AS total_features_tested,
          count(CASE WHEN drift_detected THEN 1 END) AS features_with_drift,
          coalesce(string_agg(CASE WHEN drift_detected THEN feature END, ', ' ORDER BY feature), '')
            AS drifted_features,
-         count(CASE WHEN drift_detected THEN 1 END) * 100.0::DOUBLE / 7 AS drift_percentage
+         count(CASE WHEN drift_detected THEN 1 END) * 100.0::DOUBLE / 8 AS drift_percentage
   FROM report)"""
 
 REQUESTS = f"""{_hourly()},

@@ -23,7 +23,7 @@ from ..operators.features import (
 )
 from ..operators.hourly import aggregate_hourly
 from ..operators.quality import drop_incomplete
-from ..sources.reports import save_named_model, save_training_results
+from ..sources.reports import RESULT_SCHEMA, save_named_model, save_training_results
 from . import model as forecast
 
 log = logging.getLogger(__name__)
@@ -31,9 +31,9 @@ log = logging.getLogger(__name__)
 MODEL_NAME = "gbt"
 
 
-def training_rows(sessions: DataFrame) -> DataFrame:
+def training_rows(sessions: DataFrame, chunk_rows: int | None = None) -> DataFrame:
     """Complete rows of the feature table; the lags cost each site its first rows."""
-    return drop_incomplete(create_feature_table(aggregate_hourly(sessions)))
+    return drop_incomplete(create_feature_table(aggregate_hourly(sessions), chunk_rows=chunk_rows))
 
 
 def available_features(df: DataFrame, names: Iterable[str] | None = None) -> list[str]:
@@ -130,7 +130,8 @@ def run_training(
 ) -> tuple[PipelineModel, DataFrame]:
     """Prepare, train, cross-validate and test; with ``output_dir`` also save all of it.
 
-    The model is saved under a time-stamped path and under its plain name.
+    The model is saved under a time-stamped path and under its plain name; the paths are
+    the ``artifact`` rows of the returned results.
     """
     rows, names = prepare_data(sessions)
     model, parts = train_model(rows, names, tuning=tuning, **options)
@@ -140,9 +141,13 @@ def run_training(
         results = results.unionByName(part)
     if output_dir is not None:
         models = {MODEL_NAME: model}
-        save_named_model(models, MODEL_NAME, output_dir, include_timestamp=True, now=now)
-        save_named_model(models, MODEL_NAME, output_dir, include_timestamp=False)
-        save_training_results(results, output_dir)
+        paths = {
+            "model_path": save_named_model(models, MODEL_NAME, output_dir, True, now),
+            "current_model_path": save_named_model(models, MODEL_NAME, output_dir, False),
+            "results_path": save_training_results(results, output_dir),
+        }
+        rows = [("artifact", name, None, path) for name, path in paths.items()]
+        results = results.unionByName(results.sparkSession.createDataFrame(rows, RESULT_SCHEMA))
     return model, results
 
 

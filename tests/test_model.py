@@ -136,7 +136,12 @@ def test_cross_validation_and_tuning(prepared):
 def test_full_run(spark, sessions, tmp_path):
     model, results = training.run_training(sessions, str(tmp_path), cv_splits=2, **SMALL)
     saved = reports.load_training_results(spark, str(tmp_path))
-    assert sorted(map(str, saved.collect())) == sorted(map(str, results.collect()))
+    rows = results.collect()
+    assert sorted(map(str, saved.collect())) == sorted(
+        str(r) for r in rows if r["section"] != "artifact"
+    )
+    paths = {r["name"]: r["detail"] for r in rows if r["section"] == "artifact"}
+    assert paths["current_model_path"] == f"{tmp_path}/gbt" and len(paths) == 3
     assert {r["section"] for r in saved.collect()} == {"cross_validation", "test"}
     names = sorted(p.name for p in tmp_path.iterdir())
     assert names[0] == "gbt" and names[1].startswith("gbt_2") and "training_results.json" in names
