@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import with_row_index
 from ..session import materialize
 from .components import connected_components
 from .packing import pack_texts, unpack_column
@@ -28,6 +29,9 @@ from .textbatch import FOLDED, find_words, map_batches, text_chunks, window_hash
 GRAM_WORDS = 4
 PERCENT = 85
 FRAGMENTS = 4
+BLOCK = 128
+DENSE = 8  # n-grams in more sets of a block than this are counted by a matrix product
+COLUMNS = 4096
 _SHIFT = np.uint64(62)  # the two leading bits number the fragment
 
 
@@ -126,61 +130,123 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return materialize(chosen, "prefixes")
 
 
-def _alike(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _blocks(prefixes: DataFrame) -> DataFrame:
+    """``doc, n, block``: documents that share an n-gram of their prefixes, in small blocks.
 
-
-def _segments(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``doc, fragment, grams``: whole sets of the wanted documents, cut into fragments."""
-
-    def cut(batches):
+    ``hint``, the smallest document met through a common n-gram, keeps most of a group together;
+    sorted by it and the set size, every ``BLOCK`` rows begin a new block. Where a document
+    lands matters for the amount of work only.
+    """
+    pivots = prefixes.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    pivots = materialize(pivots.filter("low < high").select("key", "low"), "pivots")
+    hints = prefixes.join(pivots, "key").groupBy("doc").agg(
+        F.min("low").alias("hint"), F.min("n").alias("n")
+    )
+    placed = with_row_index(hints, "hint", "n", "doc")
+    block = F.xxhash64("hint", F.expr(f"row_index div {BLOCK}"))
+    return materialize(placed.select("doc", "n", block.alias("block")), "blocks")
+
+
+def _block_pairs(prefixes: DataFrame, blocks: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: blocks that have an n-gram in common and sizes that allow a link."""
+    spans = blocks.groupBy("block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    rows = prefixes.select("key", "doc").join(blocks.select("doc", "block"), "doc")
+    rows = materialize(rows.select("key", "block").distinct(), "keyblocks")
+    left = rows.withColumnRenamed("block", "a")
+    right = rows.withColumnRenamed("block", "b")
+    pairs = left.join(right, "key").filter("a <= b").select("a", "b").distinct()
+    pairs = pairs.join(spans.toDF("a", "lo_a", "hi_a"), "a").join(spans.toDF("b", "lo_b", "hi_b"), "b")
+    fits = f"lo_a * {percent} <= hi_b * 100 AND lo_b * {percent} <= hi_a * 100"
+    return materialize(pairs.filter(fits).select("a", "b"), "blockpairs")
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: counted by fragment of the order, then summed."""
+    total = np.zeros((len(sets), len(sets)), np.int64)
+    bounds = np.arange(FRAGMENTS + 1, dtype=np.uint64)
+    cuts = [np.searchsorted(s >> _SHIFT, bounds) for s in sets]
+    for f in range(FRAGMENTS):
+        parts = [s[c[f] : c[f + 1]] for s, c in zip(sets, cuts)]
+        grams = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(sets)), [len(p) for p in parts])
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        run = np.cumsum(np.append(True, grams[1:] != grams[:-1])) - 1 if len(grams) else grams
+        count = np.bincount(run.astype(np.int64)) if len(grams) else np.zeros(0, int)
+        few = count[run] <= DENSE if len(grams) else np.zeros(0, bool)
+        some_run, some_owner = run[few], owner[few]
+        for k in range(1, DENSE):  # rare n-grams: pair each place with the k-th next
+            same = np.flatnonzero(some_run[k:] == some_run[:-k]) if k < len(some_run) else []
+            if not len(same):
+                break
+            flat = some_owner[same] * len(sets) + some_owner[same + k]
+            hits = np.bincount(flat, minlength=total.size).reshape(total.shape)
+            total += hits + hits.T
+        many_owner = owner[~few]
+        many_run = np.unique(run[~few], return_inverse=True)[1]
+        for base in range(0, many_run.max() + 1 if len(many_run) else 0, COLUMNS):  # common ones
+            at = (many_run >= base) & (many_run < base + COLUMNS)
+            has = np.zeros((len(sets), COLUMNS), np.float32)
+            has[many_owner[at], many_run[at] - base] = 1
+            total += (has @ has.T).astype(np.int64)
+    return total
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, blocks: DataFrame, weights: DataFrame, width: int, percent: int):
+    """``doc, root, links``: within a pair of blocks, a document's links and the smallest
+    document that it reaches. Pairs of documents are never rows."""
+    both = pairs.select("a", "b", F.col("a").alias("block"))
+    both = both.union(pairs.filter("a <> b").select("a", "b", F.col("b")))
+    tags = both.join(blocks.select("doc", "block"), "block")
+    tags = tags.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "block")).alias("tags"))
+    tags = tags.join(weights.toDF("doc", "weight"), "doc").withColumnRenamed("doc", "doc_id")
+
+    def spread(batches):
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [], [], []
+            ids, weight = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            tags = batch.column(2).to_pylist()
+            out = [], [], [], [], [], []
             for row, grams in _gram_sets(unpack_column(batch.column(1)), width):
-                bounds = np.searchsorted(grams >> _SHIFT, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                for f in range(FRAGMENTS):
-                    if bounds[f] < bounds[f + 1]:
-                        out[0].append(ids[row])
-                        out[1].append(f)
-                        out[2].append(grams[bounds[f] : bounds[f + 1]].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())],
-                ["doc", "fragment", "grams"],
-            )
-
-    rows = pack_texts(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "blob")
-    return map_batches(rows, cut, "doc long, fragment int, grams binary")
-
-
-def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Those pairs ``a, b, n_a, n_b`` whose sets are similar: overlaps by fragment, then summed."""
-
-    def count(batches):
-        for batch in batches:
-            common = [
-                len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), True))
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(common, pa.int64())], ["a", "b", "common"]
-            )
-
-    left = segments.select(F.col("doc").alias("a"), "fragment", F.col("grams").alias("x"))
-    right = segments.select(F.col("doc").alias("b"), "fragment", F.col("grams").alias("y"))
-    meet = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"])
-    partial = map_batches(meet.select("a", "b", "x", "y"), count, "a long, b long, common long")
-    total = partial.groupBy("a", "b").agg(F.sum("common").alias("common"))
-    similar = F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent
-    return pairs.join(total, ["a", "b"]).filter(similar).select(F.col("a").alias("u"), F.col("b").alias("v"))
+                for tag in tags[row]:
+                    values = tag["a"], tag["b"], tag["block"], ids[row], weight[row], grams.tobytes()
+                    for column, value in zip(out, values):
+                        column.append(value)
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            names = ["a", "b", "block", "doc", "weight", "grams"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+
+    def compare(table: pa.Table) -> pa.Table:
+        a, b, block, doc, weight = (table.column(i).to_numpy() for i in range(5))
+        sets = [np.frombuffer(g, np.uint64) for g in table.column(5).to_pylist()]
+        size = np.array([len(s) for s in sets])
+        common = _overlaps(sets)
+        like = common * 100 >= (size[:, None] + size - common) * percent
+        np.fill_diagonal(like, False)
+        if a[0] != b[0]:
+            like &= block[:, None] != block
+        root, before = doc.copy(), None
+        while before is None or (before != root).any():
+            before = root
+            root = np.minimum(root, np.where(like, root, np.iinfo(np.int64).max).min(axis=1))
+        links = like @ weight
+        some = links > 0
+        return pa.table({"doc": doc[some], "root": root[some], "links": links[some]})
+
+    rows = pack_texts(docs).join(tags.hint("shuffle_hash"), "doc_id")
+    rows = map_batches(
+        rows.select("doc_id", "blob", "tags", "weight"),
+        spread,
+        "a long, b long, block long, doc long, weight long, grams binary",
+    )
+    return rows.groupBy("a", "b").applyInArrow(compare, "doc long, root long, links long")
 
 
 def similar_groups(docs: DataFrame, width: int = GRAM_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs`` (``doc_id, text``).
 
     Two documents link when ``100 * intersection >= percent * union`` of their sets of ``width``-word
     n-grams (A-Z in lower case; fewer words count as one n-gram). ``component_id`` is the smallest
-    ``doc_id`` that can be reached. Null and empty texts have an empty set and link with nothing; a row
+    ``doc_id`` that can be reached, ``n_links`` the number of other rows linked directly. Null and empty texts have an empty set and link with nothing; a row
     with a null ``doc_id`` links with nothing and has a null component; rows that repeat a
     ``doc_id`` must carry the same text. Other columns are ignored. N-grams are compared by
     64-bit hashes, equal sets by 128-bit digests.
@@ -194,47 +260,29 @@ def similar_groups(docs: DataFrame, width: int = GRAM_WORDS, percent: int = PERC
             F.min("doc_id").alias("rep"),
             F.min("n_shingles").alias("n_shingles"),
             F.min("n_lead").alias("n_lead"),
+            F.count(F.lit(1)).alias("members"),
         ),
         "classes",
     )
     prefixes = _prefixes(sets, classes, percent)
 
-    pivots = prefixes.groupBy("key").agg(
-        F.min(F.struct("doc", "n")).alias("pivot"), F.max("doc").alias("most")
-    )
-    pivots = materialize(
-        pivots.filter("pivot.doc < most").select(
-            "key", F.col("pivot.doc").alias("a"), F.col("pivot.n").alias("n_a")
-        ),
-        "pivots",
+    blocks = _blocks(prefixes)
+    pairs = _block_pairs(prefixes, blocks, percent)
+    weights = classes.select("rep", "members")
+    linked = materialize(_linked(pairs, docs, blocks, weights, width, percent), "linked")
+    links = linked.groupBy("doc").agg(F.sum("links").alias("links"))
+    found = connected_components(linked.select(F.col("doc").alias("u"), F.col("root").alias("v")))
+    groups = links.join(found.toDF("doc", "component"), "doc")
+    classes = classes.join(groups.withColumnRenamed("doc", "rep"), "rep", "left").select(
+        "digest",
+        F.coalesce("component", "rep").alias("component"),
+        (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"),
     )
-    shared = prefixes.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b")).join(pivots, "key")
-    stars = shared.filter("a < b").filter(_alike("n_a", "n_b", percent))
-    stars = materialize(stars.select("a", "b", "n_a", "n_b").distinct(), "stars")
-    # members of a group of several documents; only their texts are read again
-    wanted = shared.select(F.col("b").alias("doc_id")).distinct()
-    segments = materialize(_segments(docs, wanted, width), "segments")
-    near = materialize(_links(stars, segments, percent), "links")
-
-    found = connected_components(near)
-    placed = prefixes.join(pivots.select("key"), "key", "left_semi")
-    placed = placed.join(found.toDF("doc", "component"), "doc", "left")
-    placed = placed.select("key", "doc", "n", F.coalesce("component", "doc").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = materialize(mixed.filter("low < high").select("key"), "mixed")
-    open_rows = materialize(placed.join(mixed, "key", "left_semi"), "open")
-    one = open_rows.select("key", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("p"))
-    two = open_rows.select("key", F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("part").alias("q"))
-    rest = one.join(two, "key").filter("a < b AND p <> q").filter(_alike("n_a", "n_b", percent))
-    rest = rest.select("a", "b", "n_a", "n_b").distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"), "rest")
-    found = connected_components(near.union(_links(rest, segments, percent)))
-
-    return (
-        sets.select("doc_id", "n_shingles", "digest")
-        .join(classes.select("digest", "rep"), "digest", "left")
-        .join(found.toDF("rep", "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return sets.join(materialize(classes, "groups"), "digest", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.coalesce("links", F.lit(0)).alias("n_links"),
     )
 
 
