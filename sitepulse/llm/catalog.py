@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "mixing",
+    "pii",
     "langid",
     "quality",
     "ngram_join",
