@@ -5,10 +5,59 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sitepulse.llm import langid, mixing, ngram_join, pieces, pii
 from sitepulse.session import shared_dir
 
-STAGES: list = []
+SURE = 0.5  # least posterior probability of a language
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter and texts of no clear language go."""
+    names = "_lang_pred", "_lang_score"
+    found = langid.add_language(docs, langid.fit_languages(docs), *names)
+    known = f"_lang_pred <> '{langid.UNDETERMINED}' AND _lang_score >= {SURE}"
+    return found.filter(known).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar documents the one with the smallest id stays; rows with the same
+    id and text are one document; rows without an id stay."""
+    groups = ngram_join.similar_groups(docs)
+    copies = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced; no document goes."""
+    return pii.sanitise(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays as often as the mix takes it: never, once or twice."""
+    return mixing.take_copies(docs, mixing.mix_sources(docs))
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds ``piece_ids``, their number, and whether they decode to the text (null counts as empty)."""
+    model = pieces.load_pieces()
+    both = pieces.decode(pieces.encode(docs, model), model, "_decoded")
+    return both.select(
+        *[c for c in docs.columns if c not in ("piece_ids", "n_pieces", "round_trip")],
+        "piece_ids",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near copies", drop_near_copies),
+    ("personal data", remove_personal_data),
+    ("mixing", mix_sources),
+    ("pieces", encode_texts),
+]
 
 # No stage from the language model on can be written in SQL; the tests compare with brute force.
 ORACLE_SQL = None

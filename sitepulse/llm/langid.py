@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .learning import held_out, sample_ids
 from .textbatch import map_batches, mix, powers
@@ -167,13 +168,17 @@ def _word_scores(model: LanguageModel, words: _Words, begin, end) -> np.ndarray:
     return out
 
 
-def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for every row of ``docs`` (``doc_id, text``).
+def add_language(
+    docs: DataFrame, model: LanguageModel, name_col: str = "lang_pred", score_col: str = "lang_score"
+) -> DataFrame:
+    """``docs`` with the language of each ``text`` and the posterior probability of it.
 
-    ``score`` is the posterior probability of the best language (the first by name in a tie) under equal
-    priors. Null, empty or letterless text, or a model without languages, gives ``und`` and 0. Only
-    the text enters; other columns are ignored; repeated rows get the same result.
+    The best language (the first by name in a tie) under equal priors. Null, empty or letterless text,
+    or a model without languages, gives ``und`` and 0. Only the text enters; repeated rows get the
+    same result; columns of the new names are replaced.
     """
+    docs = docs.drop(name_col, score_col)
+    place = docs.columns.index("text")
 
     def predict(batches):
         letters = _letters(model.letters)
@@ -182,7 +187,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             best = np.full(batch.num_rows, k)
             score = np.zeros(batch.num_rows)
-            for first, run in _text_runs(batch.column(1)):
+            for first, run in _text_runs(batch.column(place)):
                 words = _Words(run, letters)
                 if not len(words.begin) or not k:
                     continue
@@ -199,12 +204,20 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 best[rows] = np.where(some, total.argmax(1), k)
                 score[rows] = np.where(some, share.max(1) / share.sum(1), 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(score)],
-                ["doc_id", "lang_pred", "score"],
+                [*batch.columns, pa.array(names[best], pa.string()), pa.array(score)],
+                [*batch.schema.names, name_col, score_col],
             )
 
+    schema = T.StructType(
+        [*docs.schema.fields, T.StructField(name_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
+    )
+    return map_batches(docs, predict, schema)
+
+
+def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for every row of ``docs``; see ``add_language``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = map_batches(rows, predict, "doc_id long, lang_pred string, score double")
+    found = add_language(rows, model, "lang_pred", "score")
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 CHUNK_BYTES = 2 << 20
 BATCH_ROWS = 1024
@@ -44,7 +45,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with batches of bounded size."""
     small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
