@@ -354,8 +354,8 @@ def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarra
     return flat[np.repeat(start - first, count) + np.arange(count.sum())]
 
 
-def _wider(df: DataFrame, name: str, kind: str) -> T.StructType:
-    return T.StructType([*df.schema.fields, *T.StructType().add(name, kind).fields])
+def _wider(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFrame:
@@ -377,7 +377,7 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
                 [*batch.columns, lists], [*batch.schema.names, "piece_ids"]
             )
 
-    return map_batches(docs, run, _wider(docs, "piece_ids", "array<int>"))
+    return map_batches(docs, run, _wider(docs, "piece_ids", T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: PieceModel, out_col: str = "decoded") -> DataFrame:
@@ -399,7 +399,7 @@ def decode(encoded: DataFrame, model: PieceModel, out_col: str = "decoded") -> D
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out_col]
             )
 
-    return map_batches(encoded, run, _wider(encoded, out_col, "string"))
+    return map_batches(encoded, run, _wider(encoded, out_col, T.StringType()))
 
 
 def encoding_report(docs: DataFrame, model: PieceModel) -> DataFrame:
