@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "fingerprint",
+    "grid_join",
     "page_text",
     "pieces",
     "mixing",

@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 
+def least_reached(like: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric link matrix the smallest id that it reaches, its own included."""
+    least, before = ids.copy(), None
+    while before is None or (before != least).any():
+        before = least
+        near = np.where(like, least, np.iinfo(np.int64).max).min(axis=1)
+        least = np.minimum(least, near)
+    return least
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for the ends of ``edges`` (``u long, v long``).
 

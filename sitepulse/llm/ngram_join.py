@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranks import with_row_index
 from ..session import materialize
-from .components import connected_components
+from .components import connected_components, least_reached
 from .packing import pack_texts, unpack_column
 from .textbatch import FOLDED, find_words, map_batches, text_chunks, window_hashes
 
@@ -224,10 +224,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, blocks: DataFrame, weights: DataF
         np.fill_diagonal(like, False)
         if a[0] != b[0]:
             like &= block[:, None] != block
-        root, before = doc.copy(), None
-        while before is None or (before != root).any():
-            before = root
-            root = np.minimum(root, np.where(like, root, np.iinfo(np.int64).max).min(axis=1))
+        root = least_reached(like, doc)
         links = like @ weight
         some = links > 0
         return pa.table({"doc": doc[some], "root": root[some], "links": links[some]})
