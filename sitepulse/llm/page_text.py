@@ -153,32 +153,41 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages`` (``page_id, url, html``).
 
     Null html counts as empty and gives an empty text. A page with a null URL, or alone on its host,
-    has no partner and loses only what the markup names. Among equal path prefixes the page
-    before is the partner. Rows that repeat a page are pages of their own. Other columns are ignored.
+    has no partner and loses only what the markup names. The partner is the page of another URL, the one
+    before among equal path prefixes; of pages with one URL that with the smallest id stands for all.
+    Other columns are ignored.
     """
 
     def outline(batches):
+        for batch in batches:
+            keys = [
+                [line_key(t) for t, zone in page_lines(page or "") if zone != "main"]
+                for page in batch.column(2).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))],
+                ["page_id", "url", "keys"],
+            )
+
+    def pack(batches):
         for batch in batches:
             squeeze = zstandard.ZstdCompressor(level=3).compress
-            keys, blobs = [], []
-            for page in batch.column(2).to_pylist():
-                page = page or ""
-                keys.append([line_key(t) for t, zone in page_lines(page) if zone != "main"])
-                blobs.append(squeeze(page.encode("utf-8", "surrogatepass")))
+            blobs = [squeeze(t.as_buffer()) if t.is_valid else b"" for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(blobs, pa.binary())],
-                ["page_id", "url", "keys", "blob"],
+                [batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["page_id", "url", "blob"]
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    schema = "page_id long, url string, keys array<long>, blob binary"
-    place = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract("url", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)", 2)
-    outlined = map_batches(rows, outline, schema).select(
-        F.lower(place).alias("host"), path.alias("path"), "*"
-    )
-    ordered = materialize(with_row_index(outlined, "host", "path", "url", "page_id"), "pages")
-    narrow = ordered.filter("host <> ''").select("row_index", "host", "path", "keys")
+    parts = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+    outlined = map_batches(rows.filter("url IS NOT NULL"), outline, "page_id long, url string, keys array<long>")
+    by_url = outlined.groupBy("url").agg(F.min_by("keys", F.struct("page_id", "keys")).alias("keys"))
+    places = by_url.select(
+        F.lower(F.regexp_extract("url", parts, 1)).alias("host"),
+        F.regexp_extract("url", parts, 2).alias("path"),
+        "url",
+        "keys",
+    ).filter("host <> ''")
+    narrow = materialize(with_row_index(places, "host", "path", "url"), "pages")
     candidates = narrow.select(
         F.explode(F.array(F.col("row_index") - 1, F.col("row_index") + 1)).alias("row_index"),
         F.col("row_index").alias("other"),
@@ -194,24 +203,25 @@ def extract_text(pages: DataFrame) -> DataFrame:
         ).otherwise(n),
     )
     near = (
-        narrow.select("row_index", "host", "path")
+        narrow.select("row_index", "host", "path", "url")
         .join(candidates, "row_index")
         .filter("host = other_host")
-        .groupBy("row_index")
+        .groupBy("url")
         .agg(F.max_by("other_keys", F.struct(same, -F.col("other"))).alias("partner"))
     )
 
     def extract(batches):
         for batch in batches:
             texts = [
-                main_text(unpack(blob).decode("utf-8", "surrogatepass"), partner or [])
+                main_text(unpack(blob).decode(), partner or [])
                 for blob, partner in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
-    paired = ordered.select("row_index", "page_id", "url", "blob").join(near.hint("shuffle_hash"), "row_index", "left")
+    packed = map_batches(rows, pack, "page_id long, url string, blob binary")
+    paired = packed.join(near.hint("shuffle_hash"), "url", "left")
     texts = map_batches(
         paired.select("page_id", "url", "blob", "partner"), extract, "page_id long, url string, text string"
     )
