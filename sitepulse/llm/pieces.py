@@ -26,7 +26,9 @@ from .textbatch import map_batches, mix, powers
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN = -2  # a character without a piece; bytes stand for it
-CACHED_WORDS = 1 << 20
+CACHED_WORDS = 1 << 19
+WORDS_AT_ONCE = 1 << 13
+CHUNK_CHARS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PROBE_BITS = 21
@@ -242,10 +244,18 @@ class _Encoder:
 
     def viterbi(self, hashes, begin: np.ndarray, size: np.ndarray):
         """Piece ids of the given words, one after the other, and how many each has."""
-        m = self.model
         order = np.argsort(-size, kind="stable")  # words of equal length side by side
-        begin, size = begin[order], size[order]
-        top = int(size.max())
+        runs = [order[i : i + WORDS_AT_ONCE] for i in range(0, len(order), WORDS_AT_ONCE)]
+        found = [self._advance(hashes, begin[run], size[run]) for run in runs]
+        count = np.concatenate([c for _, c in found])
+        place = np.argsort(order, kind="stable")  # back to the order of the call
+        start = (np.cumsum(count) - count)[place]
+        return _gather(np.concatenate([f for f, _ in found]), start, count[place]), count[place]
+
+    def _advance(self, hashes, begin: np.ndarray, size: np.ndarray):
+        """The same for words sorted from long to short."""
+        m = self.model
+        top = int(size[0])
         last = np.full((top + 1, len(begin)), -1, np.int64)  # piece that ends here
         step = np.zeros((top + 1, len(begin)), np.int64)  # its length
         best = np.full((top + 1, len(begin)), -np.inf)
@@ -284,10 +294,7 @@ class _Encoder:
         flat = np.zeros(stop[-1], np.int64)
         for back, (rows, piece) in enumerate(trail):
             flat[stop[rows] - 1 - back] = piece
-        # back to the order of the call
-        place = np.argsort(order, kind="stable")
-        start = (stop - count)[place]
-        return _gather(flat, start, count[place]), count[place]
+        return flat, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other and their number per text."""
@@ -369,10 +376,18 @@ def encode(docs: DataFrame, model: PieceModel, text_col: str = "text") -> DataFr
     def run(batches):
         encoder = _Encoder(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column(place).to_pylist()]
-            ids, counts = encoder.encode(texts)
+            done, part, size = [], [], 0
+            for text in batch.column(place).to_pylist():
+                part.append(text or "")
+                size += len(part[-1])
+                if size >= CHUNK_CHARS:
+                    done.append(encoder.encode(part))
+                    part, size = [], 0
+            done.append(encoder.encode(part))
+            counts = np.concatenate([c for _, c in done])
             offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))
+            ids = np.concatenate([i for i, _ in done]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, lists], [*batch.schema.names, "piece_ids"]
             )

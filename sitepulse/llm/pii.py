@@ -268,16 +268,16 @@ def _joined(spans: Column) -> Column:
 
 def q_op7_pii(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [
-        F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in KINDS
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     terms = F.transform(
         "terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     )
     return found.select(
         "doc_id",
-        *counts,
+        *map(count, KINDS),
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         F.concat_ws(
             ",",
