@@ -23,7 +23,7 @@ LONGEST = 4
 UNDETERMINED = "und"
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 19
 
 
 def _letter_bits() -> bytes:
