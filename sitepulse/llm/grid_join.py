@@ -218,3 +218,28 @@ def near_duplicates(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
 
 def q_op1_grid_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+ORACLES = {
+    "op1_grid_join": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len([e FOR e IN embedding IF e IS NULL OR NOT isfinite(e)]) = 0
+    AND len([e FOR e IN embedding IF e <> 0]) > 0
+),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q
+  ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.93
+),
+reach(id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+),
+least AS (SELECT id, min(other) AS low FROM reach GROUP BY id),
+counted AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN least ON least.id = vec_id LEFT JOIN counted ON counted.id = vec_id
+"""
+}

@@ -285,3 +285,35 @@ def similar_groups(docs: DataFrame, width: int = GRAM_WORDS, percent: int = PERC
 
 def q_op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLES = {
+    "op6_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+starts AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, least(len(w), 1) + 1))) AS i FROM d),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS k FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM grams x JOIN grams y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b
+  WHERE 100 * c >= 85 * (s.n + t.n - c)
+),
+reach(id, other) AS (
+  SELECT a, b FROM links UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other
+),
+least AS (SELECT id, min(other) AS low FROM reach GROUP BY id),
+counted AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+  coalesce(counted.n, 0) AS n_links
+FROM d LEFT JOIN sizes s USING (doc_id) LEFT JOIN least ON least.id = d.doc_id
+LEFT JOIN counted ON counted.id = d.doc_id
+"""
+}

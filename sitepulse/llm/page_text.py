@@ -31,9 +31,9 @@ FRAME = frozenset("nav footer aside form dialog menu button select iframe noscri
 CONTAINERS = FRAME | frozenset("div section article main header ul ol dl table figure details".split())
 BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption blockquote pre address hr figcaption summary "
-    "fieldset legend body head html title option tbody thead tfoot".split()
+    "fieldset legend body head html option tbody thead tfoot".split()
 )
-SILENT = "script|style|template|svg|head|textarea|noscript|iframe|object|math"
+SILENT = "script|style|template|svg|title|textarea|noscript|iframe"
 FRAME_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|breadcrumbs?|cookies?"
     r"|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies"
@@ -66,7 +66,7 @@ def page_lines(page: str) -> list[tuple[str, str]]:
     for token in _TOKEN.finditer(page):
         parts.append(page[at : token.start()])
         at = token.end()
-        if token[1] and token[1].lower() not in BLOCKS or not token[2]:
+        if not token[2]:
             continue
         name = token[2].lower()
         closing = token[0].startswith("</")

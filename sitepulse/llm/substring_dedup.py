@@ -200,3 +200,25 @@ def q_op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_passages(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+ORACLES = {
+    "op10_substring_dedup": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM starts),
+firsts AS (SELECT k, min(doc_id) AS low FROM windows GROUP BY k),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (k) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hits),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+  sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+}

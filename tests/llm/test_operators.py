@@ -310,7 +310,8 @@ def personal_data(text):
 
 def test_personal_data(spark, empty):
     rnd = random.Random(8)
-    texts = ["".join(rnd.choice("a1.@+- (9é𝄞2_") for _ in range(rnd.randint(0, 80))) for _ in range(400)]
+    parts = [*"a1.@+- (9é𝄞2_", "1.2.3.4", "x@y.z", "4111111111111111", "+123456789"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(400)]
     texts += ["a@b.c_d@e.f", "1.2.3.4.5.6.7.8 999.1.1.1 001.2.3.4", "4111 1111 1111 1111", "+1 (988) 555-2485", None]
     texts += ["1 " * 5000 + "9" * 20000 + "a" * 50000 + "@"]
     made = table(spark, [(i, t, None, None) for i, t in enumerate(texts)] + [(0, texts[0], None, None)])
