@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,9 @@ from pyspark.sql import types as T
 # Send these small functions by value, so that executors need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Fixed value: up to this sample size the two-sample test uses the exact null distribution.
-EXACT_LIMIT = 10_000
-
+TERMS = 100  # of Kolmogorov's series
+STEPS = 1024  # of a numerical integral
+REACH = 6.5  # beyond this exp(-x * x) is below 1e-18
 
 def _ks_exact(d: float, m: int, n: int) -> float:
     """Chance that a random ordering of the two samples reaches a gap of at least ``d``.
@@ -47,79 +48,70 @@ def _ks_exact(d: float, m: int, n: int) -> float:
     return min(1.0, reached)
 
 
-def _ks_limit(d: float, m: int, n: int) -> float:
-    """Kolmogorov's series with a correction for the effective sample size."""
-    size = round(m * n / (m + n))
-    root = math.sqrt(size)
-    x = root * d
-    x += 1 / (6 * root) + (x - 1) / (4 * size)
-    if x < 0.2:
-        return 1.0
-    terms = [(-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)]
-    return min(1.0, max(0.0, 2 * math.fsum(terms)))
-
+@F.pandas_udf(T.DoubleType())
+def _ks_exact_column(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([_ks_exact(*row) for row in zip(d, m, n)], dtype=float)
 
-def ks_p(d: float, m: int, n: int) -> float:
-    """Two-sided p-value of the two-sample Kolmogorov-Smirnov statistic."""
-    return _ks_exact(d, m, n) if max(m, n) <= EXACT_LIMIT else _ks_limit(d, m, n)
 
+def _simpson(height: Callable[[Column], Column], start: Column, stop: Column) -> Column:
+    """Integral of ``height`` by Simpson's rule with a fixed number of steps."""
+    step = (stop - start) / STEPS
 
-def mann_whitney_p(u: float, m: int, n: int, tie_sum: float) -> float:
-    """Two-sided normal p-value of U with tie and continuity correction."""
-    total = m + n
-    centre = m * n / 2
-    variance = m * n / 12 * ((total + 1) - tie_sum / (total * (total - 1)))
-    if variance <= 0:
-        return 1.0
-    z = (max(u, m * n - u) - centre - 0.5) / math.sqrt(variance)
-    return min(1.0, math.erfc(z / math.sqrt(2)))
+    def add(total: Column, k: Column) -> Column:
+        weight = F.when((k == 0) | (k == STEPS), 1.0).when(k % 2 == 1, 4.0).otherwise(2.0)
+        return total + weight * height(start + step * k)
 
+    return F.aggregate(F.sequence(F.lit(0), F.lit(STEPS)), F.lit(0.0), add) * step / 3
 
-@F.pandas_udf(T.DoubleType())
-def _ks_p_column(d: pd.Series, m: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([ks_p(*row) for row in zip(d, m, n)], dtype=float)
 
+def ks_p_value(d: Column, n_ref: Column, n_new: Column, method: str = "limit") -> Column:
+    """Two-sided p-value of the two-sample Kolmogorov-Smirnov statistic.
 
-@F.pandas_udf(T.DoubleType())
-def _mann_whitney_p_column(
-    u: pd.Series, m: pd.Series, n: pd.Series, ties: pd.Series
-) -> pd.Series:
-    return pd.Series([mann_whitney_p(*row) for row in zip(u, m, n, ties)], dtype=float)
+    ``limit`` is Kolmogorov's series with a correction for the effective sample size, the same for all
+    sizes. ``exact`` walks through all orderings of one feature in one task, in a time that grows
+    with the product of the sizes; the caller chooses it, never the number of rows.
+    """
+    if method == "exact":
+        return _ks_exact_column(d, n_ref, n_new)
+    if method != "limit":
+        raise ValueError(f"Unknown method {method}")
+    m, n = n_ref.cast("double"), n_new.cast("double")
+    size = F.greatest(F.round(m * n / (m + n)), F.lit(1.0))
+    root = F.sqrt(size)
+    x = root * d + 1 / (6 * root) + (root * d - 1) / (4 * size)
 
+    def add(total: Column, k: Column) -> Column:
+        sign = F.when(k % 2 == 1, 1.0).otherwise(-1.0)
+        return total + sign * F.exp(-2.0 * k * k * x * x)
 
-def ks_p_value(d: Column, n_ref: Column, n_new: Column) -> Column:
-    return _ks_p_column(d, n_ref, n_new)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), F.lit(0.0), add)
+    # below 0.2 the value is 1 to more than 20 digits, and the terms no longer fade
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
 
 
 def mann_whitney_p_value(u: Column, n_ref: Column, n_new: Column, tie_sum: Column) -> Column:
-    return _mann_whitney_p_column(u, n_ref, n_new, tie_sum)
+    """Two-sided normal p-value of U with tie and continuity correction."""
+    m, n = n_ref.cast("double"), n_new.cast("double")
+    total = m + n
+    variance = m * n / 12 * ((total + 1) - tie_sum / (total * (total - 1)))
+    z = (F.abs(u - m * n / 2) - 0.5) / F.sqrt(F.when(variance > 0, variance))
+    x = z / math.sqrt(2)
+    tail = _simpson(lambda s: F.exp(-s * s - 2 * x * s), F.lit(0.0), F.lit(REACH))
+    p = 2 / math.sqrt(math.pi) * F.exp(-x * x) * tail
+    return F.when(F.coalesce(z, F.lit(0.0)) <= 0, 1.0).otherwise(F.least(p, F.lit(1.0)))
 
 
 def student_t_p_value(t: Column, df: Column) -> Column:
-    """Two-sided p-value for whole degrees of freedom, by the finite trigonometric series.
+    """Two-sided p-value for any degrees of freedom, in a fixed number of steps.
 
-    Both the odd and the even case add terms that follow from the one two steps before:
-    term(k) = term(k - 2) * (k - 1) / k * cos(theta)^2.
+    With ``t = sqrt(df) tan(angle)`` the density is proportional to ``cos(angle) ** (df - 1)``; both the
+    tail and the whole are integrated over the angles where it is above exp(-72).
     """
-    theta = F.atan(F.abs(t) / F.sqrt(df))
-    sine, cosine = F.sin(theta), F.cos(theta)
-    odd = df % 2 == 1
-    first = F.when(odd, cosine).otherwise(F.lit(1.0))
-    start = F.when(odd, F.lit(3)).otherwise(F.lit(2)).cast("int")
-    stop = (df - 2).cast("int")
-    steps = F.when(stop >= start, F.sequence(start, F.greatest(stop, start), F.lit(2)))
-    series = F.aggregate(
-        F.coalesce(steps, F.array().cast("array<int>")),
-        F.struct(first.alias("term"), first.alias("sum")),
-        lambda acc, k: F.struct(
-            (acc["term"] * (k - 1) / k * cosine * cosine).alias("term"),
-            (acc["sum"] + acc["term"] * (k - 1) / k * cosine * cosine).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
-    )
-    central = (
-        F.when(df == 1, 2 * theta / F.pi())
-        .when(odd, 2 / F.pi() * (theta + sine * series))
-        .otherwise(sine * series)
-    )
-    return F.greatest(1 - central, F.lit(0.0))
+    freedom = df.cast("double")
+    end = F.least(F.lit(math.pi / 2), 12 / F.sqrt(freedom))
+    begin = F.least(F.atan(F.abs(t) / F.sqrt(freedom)), end)
+
+    def density(angle: Column) -> Column:
+        return F.exp((freedom - 1) * F.log(F.greatest(F.cos(angle), F.lit(1e-300))))
+
+    return F.least(_simpson(density, begin, end) / _simpson(density, F.lit(0.0), end), F.lit(1.0))

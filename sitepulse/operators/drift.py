@@ -93,15 +93,17 @@ def detect_drift(
     new: DataFrame,
     significance_level: float = defaults.SIGNIFICANCE_LEVEL,
     min_sample: int = defaults.MIN_DRIFT_SAMPLE,
+    ks_method: str = "limit",
 ) -> DataFrame:
     """One row per tested feature with both tests and the drift flags.
 
-    Features with fewer than ``min_sample`` new values are not tested.
+    Features with fewer than ``min_sample`` new values are not tested. For ``ks_method`` see
+    ``ks_p_value``.
     """
     tested = compare_samples(reference, new, common_columns(reference, new)).filter(
         (F.col("n_new") >= min_sample) & (F.col("n_ref") > 0)
     )
-    ks = ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_new"))
+    ks = ks_p_value(F.col("ks_statistic"), F.col("n_ref"), F.col("n_new"), ks_method)
     mw = mann_whitney_p_value(
         F.col("mw_statistic"), F.col("n_ref"), F.col("n_new"), F.col("tie_sum")
     )

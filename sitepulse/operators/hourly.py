@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+from datetime import date, timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import floor_hour
 from .enrich import add_state
-from .quality import DataValidationError
+from .quality import DataValidationError, nan_to_null
 from .quantiles import exact_quantiles
 
 
-def aggregate_hourly(df: DataFrame) -> DataFrame:
+def aggregate_hourly(
+    df: DataFrame,
+    start: date | None = None,
+    end: date | None = None,
+    sites: list[int] | None = None,
+) -> DataFrame:
     """Sum, count, mean and first timestamp per site and hour.
 
+    ``start`` and ``end`` (days, both included) and ``sites`` filter the raw columns, so that they reach
+    the scan of the log, which a filter on the computed hour does not. NaN counts as missing.
+
     All four aggregates combine on the map side, so a site with a third of the log still sends
     one row per hour and task. ``state`` is looked up after the aggregation when the input has none.
     """
@@ -23,6 +33,14 @@ def aggregate_hourly(df: DataFrame) -> DataFrame:
         raise DataValidationError(f"Aggregation failed: no column {missing}")
     if not isinstance(df.schema["timestamp"].dataType, T.TimestampNTZType):
         df = df.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    time = F.col("timestamp")
+    if start is not None:
+        df = df.filter(time >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        df = df.filter(time < F.lit(end + timedelta(days=1)).cast("timestamp_ntz"))
+    if sites is not None:
+        df = df.filter(F.col("site_id").isin(list(sites)))
+    df = nan_to_null(df, "sessions")
     keys = ["site_id"] + (["state"] if "state" in df.columns else [])
     for name in (*keys, "timestamp"):
         df = df.filter(F.col(name).isNotNull())
@@ -47,8 +65,9 @@ def data_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     """One row: size, sites, time range, session statistics and nulls per column.
 
     The median is exact and computed without gathering the values in one task;
-    ``approximate_median`` replaces it by a sketch.
+    ``approximate_median`` replaces it by a sketch. NaN counts as null.
     """
+    df = nan_to_null(df, "sessions")
     time = "timestamp" if "timestamp" in df.columns else "hour"
     value = F.col("sessions")
     totals = df.agg(

@@ -52,8 +52,6 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per column with the linearly interpolated quantiles, named by ``probabilities``."""
     counts = sorted_counts(long_form(df, columns), F.count(F.lit(1)).alias("ties"))
-    up_to = Window.partitionBy(*BUCKET).orderBy("value")
-    placed = counts.withColumn("last", F.sum("ties").over(up_to))
 
     # Which bucket holds each wanted rank: one row per column and bucket is enough to tell.
     by_bucket = Window.partitionBy("feature").orderBy("bucket")
@@ -92,7 +90,12 @@ def exact_quantiles(
             (F.col("rank") - F.col("before")).alias("local_rank"),
         )
     )
-    # At most two target rows per column and probability.
+    # At most two target rows per column and probability; only their buckets are sorted again.
+    up_to = Window.partitionBy(*BUCKET).orderBy("value")
+    buckets = F.broadcast(targets.select(*BUCKET).distinct())
+    placed = counts.join(buckets, list(BUCKET), "left_semi").withColumn(
+        "last", F.sum("ties").over(up_to)
+    )
     hits = placed.join(F.broadcast(targets), list(BUCKET)).filter(
         (F.col("local_rank") < F.col("last")) & (F.col("local_rank") >= F.col("last") - F.col("ties"))
     )

@@ -307,7 +307,8 @@ def q_state_hour_profile(spark, sf_dir):
 
 
 def q_daily_by_state(spark, sf_dir):
-    return rounded(rollups.daily_by_state(hourly(spark, sf_dir), *DATE_RANGE))
+    table = aggregate_hourly(sessions(spark, sf_dir), *DATE_RANGE)
+    return rounded(rollups.daily_by_state(table, *DATE_RANGE))
 
 
 def q_daily_total(spark, sf_dir):
@@ -425,7 +426,7 @@ def q_drift_report(spark, sf_dir):
 
 
 def q_drift_p_values(spark, sf_dir):
-    return drift_report(spark, sf_dir).select("feature", "ks_p_value", "mw_p_value")
+    return rounded(drift_report(spark, sf_dir).select("feature", "ks_p_value", "mw_p_value"))
 
 
 def q_drift_summary(spark, sf_dir):
@@ -467,6 +468,23 @@ def q_performance_history(spark, sf_dir):
     return rounded(reports.load_performance_history(spark, path)[0])
 
 
+def q_performance_history_cycle(spark, sf_dir):
+    """Save, load, save what was loaded to the same place, and load again."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    saved = daily_records(spark, sf_dir), baseline_metrics(spark, sf_dir)
+    for _ in range(2):
+        reports.save_performance_history(*saved, path, training.MODEL_NAME)
+        saved = reports.load_performance_history(spark, path)
+    return rounded(saved[0])
+
+
+def q_hourly_agg_nan(spark, sf_dir):
+    """Values that are not a number count as missing."""
+    raw = sessions(spark, sf_dir)
+    value = F.when(F.col("sessions") >= 50, F.lit(float("nan"))).otherwise(F.col("sessions"))
+    return rounded(aggregate_hourly(raw.withColumn("sessions", value)))
+
+
 def q_predictions(spark, sf_dir):
     model, test = small_fit(spark, sf_dir)
     return forecast.predict(model, test, keep=("site_id", "hour"))

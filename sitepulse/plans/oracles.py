@@ -367,6 +367,10 @@ def oracle_sql() -> dict[str, str]:
             f"EXCEPT SELECT site_id FROM hourly WHERE {day} = {latest} - INTERVAL 1 DAY)",
         ),
         "hourly_agg": _with(_hourly(25), f"SELECT {_r(*BASE)} FROM hourly"),
+        "hourly_agg_nan": _with(
+            _hourly().replace("value AS sessions", "CASE WHEN value < 50 THEN value END AS sessions"),
+            f"SELECT {_r(*BASE)} FROM hourly",
+        ),
         "hourly_agg_dirty": _with(
             f"{STATES}, {DIRTY}",
             "SELECT s.site_id, coalesce(d.state, 'Unknown') AS state, timestamp AS hour, "
@@ -580,6 +584,19 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "SELECT feature, n_ref, n_new, round(CAST(ks_statistic AS DECIMAL(28, 9)), 6)::DOUBLE AS ks_statistic, round(CAST(mw_statistic AS DECIMAL(28, 9)), 6)::DOUBLE AS mw_statistic, "
             "ks_drift, mw_drift, drift_detected FROM report",
         ),
+        "drift_p_values": _with(
+            f"""{HOURLY_TESTS}, tails AS (
+  SELECT feature, x, z, CASE WHEN z > 0 THEN 2 / sqrt(pi()) * exp(-z * z / 2) * 6.5 / 1024 / 3
+      * list_sum(list_transform(range(0, 1025), lambda k:
+          CASE WHEN k IN (0, 1024) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
+          * exp(0 - (6.5 * k / 1024) ** 2 - sqrt(2) * z * 6.5 * k / 1024)))
+    ELSE 1 END AS mw,
+    CASE WHEN x < 0.2 THEN 1 ELSE 2 * list_sum(list_transform(range(1, 101),
+      lambda k: (-1) ** (k - 1) * exp(-2 * k * k * x * x))) END AS ks
+  FROM scaled)""",
+            "SELECT feature, round(CAST(least(greatest(ks, 0), 1) AS DECIMAL(28, 9)), 6)::DOUBLE AS ks_p_value, "
+            "round(CAST(least(mw, 1) AS DECIMAL(28, 9)), 6)::DOUBLE AS mw_p_value FROM tails",
+        ),
         "drift_summary": _with(
             HOURLY_TESTS,
             "SELECT drift_detected, total_features_tested, features_with_drift, drifted_features, "
@@ -618,5 +635,6 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "SELECT metric, n, round(CAST(slope AS DECIMAL(28, 9)), 6)::DOUBLE AS slope, round(CAST(p_value AS DECIMAL(28, 9)), 6)::DOUBLE AS p_value, trend FROM trends",
         ),
     }
+    sql["performance_history_cycle"] = sql["performance_history"]
     sql["feature_table_in_chunks"] = sql["feature_table"]
     return sql

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,24 +18,67 @@ RECORD_SCHEMA = (
     "timestamp timestamp_ntz, mae double, rmse double, mape double, r2 double, sample_size bigint"
 )
 BASELINE_SCHEMA = "model_name string, metric string, value double"
+POINTER_SCHEMA = "saved bigint, version string"
 RESULT_SCHEMA = "section string, name string, value double, detail string"
 
 
+def _newest_version(spark: SparkSession, path: str) -> str | None:
+    try:
+        pointers = spark.read.schema(POINTER_SCHEMA).json(f"{path}/pointers")
+        newest = pointers.orderBy(F.desc("saved"), F.desc("version")).first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return f"{path}/versions/{newest['version']}" if newest else None
+
+
+def _read_version(spark: SparkSession, version: str) -> tuple[DataFrame, DataFrame]:
+    history = f"model_name string, {RECORD_SCHEMA}"
+    return (
+        spark.read.schema(history).json(f"{version}/history"),
+        spark.read.schema(BASELINE_SCHEMA).json(f"{version}/baseline"),
+    )
+
+
 def save_performance_history(
     records: DataFrame, baseline: DataFrame, path: str, model_name: str
 ) -> None:
-    """Append the records and replace the baseline metrics (``metric, value``)."""
-    columns = ["timestamp", "mae", "rmse", "mape", "r2", "sample_size"]
-    records.select(*columns).write.mode("append").json(f"{path}/history")
-    named = baseline.select(F.lit(model_name).alias("model_name"), "metric", "value")
-    named.write.mode("overwrite").json(f"{path}/baseline")
-
-
-def load_performance_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The records and the baseline metrics."""
-    records = spark.read.schema(RECORD_SCHEMA).json(f"{path}/history")
-    baseline = spark.read.schema(BASELINE_SCHEMA).json(f"{path}/baseline")
-    return records, baseline
+    """Add the records and replace the baseline metrics (``metric, value``) of the model.
+
+    Each save writes a new version in full and then a small pointer to it, so what is read, also
+    from the same ``path``, is never overwritten and a save that fails leaves the last one in
+    force. Records are known by model and timestamp: saving them again changes nothing.
+    """
+    spark = records.sparkSession
+    model = F.lit(model_name).alias("model_name")
+    rows = records.select(model, "timestamp", "mae", "rmse", "mape", "r2", "sample_size")
+    named = baseline.select(model, "metric", F.col("value").cast("double").alias("value"))
+    before = _newest_version(spark, path)
+    if before:
+        old_rows, old_named = _read_version(spark, before)
+        keys = ["model_name", "timestamp"]
+        rows = rows.unionByName(old_rows.join(rows.select(*keys), keys, "left_anti"))
+        named = named.unionByName(old_named.filter(F.col("model_name") != model_name))
+    version = uuid.uuid4().hex
+    rows.write.json(f"{path}/versions/{version}/history")
+    named.write.json(f"{path}/versions/{version}/baseline")
+    pointer = spark.createDataFrame([(time.time_ns(), version)], POINTER_SCHEMA)
+    pointer.coalesce(1).write.mode("append").json(f"{path}/pointers")
+
+
+def load_performance_history(
+    spark: SparkSession, path: str, model_name: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The records and the baseline metrics as last saved, of one model or of all."""
+    version = _newest_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"No performance history: {path}")
+    records, baseline = _read_version(spark, version)
+    if model_name is not None:
+        chosen = F.col("model_name") == model_name
+        records, baseline = records.filter(chosen), baseline.filter(chosen)
+    return records.drop("model_name"), baseline
 
 
 def save_training_results(

@@ -34,7 +34,9 @@ def read_session_csv(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType(
         [T.StructField(name, SESSION_TYPES.get(name, T.StringType())) for name in names]
     )
-    rows = reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    rows = reader.schema(schema).option("mode", "FAILFAST")
+    # each file is checked against the header, so that columns in another order fail
+    rows = rows.option("enforceSchema", False).csv(path)
     return _with_file_order(rows)
 
 

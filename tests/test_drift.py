@@ -4,6 +4,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sitepulse.functions import significance
 from sitepulse.operators import drift
@@ -25,24 +26,47 @@ def test_exact_ks_p_value_is_the_share_of_orderings(m, n):
         gaps.append(gap(a, b))
     gaps = np.array(gaps)
     for d in np.unique(gaps.round(12)):
-        assert significance.ks_p(d, m, n) == pytest.approx((gaps >= d - 1e-9).mean(), abs=1e-12)
-    assert significance.ks_p(0.0, m, n) == 1.0
+        assert significance._ks_exact(d, m, n) == pytest.approx((gaps >= d - 1e-9).mean(), abs=1e-12)
+    assert significance._ks_exact(0.0, m, n) == 1.0
 
 
-def test_limit_agrees_with_exact_for_large_samples():
-    for d in (0.02, 0.03, 0.05):
-        exact = significance._ks_exact(d, 5000, 4000)
-        assert significance._ks_limit(d, 5000, 4000) == pytest.approx(exact, rel=0.05, abs=1e-4)
+def ks_limits(spark, cases):
+    df = spark.createDataFrame(cases, "d double, m bigint, n bigint")
+    return [r[0] for r in df.select(significance.ks_p_value(F.col("d"), F.col("m"), F.col("n"))).collect()]
 
 
-def test_mann_whitney_p():
-    # Without ties: sigma^2 = m n (m + n + 1) / 12.
-    z = (abs(700 - 30 * 40 / 2) - 0.5) / math.sqrt(30 * 40 * 71 / 12)
-    assert significance.mann_whitney_p(700, 30, 40, 0) == pytest.approx(math.erfc(z / math.sqrt(2)))
-    assert significance.mann_whitney_p(500, 30, 40, 0) == pytest.approx(
-        significance.mann_whitney_p(700, 30, 40, 0)
+def test_limit_agrees_with_exact_for_large_samples(spark):
+    cases = [(d, 5000, 4000) for d in (0.02, 0.03, 0.05)]
+    for case, limit in zip(cases, ks_limits(spark, cases)):
+        assert limit == pytest.approx(significance._ks_exact(*case), rel=0.05, abs=1e-4)
+
+
+def test_the_p_value_does_not_jump_with_the_size(spark):
+    for d in (0.0, 0.005, 0.015, 0.02, 0.03):
+        some = ks_limits(spark, [(d, n, n) for n in (9_999, 10_000, 10_001)])
+        assert max(some) - min(some) < 1e-3 and 0 <= min(some) <= max(some) <= 1
+
+
+def test_exact_only_on_request(spark):
+    df = spark.createDataFrame([(0.6, 5, 5)], "d double, m bigint, n bigint")
+    columns = [F.col(c) for c in ("d", "m", "n")]
+    assert df.select(significance.ks_p_value(*columns, "exact")).first()[0] == pytest.approx(
+        significance._ks_exact(0.6, 5, 5)
     )
-    assert significance.mann_whitney_p(450, 30, 30, 60**3 - 60) == 1.0
+    with pytest.raises(ValueError):
+        significance.ks_p_value(*columns, "guess")
+
+
+def test_mann_whitney_p(spark):
+    cases = [(700.0, 30, 40, 0.0), (500.0, 30, 40, 0.0), (450.0, 30, 30, 60.0**3 - 60), (1150.0, 30, 40, 0.0)]
+    df = spark.createDataFrame(cases, "u double, m bigint, n bigint, ties double")
+    p = significance.mann_whitney_p_value(*[F.col(c) for c in ("u", "m", "n", "ties")])
+    got = [r[0] for r in df.select(p).collect()]
+    for (u, *_), found in zip((cases[0], cases[1], cases[3]), (got[0], got[1], got[3])):
+        # Without ties: sigma^2 = m n (m + n + 1) / 12.
+        z = (abs(u - 30 * 40 / 2) - 0.5) / math.sqrt(30 * 40 * 71 / 12)
+        assert found == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-9)
+    assert got[2] == 1.0
 
 
 @pytest.fixture(scope="module")

@@ -74,3 +74,27 @@ def test_station_status(spark):
     assert got[1]["color"] == "#2ecc71" and got[2]["color"] == "#e74c3c"
     empty = enrich.station_status(df.filter("site_id < 0")).collect()
     assert {(r["status"], r["color"]) for r in empty} == {("Unknown", "#95a5a6")}
+
+
+def test_date_filters_reach_the_scan(spark, tmp_path, raw, raw_rows):
+    from datetime import date
+
+    path = str(tmp_path / "log")
+    raw.write.parquet(path)
+    log = spark.read.parquet(path)
+    got = aggregate_hourly(log, date(2024, 1, 2), date(2024, 1, 2), sites=[1])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1]
+    assert "GreaterThanOrEqual(timestamp" in pushed and "LessThan(timestamp" in pushed and "site_id" in pushed
+    assert got.count() == len([r for r in raw_rows if r[0] == 1 and r[1].day == 2])
+
+
+def test_nan_counts_as_missing(spark):
+    from datetime import datetime
+
+    rows = [(1, datetime(2024, 1, 1), v) for v in (2.0, float("nan"))]
+    df = spark.createDataFrame(rows, "site_id bigint, timestamp timestamp_ntz, sessions double")
+    hour = aggregate_hourly(df).first()
+    assert hour["sessions"] == 2.0 and hour["session_count"] == 1 and hour["avg_sessions"] == 2.0
+    summary = data_summary(df).first()
+    assert summary["max"] == 2.0 and summary["null_sessions"] == 1 and summary["median"] == 2.0

@@ -68,6 +68,12 @@ def test_student_t(spark):
         assert p == pytest.approx(t_tail(t, freedom), abs=1e-8), (t, freedom)
 
 
+def test_student_t_with_very_many_records(spark):
+    df = spark.createDataFrame([(1.5, 100_000_000)], "t double, df bigint")
+    p = df.select(student_t_p_value(F.col("t"), F.col("df"))).first()[0]
+    assert p == pytest.approx(math.erfc(1.5 / math.sqrt(2)), abs=1e-6)
+
+
 def records(spark, values):
     rows = [(DAY + timedelta(hours=i), float(v), 2.0, float(-v), 0.5, 3) for i, v in enumerate(values)]
     return spark.createDataFrame(rows, RECORD).repartition(3)
@@ -124,3 +130,18 @@ def test_recent_records_do_not_depend_on_the_session_time_zone(spark):
         assert recent.count() == 6
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_saving_what_was_loaded_keeps_everything(spark, tmp_path):
+    history = records(spark, [1, 2, 3])
+    baseline = spark.createDataFrame([("mae", 1.0), ("r2", 0.5)], "metric string, value double")
+    path = str(tmp_path / "history")
+    with pytest.raises(FileNotFoundError):
+        reports.load_performance_history(spark, path)
+    reports.save_performance_history(history, baseline, path, "gbt")
+    for _ in range(2):
+        reports.save_performance_history(*reports.load_performance_history(spark, path), path, "gbt")
+    reports.save_performance_history(history.limit(1), baseline.limit(1), path, "other")
+    back, base = reports.load_performance_history(spark, path, "gbt")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, history.collect()))
+    assert sorted((r.metric, r.value) for r in base.collect()) == [("mae", 1.0), ("r2", 0.5)]

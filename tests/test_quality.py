@@ -111,4 +111,15 @@ def test_parquet_load_takes_the_first_copy_in_the_file(spark, tmp_path):
 
 def test_nan_becomes_null(spark):
     df = spark.createDataFrame([(1, START, float("nan"))], SESSIONS)
-    assert prepare_sessions(df).first()["sessions"] is None
+    assert prepare_sessions(df, ("sessions",)).first()["sessions"] is None
+    with pytest.raises(ValueError):
+        prepare_sessions(df)
+
+
+def test_files_with_other_column_orders_are_refused(spark, tmp_path):
+    folder = tmp_path / "log"
+    folder.mkdir()
+    (folder / "a.csv").write_text("site_id,timestamp,sessions\n1,2024-01-01 00:00:00,5\n")
+    (folder / "b.csv").write_text("sessions,timestamp,site_id\n7,2024-01-01 00:00:00,2\n")
+    with pytest.raises(Exception, match="header"):
+        load_sessions(spark, str(folder)).collect()
