@@ -96,7 +96,8 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: i
     """
     letter_bits = _letter_bits()
     chosen = sample_ids(docs.filter("text IS NOT NULL"), "lang", sample_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text")
+    rows = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+    texts = rows.select("lang", "text")
 
     def count(batches):
         letters = _letters(letter_bits)

@@ -9,12 +9,14 @@ import numpy as np
 import pandas as pd
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from sitepulse.llm import (
     components,
     fingerprint,
     grid_join,
     langid,
+    learning,
     mixing,
     ngram_join,
     page_text,
@@ -361,6 +363,20 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in langid.predict_languages(docs, none).collect()} == {"und"}
 
 
+def test_label_samples(spark):
+    rows = [(i % 20_000, "a" if i % 3 else "b") for i in range(40_000)] + [(7, "c")] * 500 + [(None, "a"), (1, None)]
+    rows = spark.createDataFrame(rows, "doc_id long, lang string")
+    got = learning.sample_ids(rows, "lang", 50).collect()
+    assert set(got) == set(learning.sample_ids(rows.repartition(7), "lang", 50).collect())
+    free = rows.filter(~learning.held_out() & F.col("doc_id").isNotNull()).distinct().toPandas()
+    chosen = {(r.doc_id, r.lang) for r in got}
+    assert len(chosen) == len(got) and chosen <= set(zip(free.doc_id, free.lang))
+    for lang, n in (("a", 50), ("b", 50), ("c", 1)):
+        assert sum(c[1] == lang for c in chosen) == min(n, (free.lang == lang).sum())
+    few = [(i, f"the house {i}", "en", "web", 0) for i in range(9)]
+    assert langid.fit_languages(table(spark, [r[:4] for r in few] * 30)).languages == ["en"]
+
+
 def test_pieces(spark, docs, rows, empty):
     model = pieces.load_pieces()
     library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
