@@ -132,8 +132,8 @@ def drift_summary(report: DataFrame, new: DataFrame) -> DataFrame:
 def drift_alerts(summary: DataFrame, timestamp: datetime) -> DataFrame:
     """A subject and a message if drift was found, otherwise no row."""
     message = F.format_string(
-        "Drift detected in %d features: %s\nDrift percentage: %.1f%%\nTimestamp: %s\n"
-        "Please investigate and consider retraining the model.",
+        "%d features have moved: %s\nThat is %.1f%% of all numeric features.\nChecked for: %s\n"
+        "Look at the new data before the next training run.",
         "features_with_drift",
         "drifted_features",
         "drift_percentage",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dims import UNKNOWN_STATE, site_coordinates, site_states
@@ -25,14 +25,16 @@ def unmapped_sites(df: DataFrame) -> DataFrame:
     return df.select("site_id").join(states, "site_id", "left_anti").distinct()
 
 
-def station_status(hourly: DataFrame) -> DataFrame:
+def station_status(hourly: DataFrame, latest_hour: Column | None = None) -> DataFrame:
     """Each known site with its demand at the latest hour, a status and a colour.
 
     The latest rows are cut down to the known sites before the outer join, so at most one row
-    per dimension row is left on that side however many sites report.
+    per dimension row is left on that side however many sites report. ``latest_hour`` saves
+    looking it up in ``hourly``, which evaluates that a second time.
     """
     places = site_coordinates(hourly.sparkSession)
-    latest_hour = hourly.select(F.max("hour")).scalar()
+    if latest_hour is None:
+        latest_hour = hourly.select(F.max("hour")).scalar()
     latest = (
         hourly.filter(F.col("hour") == latest_hour)
         .join(F.broadcast(places.select("site_id")), "site_id", "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,6 +61,14 @@ def aggregate_hourly(
     )
 
 
+def latest_hour(df: DataFrame) -> Column:
+    """The last hour of ``aggregate_hourly(df)``, found in the log itself without grouping it."""
+    keys = [c for c in ("site_id", "state") if c in df.columns]
+    for name in keys:
+        df = df.filter(F.col(name).isNotNull())
+    return df.select(floor_hour(F.max(F.col("timestamp").cast("timestamp_ntz")))).scalar()
+
+
 def data_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     """One row: size, sites, time range, session statistics and nulls per column.
 

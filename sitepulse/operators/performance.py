@@ -80,9 +80,9 @@ def performance_alerts(degraded: DataFrame, model_name: str) -> DataFrame:
             F.concat_ws(
                 "\n",
                 F.lit(f"Model: {model_name}"),
-                F.lit("Degraded metrics:"),
+                F.lit("Worse than the baseline:"),
                 "_lines",
-                F.lit("Consider investigating data quality or retraining the model."),
+                F.lit("Look at the recent data or train again."),
             ).alias("message"),
         )
     )

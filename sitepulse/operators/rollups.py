@@ -25,8 +25,9 @@ def _on_day(day: Column) -> Column:
     return (hour >= start) & (hour < start + F.expr("INTERVAL 1 DAY"))
 
 
-def _latest_date(hourly: DataFrame) -> Column:
-    return hourly.select(F.to_date(F.max("hour"))).scalar()
+def _latest_date(hourly: DataFrame, latest_hour: Column | None) -> Column:
+    """The date of ``latest_hour`` if the caller knows it; otherwise ``hourly`` is evaluated for it."""
+    return hourly.select(F.to_date(F.max("hour"))).scalar() if latest_hour is None else F.to_date(latest_hour)
 
 
 def select_sites(
@@ -147,28 +148,9 @@ def pct_change(current: Column, previous: Column) -> Column:
     return F.round((F.try_divide(current, previous) - 1) * 100, 1)
 
 
-def _site_days(hourly: DataFrame) -> DataFrame:
-    """One row per site: whether it was seen, and its demand, on the latest and previous date."""
-    latest = _latest_date(hourly)
-    today, before = _on_day(latest), _on_day(F.date_sub(latest, 1))
-    value = F.col("sessions")
-    return hourly.groupBy("site_id").agg(
-        F.bool_or(today).alias("_today"),
-        F.bool_or(before).alias("_before"),
-        F.sum(F.when(today, value)).alias("_sum_today"),
-        F.count(F.when(today, value)).alias("_n_today"),
-        F.sum(F.when(before, value)).alias("_sum_before"),
-        F.count(F.when(before, value)).alias("_n_before"),
-    )
-
-
-def _new_site_count() -> Column:
-    return F.count_if(F.col("_today") & ~F.col("_before"))
-
-
-def new_sites(hourly: DataFrame) -> DataFrame:
+def new_sites(hourly: DataFrame, latest_hour: Column | None = None) -> DataFrame:
     """How many sites have rows on the latest date and none on the day before."""
-    latest = _latest_date(hourly)
+    latest = _latest_date(hourly, latest_hour)
     recent = hourly.filter(_on_day(latest) | _on_day(F.date_sub(latest, 1)))
     return (
         recent.groupBy("site_id")
@@ -176,34 +158,55 @@ def new_sites(hourly: DataFrame) -> DataFrame:
             F.bool_or(_on_day(latest)).alias("_today"),
             F.bool_or(_on_day(F.date_sub(latest, 1))).alias("_before"),
         )
-        .agg(_new_site_count().alias("new_sites"))
+        .agg(F.count_if(F.col("_today") & ~F.col("_before")).alias("new_sites"))
     )
 
 
-def overview_metrics(hourly: DataFrame) -> DataFrame:
-    """One row comparing the latest date with the day before."""
-    hour_sums = (
-        hourly.filter(_on_day(_latest_date(hourly)))
-        .groupBy(F.hour("hour").alias("_hour"))
-        .agg(F.sum("sessions").alias("_sum"))
+def overview_metrics(hourly: DataFrame, latest_hour: Column | None = None) -> DataFrame:
+    """One row comparing the latest date with the day before.
+
+    One pass over the hourly table makes a row per site and one per hour of the day.
+    """
+    latest = _latest_date(hourly, latest_hour)
+    today, before = _on_day(latest), _on_day(F.date_sub(latest, 1))
+    value = F.col("sessions")
+    parts = (
+        hourly.select("site_id", F.hour("hour").alias("_hour"), today.alias("_t"), before.alias("_b"), value)
+        .groupingSets([["site_id"], ["_hour"]], "site_id", "_hour")
+        .agg(
+            (F.grouping("site_id") == 0).alias("_site"),
+            F.bool_or("_t").alias("_today"),
+            F.bool_or("_b").alias("_before"),
+            F.sum(F.when(F.col("_t"), value)).alias("_sum_today"),
+            F.count(F.when(F.col("_t"), value)).alias("_n_today"),
+            F.sum(F.when(F.col("_b"), value)).alias("_sum_before"),
+            F.count(F.when(F.col("_b"), value)).alias("_n_before"),
+        )
     )
+
+    def of_sites(name: str) -> Column:
+        return F.sum(F.when(F.col("_site"), F.col(name)))
+
     # The largest sum wins; among equal sums the smallest hour does.
-    peak = hour_sums.select(F.max(F.struct("_sum", (-F.col("_hour")).alias("_neg")))).scalar()
-    totals = _site_days(hourly).agg(
+    hour_sum = F.when(
+        ~F.col("_site") & F.col("_today"), F.struct("_sum_today", (-F.col("_hour")).alias("_neg"))
+    )
+    totals = parts.agg(
         F.count("site_id").alias("active_sites"),
-        _new_site_count().alias("new_sites"),
-        F.coalesce(F.sum("_sum_today"), F.lit(0.0)).alias("_today"),
-        F.coalesce(F.sum("_sum_before"), F.lit(0.0)).alias("_before"),
-        F.try_divide(F.sum("_sum_today"), F.sum("_n_today")).alias("_mean_today"),
-        F.try_divide(F.sum("_sum_before"), F.sum("_n_before")).alias("_mean_before"),
+        F.count_if(F.col("_site") & F.col("_today") & ~F.col("_before")).alias("new_sites"),
+        F.max(hour_sum).alias("_peak"),
+        F.coalesce(of_sites("_sum_today"), F.lit(0.0)).alias("_today"),
+        F.coalesce(of_sites("_sum_before"), F.lit(0.0)).alias("_before"),
+        F.try_divide(of_sites("_sum_today"), of_sites("_n_today")).alias("_mean_today"),
+        F.try_divide(of_sites("_sum_before"), of_sites("_n_before")).alias("_mean_before"),
     )
     return totals.select(
         "active_sites",
         "new_sites",
         F.floor("_today").cast("bigint").alias("sessions_today"),
         pct_change(F.col("_today"), F.col("_before")).alias("sessions_change_pct"),
-        peak["_sum"].alias("peak_sessions"),
-        (-peak["_neg"]).alias("peak_hour"),
+        F.col("_peak._sum_today").alias("peak_sessions"),
+        (-F.col("_peak._neg")).alias("peak_hour"),
         (F.col("_mean_today") * 100).alias("mean_sessions_x100"),
         pct_change(F.col("_mean_today"), F.col("_mean_before")).alias("mean_change_pct"),
     )
@@ -230,18 +233,33 @@ def temporal_patterns(hourly: DataFrame) -> DataFrame:
 
 
 def state_metrics(hourly: DataFrame) -> DataFrame:
-    """One row: states, sites, mean demand at the latest hour and mean of the daily means."""
-    latest_hour = hourly.select(F.max("hour")).scalar()
-    at_latest = hourly.filter(F.col("hour") == latest_hour).select(F.avg("sessions")).scalar()
-    daily = hourly.groupBy(F.to_date("hour").alias("_date")).agg(F.avg("sessions").alias("_mean"))
-    pairs = hourly.groupBy("state", "site_id").agg(F.lit(1))
-    sites = pairs.select(F.countDistinct("site_id")).scalar()
-    states = pairs.select(F.countDistinct("state")).scalar()
-    return daily.agg(F.avg("_mean").alias("avg_daily_sessions")).select(
-        states.alias("total_states"),
-        sites.alias("active_stations"),
-        latest_hour.alias("latest_hour"),
-        at_latest.alias("sessions_at_latest_hour"),
+    """One row: states, sites, mean demand at the latest hour and mean of the daily means.
+
+    One pass over the hourly table makes a row per state and site, one per date and one per hour.
+    """
+    value = F.col("sessions")
+    date, hour = F.to_date("hour").alias("_date"), F.col("hour").alias("_hour")
+    parts = (
+        hourly.select("state", "site_id", date, hour, value)
+        .groupingSets([["state", "site_id"], ["_date"], ["_hour"]], "state", "site_id", "_date", "_hour")
+        .agg(
+            F.avg(value).alias("_mean"),
+            (F.grouping("_date") == 0).alias("_is_date"),
+            (F.grouping("_hour") == 0).alias("_is_hour"),
+        )
+    )
+    # a row per state and site, date or hour is left
+    newest = F.max(F.when(F.col("_is_hour"), F.struct("_hour", "_mean")))
+    return parts.agg(
+        F.countDistinct("state").alias("total_states"),
+        F.countDistinct("site_id").alias("active_stations"),
+        newest.alias("_newest"),
+        F.avg(F.when(F.col("_is_date"), F.col("_mean"))).alias("avg_daily_sessions"),
+    ).select(
+        "total_states",
+        "active_stations",
+        F.col("_newest._hour").alias("latest_hour"),
+        F.col("_newest._mean").alias("sessions_at_latest_hour"),
         "avg_daily_sessions",
     )
 

@@ -14,7 +14,7 @@ from ..functions.calendar import floor_hour, moment
 from ..functions.metrics import METRICS, regression_metrics
 from ..operators import drift, enrich, features, performance, profile, quality, rollups, split
 from ..operators import requests as request_ops
-from ..operators.hourly import aggregate_hourly, data_summary
+from ..operators.hourly import aggregate_hourly, data_summary, latest_hour
 from ..session import shared_dir
 from ..sources import reports
 from ..sources.event_log import EVENT_SCHEMA, sessions_from_events
@@ -31,7 +31,7 @@ SPLIT_DAY = datetime(2024, 1, 16)
 AS_OF = datetime(2024, 1, 31)
 SUMMARY_DAYS = 14
 DATE_RANGE = (date(2024, 1, 5), date(2024, 1, 20))
-# Small forests keep the model queries quick; the library defaults are larger.
+# Small forests for the queries that fit many models; the library defaults are larger.
 SMALL_MODEL = {"max_depth": 4, "n_estimators": 5}
 SMALL_GRID = {"max_depth": (2, 4), "learning_rate": (0.1,), "n_estimators": (3,)}
 CHUNK_ROWS = 200  # small, so that series really are cut in the given tables
@@ -194,12 +194,10 @@ def split_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     return training.prepare_data(sessions(spark, sf_dir))
 
 
-def small_fit(spark: SparkSession, sf_dir: str):
-    """A small model and its test rows."""
+def default_fit(spark: SparkSession, sf_dir: str):
+    """The demand model with default parameters and early stopping, and its test rows."""
     rows, names = split_rows(spark, sf_dir)
-    model = forecast.fit(
-        rows.filter("split = 'train'"), names, rows.filter("split = 'validation'"), **SMALL_MODEL
-    )
+    model = forecast.fit(rows.filter("split = 'train'"), names, rows.filter("split = 'validation'"))
     return model, rows.filter("split = 'test'")
 
 
@@ -241,11 +239,11 @@ def q_unmapped_sites(spark, sf_dir):
 
 
 def q_station_status(spark, sf_dir):
-    return rounded(enrich.station_status(hourly(spark, sf_dir)))
+    return rounded(enrich.station_status(hourly(spark, sf_dir), latest_hour(sessions(spark, sf_dir))))
 
 
 def q_new_sites(spark, sf_dir):
-    return rollups.new_sites(hourly(spark, sf_dir, 1000))
+    return rollups.new_sites(hourly(spark, sf_dir, 1000), latest_hour(sessions(spark, sf_dir, 1000)))
 
 
 def q_hourly_agg(spark, sf_dir):
@@ -328,7 +326,8 @@ def q_weekend_weekday(spark, sf_dir):
 
 
 def q_overview_metrics(spark, sf_dir):
-    return rounded(rollups.overview_metrics(hourly(spark, sf_dir)))
+    latest = latest_hour(sessions(spark, sf_dir))
+    return rounded(rollups.overview_metrics(hourly(spark, sf_dir), latest))
 
 
 def q_feature_correlation(spark, sf_dir):
@@ -486,20 +485,20 @@ def q_hourly_agg_nan(spark, sf_dir):
 
 
 def q_predictions(spark, sf_dir):
-    model, test = small_fit(spark, sf_dir)
+    model, test = default_fit(spark, sf_dir)
     return forecast.predict(model, test, keep=("site_id", "hour"))
 
 
 def q_actual_vs_predicted(spark, sf_dir):
-    return forecast.comparison_series(*small_fit(spark, sf_dir))
+    return forecast.comparison_series(*default_fit(spark, sf_dir))
 
 
 def q_feature_importance(spark, sf_dir):
-    return forecast.feature_importance(small_fit(spark, sf_dir)[0])
+    return forecast.feature_importance(default_fit(spark, sf_dir)[0])
 
 
 def q_saved_model(spark, sf_dir):
-    model, test = small_fit(spark, sf_dir)
+    model, test = default_fit(spark, sf_dir)
     folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     path = reports.save_named_model({training.MODEL_NAME: model}, training.MODEL_NAME, folder)
     return forecast.predict(forecast.load_model(path), test, keep=("site_id", "hour"))
@@ -524,17 +523,17 @@ def q_training_results(spark, sf_dir):
 
 
 def q_baseline_model(spark, sf_dir):
-    return training.baseline_fit(sessions(spark, sf_dir), **SMALL_MODEL)[1]
+    return training.baseline_fit(sessions(spark, sf_dir))[1]
 
 
 def q_request_scores(spark, sf_dir):
-    model, _ = small_fit(spark, sf_dir)
+    model, _ = default_fit(spark, sf_dir)
     checked = request_ops.validate_requests(request_log(spark, sf_dir))
     return score_requests(request_ops.valid_requests(checked), model, "1.0.0")
 
 
 def q_streamed_scores(spark, sf_dir):
-    model, _ = small_fit(spark, sf_dir)
+    model, _ = default_fit(spark, sf_dir)
     folder = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
     request_log(spark, sf_dir).write.json(f"{folder}/in")
     start_scoring(

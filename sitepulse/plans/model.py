@@ -58,6 +58,20 @@ def best_round(errors: Iterable[float], patience: int) -> int:
     return best
 
 
+def _train_until_best(
+    vectors: DataFrame, held_out: DataFrame, patience: int, params: Mapping[str, Any]
+) -> GBTRegressionModel:
+    total = params.get("n_estimators", defaults.N_ESTIMATORS)
+    for leg in sorted({min(2 * patience, total), total}):
+        model = _train(vectors, {**params, "n_estimators": leg})
+        rounds = best_round(model.evaluateEachIteration(held_out, "squared"), patience)
+        if rounds + patience <= leg:
+            break
+    if rounds < model.getNumTrees:
+        model = _train(vectors, {**params, "n_estimators": rounds})
+    return model
+
+
 def fit(
     train: DataFrame,
     feature_names: list[str],
@@ -69,18 +83,18 @@ def fit(
 
     With validation rows, boosting stops where the validation error has not improved for
     ``patience`` rounds: rounds are seeded one by one, so refitting with the best number of
-    rounds yields the same first trees.
+    rounds yields the same first trees. For the same reason a first leg of twice ``patience`` rounds
+    is enough where the best round lies in its first half; only otherwise all rounds are trained.
     """
     shared_dir(train.sparkSession)  # boosting cuts its lineage there
     assembler = VectorAssembler(inputCols=feature_names, outputCol=VECTOR)
     vectors = assembler.transform(train).select(VECTOR, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _train(vectors, params)
-        if validation is not None and not validation.isEmpty():
+        if validation is None or validation.isEmpty():
+            model = _train(vectors, params)
+        else:
             held_out = assembler.transform(validation).select(VECTOR, LABEL)
-            rounds = best_round(model.evaluateEachIteration(held_out, "squared"), patience)
-            if rounds < model.getNumTrees:
-                model = _train(vectors, {**params, "n_estimators": rounds})
+            model = _train_until_best(vectors, held_out, patience, params)
     finally:
         vectors.unpersist()
     return PipelineModel(stages=[assembler, model])
@@ -94,7 +108,7 @@ def feature_names(model: PipelineModel) -> list[str]:
 def predict(model: PipelineModel | None, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """``keep`` columns and ``prediction`` for every row; missing features count as 0."""
     if model is None:
-        raise RuntimeError("Model is not fitted. Call fit() first.")
+        raise RuntimeError("No model: it is not fitted yet.")
     keep = list(keep)
     names = feature_names(model)
     # Kept columns travel under their own names even when they are features as well.
@@ -217,7 +231,7 @@ def tune(
 def feature_importance(model: PipelineModel) -> DataFrame:
     """Importance by feature name, smallest first."""
     if model is None:
-        raise RuntimeError("Model is not fitted. Call fit() first.")
+        raise RuntimeError("No model: it is not fitted yet.")
     trees = model.stages[-1]
     pairs = list(zip(feature_names(model), trees.featureImportances.toArray().tolist()))
     spark = SparkSession.active()

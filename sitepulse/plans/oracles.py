@@ -604,10 +604,10 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         ),
         "drift_alerts": _with(
             HOURLY_TESTS,
-            "SELECT 'Data Drift Alert' AS subject, 'Drift detected in ' || features_with_drift || ' features: ' || drifted_features "
-            "|| chr(10) || 'Drift percentage: ' || printf('%.1f', drift_percentage) || '%' || chr(10) "
-            "|| 'Timestamp: 2024-01-31T00:00:00' || chr(10) "
-            "|| 'Please investigate and consider retraining the model.' AS message FROM summary WHERE drift_detected",
+            "SELECT 'Data Drift Alert' AS subject, features_with_drift || ' features have moved: ' || drifted_features "
+            "|| chr(10) || 'That is ' || printf('%.1f', drift_percentage) || '% of all numeric features.' || chr(10) "
+            "|| 'Checked for: 2024-01-31T00:00:00' || chr(10) "
+            "|| 'Look at the new data before the next training run.' AS message FROM summary WHERE drift_detected",
         ),
         "performance_records": _with(RECORDS, f"SELECT timestamp, {METRIC_ROUNDED} FROM records"),
         "performance_history": _with(RECORDS, f"SELECT timestamp, {METRIC_ROUNDED} FROM records"),
@@ -619,9 +619,9 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         "performance_alerts": _with(
             f"{DEGRADED}, lines AS (SELECT timestamp, '- ' || metric || ': ' || printf('%.4f', current) || ' (baseline: ' "
             "|| printf('%.4f', baseline) || ', degradation: ' || printf('%.1f', degradation_pct) || '%)' AS line FROM degraded)",
-            "SELECT timestamp, 'Performance Degradation Alert' AS subject, 'Model: gbt' || chr(10) || 'Degraded metrics:' || chr(10) "
+            "SELECT timestamp, 'Performance Degradation Alert' AS subject, 'Model: gbt' || chr(10) || 'Worse than the baseline:' || chr(10) "
             "|| string_agg(line, chr(10) ORDER BY line) || chr(10) "
-            "|| 'Consider investigating data quality or retraining the model.' AS message FROM lines GROUP BY timestamp",
+            "|| 'Look at the recent data or train again.' AS message FROM lines GROUP BY timestamp",
         ),
         "performance_summary": _with(
             f"{RECORDS}, recent AS (SELECT * FROM records WHERE timestamp >= TIMESTAMP '2024-01-31' - INTERVAL {SUMMARY_DAYS} DAY), "

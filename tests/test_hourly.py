@@ -4,7 +4,7 @@ import pytest
 from conftest import SESSIONS, START
 
 from sitepulse.operators import enrich
-from sitepulse.operators.hourly import aggregate_hourly, data_summary
+from sitepulse.operators.hourly import aggregate_hourly, data_summary, latest_hour
 from sitepulse.operators.quality import DataValidationError
 
 
@@ -98,3 +98,13 @@ def test_nan_counts_as_missing(spark):
     assert hour["sessions"] == 2.0 and hour["session_count"] == 1 and hour["avg_sessions"] == 2.0
     summary = data_summary(df).first()
     assert summary["max"] == 2.0 and summary["null_sessions"] == 1 and summary["median"] == 2.0
+
+
+def test_latest_hour_of_the_log(spark):
+    """The last row has no site, so the hourly table does not hold it either."""
+    start = datetime(2024, 1, 1)
+    rows = [(1, start, 1.0), (2, start + timedelta(hours=5, minutes=40), 2.0), (None, start + timedelta(days=9), 3.0)]
+    log = spark.createDataFrame(rows, "site_id bigint, timestamp timestamp_ntz, sessions double")
+    latest = spark.range(1).select(latest_hour(log)).first()[0]
+    assert latest == aggregate_hourly(log).agg({"hour": "max"}).first()[0] == start + timedelta(hours=5)
+    assert spark.range(1).select(latest_hour(log.limit(0))).first()[0] is None

@@ -178,3 +178,28 @@ def test_training_part_is_the_oldest(prepared):
     row = train.selectExpr("min(row_index)", "max(row_index)", "max(row_total)", "count(*)").first()
     assert row[0] == 0 and row[1] + 1 == row[2] == row[3]
     assert split.INDEX in train.columns
+
+
+def test_first_leg_is_enough_when_the_error_stops_falling(spark, monkeypatch):
+    """Noise: the first rounds are the best, so not all 40 are trained, and the result is the same."""
+    rng = np.random.default_rng(3)
+    rows = [(float(x), float(y)) for x, y in rng.normal(size=(300, 2))]
+    data = spark.createDataFrame(rows, "x double, sessions double").coalesce(1)
+    train, held_out = data.limit(200).cache(), data.offset(200).cache()
+    trained = []
+    plain = forecast._train
+
+    def counted(vectors, params):
+        trained.append(params["n_estimators"])
+        return plain(vectors, params)
+
+    monkeypatch.setattr(forecast, "_train", counted)
+    params = {"max_depth": 2, "n_estimators": 40}
+    model = forecast.fit(train, ["x"], held_out, patience=4, **params)
+    assert trained[0] == 8 and 40 not in trained
+    assert model.stages[-1].getNumTrees == trained[-1] <= 4
+    full = forecast.fit(train, ["x"], **params).stages[-1]
+    vectors = model.stages[0].transform(held_out)
+    assert forecast.best_round(full.evaluateEachIteration(vectors, "squared"), 4) == trained[1]
+    again = forecast.fit(train, ["x"], held_out, patience=40, **params)  # a leg as long as the whole
+    assert 40 in trained and again.stages[-1].getNumTrees <= 40
