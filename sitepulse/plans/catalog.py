@@ -31,9 +31,19 @@ SPLIT_DAY = datetime(2024, 1, 16)
 AS_OF = datetime(2024, 1, 31)
 SUMMARY_DAYS = 14
 DATE_RANGE = (date(2024, 1, 5), date(2024, 1, 20))
-# Small forests for the queries that fit many models; the library defaults are larger.
-SMALL_MODEL = {"max_depth": 4, "n_estimators": 5}
-SMALL_GRID = {"max_depth": (2, 4), "learning_rate": (0.1,), "n_estimators": (3,)}
+MODEL_QUERIES = (
+    "predictions",
+    "actual_vs_predicted",
+    "feature_importance",
+    "saved_model",
+    "request_scores",
+    "streamed_scores",
+    "baseline_model",
+    "cross_validation",
+    "training_results",
+    "parameter_tuning",
+)
+FITS_AT_ONCE = 8  # independent fits that overlap; each is a chain of small jobs
 CHUNK_ROWS = 200  # small, so that series really are cut in the given tables
 HISTOGRAM_COLUMNS = ["sessions", "hour_of_day", "day_of_week", "is_weekend", "month"]
 BOX_COLUMNS = ["sessions", "session_count", "avg_sessions"]
@@ -498,27 +508,31 @@ def q_feature_importance(spark, sf_dir):
 
 
 def q_saved_model(spark, sf_dir):
+    """How far the predictions of the model that was read back are from those before saving."""
     model, test = default_fit(spark, sf_dir)
     folder = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
     path = reports.save_named_model({training.MODEL_NAME: model}, training.MODEL_NAME, folder)
-    return forecast.predict(forecast.load_model(path), test, keep=("site_id", "hour"))
+    both = (forecast.predict(m, test, keep=("site_id", "hour")) for m in (model, forecast.load_model(path)))
+    before, after = (rows.withColumnRenamed("prediction", name) for name, rows in zip(("_a", "_b"), both))
+    gap = F.abs(F.col("_a") - F.col("_b")).alias("prediction_gap")
+    return before.join(after, ["site_id", "hour"]).select("site_id", "hour", gap)
 
 
 def q_cross_validation(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
     train = training.indexed_training_part(rows)
-    return forecast.cross_validate(train, names, **SMALL_MODEL)
+    return forecast.cross_validate(train, names, parallelism=FITS_AT_ONCE)
 
 
 def q_parameter_tuning(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
     train = training.indexed_training_part(rows)
-    return forecast.tune(train, names, SMALL_GRID, splits=2)[2]
+    return forecast.tune(train, names, parallelism=FITS_AT_ONCE)[2]
 
 
 def q_training_results(spark, sf_dir):
     folder = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
-    training.run_training(sessions(spark, sf_dir), folder, cv_splits=2, **SMALL_MODEL)
+    training.run_training(sessions(spark, sf_dir), folder, parallelism=FITS_AT_ONCE)
     return reports.load_training_results(spark, folder)
 
 

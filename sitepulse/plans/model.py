@@ -8,7 +8,6 @@ from typing import Any
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import ParamGridBuilder
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import defaults
 from ..functions.metrics import regression_metrics
 from ..operators.features import align_features
-from ..operators.split import fold_part
+from ..operators.split import INDEX, TOTAL, fold_bounds
 from ..session import shared_dir
 
 LABEL, PREDICTION, VECTOR = "sessions", "prediction", "features"
@@ -43,6 +42,11 @@ def _regressor(params: Mapping[str, Any]) -> GBTRegressor:
     )
 
 
+def _vectors(rows: DataFrame, names: list[str], *keep: str) -> DataFrame:
+    assembled = VectorAssembler(inputCols=names, outputCol=VECTOR).transform(rows)
+    return assembled.select(VECTOR, F.col(LABEL).cast("double").alias(LABEL), *keep)
+
+
 def _train(vectors: DataFrame, params: Mapping[str, Any]) -> GBTRegressionModel:
     return _regressor(params).fit(vectors)
 
@@ -87,16 +91,15 @@ def fit(
     is enough where the best round lies in its first half; only otherwise all rounds are trained.
     """
     shared_dir(train.sparkSession)  # boosting cuts its lineage there
-    assembler = VectorAssembler(inputCols=feature_names, outputCol=VECTOR)
-    vectors = assembler.transform(train).select(VECTOR, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _vectors(train, feature_names).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if validation is None or validation.isEmpty():
             model = _train(vectors, params)
         else:
-            held_out = assembler.transform(validation).select(VECTOR, LABEL)
-            model = _train_until_best(vectors, held_out, patience, params)
+            model = _train_until_best(vectors, _vectors(validation, feature_names), patience, params)
     finally:
         vectors.unpersist()
+    assembler = VectorAssembler(inputCols=feature_names, outputCol=VECTOR)
     return PipelineModel(stages=[assembler, model])
 
 
@@ -139,16 +142,6 @@ def comparison_series(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return wide.unpivot(["site_id", "hour"], ["actual", "predicted"], "series", "sessions")
 
 
-def _fold_error(
-    indexed: DataFrame, names: list[str], fold: int, splits: int, params: Mapping[str, Any]
-) -> float:
-    part = indexed.withColumn("_part", fold_part(fold, splits))
-    model = fit(part.filter("_part = 'train'"), names, **params)
-    scored = actual_and_predicted(model, part.filter("_part = 'test'"))
-    evaluator = RegressionEvaluator(labelCol="actual", predictionCol="predicted", metricName="mae")
-    return evaluator.evaluate(scored)
-
-
 def _fold_errors(
     indexed: DataFrame,
     names: list[str],
@@ -156,15 +149,41 @@ def _fold_errors(
     grid: list[Mapping[str, Any]],
     parallelism: int,
 ) -> list[list[float]]:
-    """MAE per grid point and fold. The fits are independent Spark jobs and may overlap."""
+    """MAE per grid point and fold. The fits are independent Spark jobs and may overlap.
+
+    The vectors are assembled once; they lie in ``row_index`` order, so a fold skips cached
+    blocks. Trees are added one by one, so points that differ only in the number of rounds share
+    the fit with the most of them, and its error after each round gives all of theirs.
+    """
     spark = indexed.sparkSession
-    work = [(params, fold) for params in grid for fold in range(splits)]
-    run = inheritable_thread_target(spark)(
-        lambda item: _fold_error(indexed, names, item[1], splits, item[0])
-    )
-    with ThreadPool(min(parallelism, len(work))) as pool:
-        errors = pool.map(run, work, chunksize=1)
-    return [errors[i : i + splits] for i in range(0, len(errors), splits)]
+    shared_dir(spark)
+    families: dict[tuple, list[int]] = {}
+    for place, params in enumerate(grid):
+        others = tuple(sorted((k, v) for k, v in params.items() if k != "n_estimators"))
+        families.setdefault(others, []).append(place)
+    rounds = [p.get("n_estimators", defaults.N_ESTIMATORS) for p in grid]
+    vectors = _vectors(indexed, names, INDEX, TOTAL).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def errors_of(item: tuple[list[int], int]) -> list[float]:
+        places, fold = item
+        start, end = fold_bounds(fold, splits)
+        most = {**grid[places[0]], "n_estimators": max(rounds[p] for p in places)}
+        model = _train(vectors.filter(F.col(INDEX) < start), most)
+        tested = vectors.filter((F.col(INDEX) >= start) & (F.col(INDEX) < end))
+        by_round = model.evaluateEachIteration(tested, "absolute")
+        return [by_round[rounds[p] - 1] for p in places]
+
+    work = [(places, fold) for places in families.values() for fold in range(splits)]
+    try:
+        with ThreadPool(min(parallelism, len(work))) as pool:
+            found = pool.map(inheritable_thread_target(spark)(errors_of), work, chunksize=1)
+    finally:
+        vectors.unpersist()
+    errors = [[0.0] * splits for _ in grid]
+    for (places, fold), values in zip(work, found):
+        for place, value in zip(places, values):
+            errors[place][fold] = value
+    return errors
 
 
 def cross_validate(

@@ -312,6 +312,11 @@ def oracle_sql() -> dict[str, str]:
     day = "date_trunc('day', hour)"
     latest = "(SELECT date_trunc('day', max(hour)) FROM hourly)"
     pct = "round((({0}) / nullif({1}, 0) - 1) * 100, 1)"
+    by_time = _split(
+        "hour, site_id",
+        "CAST(floor(row_total * 0.2::DOUBLE) AS BIGINT) AS n_test, CAST(floor(row_total * 0.1::DOUBLE) AS BIGINT) AS n_val",
+        THREE_WAY,
+    )
     sql = {
         "load_sessions": _with(
             f"{STATES}, s AS (SELECT user_id % 25 + 1 AS site_id, ts AS timestamp, value AS sessions, event_id FROM events), "
@@ -503,12 +508,10 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             f"SELECT {_r('site_id', 'hour', 'sessions')} FROM hourly "
             "QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY hour DESC) <= 168",
         ),
-        "time_split": "WITH "
-        + _split(
-            "hour, site_id",
-            "CAST(floor(row_total * 0.2::DOUBLE) AS BIGINT) AS n_test, CAST(floor(row_total * 0.1::DOUBLE) AS BIGINT) AS n_val",
-            THREE_WAY,
-        ),
+        "time_split": f"WITH {by_time}",
+        # A model that is read back predicts exactly the same.
+        "saved_model": "SELECT site_id, hour, 0::DOUBLE AS prediction_gap "
+        f"FROM (WITH {by_time}) WHERE split = 'test'",
         "random_split": "WITH "
         + _split(
             "md5('42|' || site_id || '|' || strftime(hour, '%Y-%m-%d %H')), hour, site_id",

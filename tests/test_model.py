@@ -133,6 +133,22 @@ def test_cross_validation_and_tuning(prepared):
     assert len(forecast.parameter_grid()) == 12
 
 
+def test_points_that_share_a_fit_score_as_if_fitted_alone(prepared):
+    rows, names = prepared
+    train = training.indexed_training_part(rows)
+    grid = {"max_depth": (2,), "n_estimators": (3, 6)}
+    scores = forecast.tune(train, names, grid, splits=2)[2].collect()
+    for row in scores:
+        alone = []
+        for fold in range(2):
+            part = train.withColumn("part", split.fold_part(fold, 2))
+            params = {"max_depth": 2, "n_estimators": row["n_estimators"]}
+            fitted = forecast.fit(part.filter("part = 'train'"), names, **params)
+            alone.append(forecast.evaluate(fitted, part.filter("part = 'test'")).first()["mae"])
+        assert row["mean_mae"] == pytest.approx(np.mean(alone), abs=1e-6)
+    assert {r["n_estimators"] for r in scores} == {3, 6}
+
+
 def test_full_run(spark, sessions, tmp_path):
     model, results = training.run_training(sessions, str(tmp_path), cv_splits=2, **SMALL)
     saved = reports.load_training_results(spark, str(tmp_path))
