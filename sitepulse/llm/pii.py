@@ -26,7 +26,6 @@ PATTERNS = {
 }
 TERM = r"\p{L}{3,}+"
 CONTEXT = 3  # words on each side of an entity that are examined
-SUPPORT = 3  # documents in which a word and an entity have to meet
 GENERALISE = 0.75
 REMOVE = 0.9
 _NEAREST = rf"^(?:[^\p{{L}}]*+\p{{L}}++){{1,{CONTEXT}}}"
@@ -156,18 +155,17 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("near", F.filter("near", free)), "spans")
 
 
-def disclosure(docs: DataFrame, spans: DataFrame, support: int = SUPPORT) -> DataFrame:
+def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``entity, term, strength``: how strongly a word tells that the entity is near, at most 1.
 
     ``strength = PMI / IC = log(N n_both / (n_term n_entity)) / log(N / n_entity)`` over documents;
-    ``n_term`` counts every document of the corpus that has the word. Pairs that meet in fewer than
-    ``support`` documents, and entities of every document, say nothing.
+    ``n_term`` counts every document of the corpus that has the word. A pair that meets in a single document
+    counts like any other; only entities of every document say nothing.
     """
     total = spans.count()
     near = spans.select("doc_id", "fp", F.explode("near").alias("t"))
     near = near.select("doc_id", "fp", "t.entity", "t.term").distinct()
     both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    both = both.filter(F.col("n_both") >= support)
     entities = spans.select("doc_id", "fp", F.explode("base").alias("s")).select(
         "doc_id", "fp", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity")
     )

@@ -336,6 +336,15 @@ def test_revealing_words(spark):
     assert clean[12] == made[6][1]
 
 
+def test_words_beside_an_entity_of_one_document(spark):
+    made = [(0, "please call Rumpel a@b.example now", None, None)]
+    made += [(i, "please call now", None, None) for i in range(1, 40)]
+    found = {r.doc_id: r for r in pii.find_personal_data(table(spark, made)).collect()}
+    assert [made[0][1][t.start : t.end] for t in found[0].terms] == ["Rumpel"]
+    clean = {r.doc_id: r.text for r in pii.sanitise(table(spark, made)).collect()}
+    assert clean[0] == "please call  [EMAIL] now" and clean[1] == made[1][1]
+
+
 def test_quality(spark, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
