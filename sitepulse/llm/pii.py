@@ -2,14 +2,14 @@
 
 In DataFrame operations only. The patterns find e-mail addresses, IP numbers, payment cards and
 phone numbers. Each distinct value is a protected entity. The corpus then tells how strongly a
-word next to an entity reveals it: their pointwise mutual information over the entity's own
-information content, 1 where the word occurs with that entity only. Words over ``GENERALISE`` become
-a placeholder, words over ``REMOVE`` go.
+word of an entity's document reveals it: their pointwise mutual information over the entity's own
+information content, 1 where the word occurs with that entity only. Every occurrence of a word over
+``GENERALISE`` in the entity's document becomes a placeholder, of one over ``REMOVE`` nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -24,14 +24,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{3,}+"
-CONTEXT = 3  # words on each side of an entity that are examined
+TERM = r"\p{L}++"
 GENERALISE = 0.75
 REMOVE = 0.9
-_NEAREST = rf"^(?:[^\p{{L}}]*+\p{{L}}++){{1,{CONTEXT}}}"
+_AT_ONCE = 128  # marks that are replaced in one part of a text
 _BYTE = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 SPAN = "struct<kind:string,start:bigint,end:bigint,value:string>"
-TERM_SPAN = "struct<entity:string,term:string,start:bigint,end:bigint>"
+MARKS = "array<struct<start:bigint,end:bigint,label:string>>"
 
 
 def _luhn(digits: Column) -> Column:
@@ -59,7 +58,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _found(kind: str, text: Column) -> Column:
-    """All matches in order as ``kind, start, end, value, left, right``.
+    """All matches in order as ``kind, start, end, value``.
 
     ``split`` and ``regexp_extract_all`` see the same matches; the lengths of the pieces between them
     give the places, in code points.
@@ -70,9 +69,7 @@ def _found(kind: str, text: Column) -> Column:
     pairs = F.arrays_zip(
         matches.alias("value"),
         F.slice(pieces, F.lit(1), F.size(matches)).alias("left"),
-        F.slice(pieces, F.lit(2), F.size(matches)).alias("right"),
     )
-    span = "struct<kind:string,start:bigint,end:bigint,value:string,left:string,right:string>"
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["left"])
@@ -82,114 +79,167 @@ def _found(kind: str, text: Column) -> Column:
             start.cast("bigint").alias("start"),
             end.cast("bigint").alias("end"),
             pair["value"].alias("value"),
-            pair["left"].alias("left"),
-            pair["right"].alias("right"),
         )
         return F.struct(
             end.cast("bigint").alias("at"), F.concat(state["out"], F.array(one)).alias("out")
         )
 
-    empty = F.array().cast(f"array<{span}>")
+    empty = F.array().cast(f"array<{SPAN}>")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
     may = {"email": text.contains("@"), "phone": text.contains("+")}.get(kind, text.rlike("[0-9]"))
     spans = F.aggregate(pairs, start, step, lambda state: state["out"])
     return F.when(may, F.filter(spans, lambda s: _valid(kind, s["value"]))).otherwise(empty)
 
 
-def _terms(part: Column, offset: Column, entity: Column) -> Column:
-    """Words of a short context as ``entity, term, start, end``; ``offset`` is where it begins."""
-    pieces = F.split(part, TERM, -1)
-    words = F.regexp_extract_all(part, F.lit(TERM), F.lit(0))
-    pairs = F.arrays_zip(words.alias("word"), F.slice(pieces, F.lit(1), F.size(words)).alias("left"))
+def _merged(marks: Column) -> Column:
+    """Marks in order; those that overlap become one under the label of the first."""
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["left"])
-        end = start + F.length(pair["word"])
-        one = F.struct(
-            entity.alias("entity"),
-            F.lower(pair["word"]).alias("term"),
-            start.cast("bigint").alias("start"),
-            end.cast("bigint").alias("end"),
-        )
-        return F.struct(
-            end.cast("bigint").alias("at"), F.concat(state["out"], F.array(one)).alias("out")
+    def step(state: Column, mark: Column) -> Column:
+        last = state["last"]
+        joined = F.struct(
+            last["start"].alias("start"), F.greatest(last["end"], mark["end"]).alias("end"), last["label"].alias("label")
         )
+        overlaps = mark["start"] < last["end"]
+        out = F.when(last.isNull() | overlaps, state["out"]).otherwise(F.concat(state["out"], F.array(last)))
+        return F.struct(out.alias("out"), F.when(overlaps, joined).otherwise(mark).alias("last"))
 
-    empty = F.array().cast(f"array<{TERM_SPAN}>")
-    start = F.struct(offset.cast("bigint").alias("at"), empty.alias("out"))
-    return F.aggregate(pairs, start, step, lambda state: state["out"])
+    begin = F.struct(F.array().cast(MARKS).alias("out"), F.lit(None).cast(MARKS[6:-1]).alias("last"))
+    return F.aggregate(
+        F.array_sort(marks),
+        begin,
+        step,
+        lambda state: F.when(state["last"].isNull(), state["out"]).otherwise(
+            F.concat(state["out"], F.array(state["last"]))
+        ),
+    )
 
 
-def _context(span: Column) -> Column:
-    entity = F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
-    left = F.reverse(F.regexp_extract(F.reverse(span["left"]), _NEAREST, 0))
-    right = F.regexp_extract(span["right"], _NEAREST, 0)
-    return F.concat(
-        _terms(left, span["start"] - F.length(left), entity), _terms(right, span["end"], entity)
-    )
+def _between(text: Column, start: Column, end: Column) -> Column:
+    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+
+def _replaced(text: Column, marks: Column) -> Column:
+    """``text`` with labels in place of ordered marks that do not overlap.
+
+    ``substring`` walks from the start of its text, so a text is cut into parts of ``_AT_ONCE`` marks
+    first. Arrays of one element name a value that is used many times.
+    """
+
+    def whole(marks: Column) -> Column:
+        def end_of(i: Column) -> Column:
+            return F.when(i >= 0, F.get(marks, i)["end"]).otherwise(F.lit(0).cast("bigint"))
+
+        def block(b: Column) -> Column:
+            first = b * _AT_ONCE
+            some = F.slice(marks, first + 1, F.lit(_AT_ONCE))
+            begin = end_of(first - 1)
+            stop = end_of(F.least(first + _AT_ONCE, F.size(marks)) - 1)
+
+            def fill(part: Column) -> Column:
+                def one(mark: Column, i: Column) -> Column:
+                    return F.concat(
+                        _between(part, end_of(first + i - 1) - begin, mark["start"] - begin), mark["label"]
+                    )
+
+                return F.array_join(F.transform(some, one), "")
+
+            return F.get(F.transform(F.array(_between(text, begin, stop)), fill), F.lit(0))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(marks) - 1) / _AT_ONCE).cast("int"))
+        rest = F.substring(text, (end_of(F.size(marks) - 1) + 1).cast("int"), F.length(text))
+        full = F.concat(F.array_join(F.transform(blocks, block), ""), rest)
+        return F.when(F.size(marks) > 0, full).otherwise(text)
+
+    return F.get(F.transform(F.array(marks), whole), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    """Distinct words in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp, base, near``: spans by kind and start, and the words next to them.
+    """``doc_id, fp, base, text``: spans by kind and start, and the text where there are any.
 
-    Offsets count code points, the end is exclusive. Words inside a span are not in ``near``.
+    Offsets count code points, the end is exclusive.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("fp"),
-        F.concat(*[_found(kind, text) for kind in KINDS]).alias("found"),
+        F.concat(*[_found(kind, text) for kind in KINDS]).alias("base"),
+        "text",
     )
-    rows = rows.select(
-        "doc_id",
-        "fp",
-        F.transform(
-            "found", lambda s: F.struct(s["kind"], s["start"], s["end"], s["value"])
-        ).cast(f"array<{SPAN}>").alias("base"),
-        F.flatten(F.transform("found", _context)).alias("near"),
+    return materialize(rows.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "spans")
+
+
+def protected_texts(spans: DataFrame) -> DataFrame:
+    """``fp, copies, base, text, classes``: each distinct text with entities once.
+
+    Entities of the same texts are one class, as any word tells the same of all of them; a class is
+    the number of its documents and a 128-bit hash of its texts.
+    """
+    texts = spans.filter("size(base) > 0").groupBy("fp")
+    texts = texts.agg(F.count(F.lit(1)).alias("copies"), F.first("base").alias("base"), F.first("text").alias("text"))
+    texts = materialize(texts, "protected")
+    entity = F.transform("base", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
+    pairs = texts.select("fp", "copies", F.explode(F.array_distinct(entity)).alias("entity"))
+    known = pairs.groupBy("entity").agg(
+        F.sum("copies").alias("n_entity"),
+        F.bit_xor(F.xxhash64("fp", F.lit(1))).alias("a"),
+        F.bit_xor(F.xxhash64("fp", F.lit(2))).alias("b"),
     )
+    classes = pairs.join(known, "entity").groupBy("fp")
+    classes = classes.agg(F.collect_set(F.struct("n_entity", "a", "b")).alias("classes"))
+    return materialize(texts.join(classes, "fp"), "classes")
 
-    def free(t: Column) -> Column:
-        return ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
 
-    return materialize(rows.withColumn("near", F.filter("near", free)), "spans")
+def met(texts: DataFrame) -> DataFrame:
+    """``fp, copies, n_entity, a, b, term``: the words of each text beside its classes."""
+    beside = texts.select("fp", "copies", F.explode("classes").alias("c"), _words(F.col("text")).alias("words"))
+    return beside.select("fp", "copies", "c.*", F.explode("words").alias("term"))
 
 
-def disclosure(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``entity, term, strength``: how strongly a word tells that the entity is near, at most 1.
+def disclosure(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``n_entity, a, b, term, strength``: how strongly a word tells of a class of entities, at most 1.
 
     ``strength = PMI / IC = log(N n_both / (n_term n_entity)) / log(N / n_entity)`` over documents;
-    ``n_term`` counts every document of the corpus that has the word. A pair that meets in a single document
-    counts like any other; only entities of every document say nothing.
+    ``n_term`` counts every document of the corpus that has the word, ``n_both`` those of them that have the
+    entity, anywhere. A pair that meets in a single document counts like any other; only entities
+    of every document say nothing.
     """
-    total = spans.count()
-    near = spans.select("doc_id", "fp", F.explode("near").alias("t"))
-    near = near.select("doc_id", "fp", "t.entity", "t.term").distinct()
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = spans.select("doc_id", "fp", F.explode("base").alias("s")).select(
-        "doc_id", "fp", F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity")
-    )
-    entities = entities.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term")
+    total = docs.count()
+    both = met(texts).filter(F.col("n_entity") < total).groupBy("n_entity", "a", "b", "term")
+    both = both.agg(F.sum("copies").alias("n_both"))
+    terms = docs.select(F.explode(_words(F.col("text"))).alias("term")).groupBy("term")
     terms = terms.agg(F.count(F.lit(1)).alias("n_term"))
-    counted = both.join(entities, "entity").join(terms, "term")
     content = F.log2(total / F.col("n_entity"))
     shared = F.log2(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    return counted.filter(F.col("n_entity") < total).select(
-        "entity", "term", (shared / content).alias("strength")
+    return both.join(terms, "term").select("n_entity", "a", "b", "term", (shared / content).alias("strength"))
+
+
+def term_spans(texts: DataFrame, strengths: DataFrame, generalise: float = GENERALISE) -> DataFrame:
+    """``fp, terms``: all occurrences of revealing words outside the spans as ``start, end, strength``."""
+    strong = met(texts).join(strengths.filter(F.col("strength") >= generalise), ["n_entity", "a", "b", "term"])
+    strong = strong.groupBy("fp", "term").agg(F.max("strength").alias("strength"))
+    blank = F.transform(
+        "base", lambda s: F.struct(s["start"], s["end"], F.lit("").alias("label"))
+    ).cast(MARKS)
+    blank = F.transform(
+        _merged(blank), lambda s: F.struct(s["start"], s["end"], F.repeat(F.lit(" "), (s["end"] - s["start"]).cast("int")))
+    ).cast(MARKS)
+    free = texts.select("fp", _replaced(F.col("text"), blank).alias("text"))
+    words = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    pairs = F.arrays_zip(
+        words.alias("word"), F.slice(F.split("text", TERM, -1), F.lit(1), F.size(words)).alias("left")
     )
-
-
-def term_spans(spans: DataFrame, strengths: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """``doc_id, fp, terms``: revealing words next to entities as ``start, end, strength``."""
-    near = spans.select("doc_id", "fp", F.explode("near").alias("t")).select("doc_id", "fp", "t.*")
-    strong = strengths.filter(F.col("strength") >= generalise)
-    hits = near.join(strong, ["entity", "term"]).groupBy("doc_id", "fp", "start", "end")
-    hits = hits.agg(F.max("strength").alias("strength"))
-    return hits.groupBy("doc_id", "fp").agg(
-        F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms")
+    places = free.select("fp", F.posexplode(pairs).alias("place", "w"))
+    end = F.sum(F.length("w.left") + F.length("w.word")).over(Window.partitionBy("fp").orderBy("place"))
+    places = places.select(
+        "fp", F.lower("w.word").alias("term"), (end - F.length("w.word")).alias("start"), end.alias("end")
     )
+    hits = places.join(strong, ["fp", "term"]).groupBy("fp")
+    return hits.agg(F.array_sort(F.collect_list(F.struct("start", "end", "strength"))).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -199,11 +249,13 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     (repeated rows have equal results). Other columns are ignored.
     """
     spans = base_spans(docs)
-    terms = materialize(term_spans(spans, disclosure(docs, spans)), "terms")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("fp") == F.col("_fp"))
-    found = spans.join(terms.withColumnsRenamed({"doc_id": "_id", "fp": "_fp"}), same, "left")
+    texts = protected_texts(spans)
+    terms = materialize(term_spans(texts, disclosure(docs, texts)), "terms")
     empty = F.array().cast("array<struct<start:bigint,end:bigint,strength:double>>")
-    return found.select("doc_id", "fp", "base", F.coalesce("terms", empty).alias("terms"))
+    held = spans.filter("size(base) > 0").join(terms, "fp", "left")
+    rest = spans.filter("size(base) = 0").withColumn("terms", empty)
+    names = "doc_id", "fp", "base", F.coalesce("terms", empty).alias("terms")
+    return held.select(*names).unionByName(rest.select(*names))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -213,45 +265,24 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Spans that overlap are replaced together, under the name of the first. Null stays null.
     """
     found = find_personal_data(docs).filter("size(base) + size(terms) > 0").distinct()
-    plain = "array<struct<start:bigint,end:bigint,label:string>>"
     base = F.transform(
         "base",
         lambda s: F.struct(s["start"], s["end"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))),
-    ).cast(plain)
+    ).cast(MARKS)
     terms = F.transform(
         "terms",
         lambda s: F.struct(
             s["start"], s["end"], F.when(s["strength"] >= REMOVE, F.lit("")).otherwise(F.lit("[TERM]"))
         ),
-    ).cast(plain)
+    ).cast(MARKS)
     marks = found.select(
-        F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), F.array_sort(F.concat(base, terms)).alias("_marks")
+        F.col("doc_id").alias("_id"),
+        F.col("fp").alias("_fp"),
+        F.array_sort(F.concat(_merged(base), terms)).alias("_marks"),
     )
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
     rows = docs.join(marks, same, "left")
-
-    def step(state: Column, mark: Column) -> Column:
-        overlaps = mark["start"] < state["at"]
-        skipped = F.substring(
-            F.col("text"), (state["at"] + 1).cast("int"), (mark["start"] - state["at"]).cast("int")
-        )
-        return F.struct(
-            F.greatest(state["at"], mark["end"]).alias("at"),
-            F.when(overlaps, state["out"])
-            .otherwise(F.concat(state["out"], skipped, mark["label"]))
-            .alias("out"),
-        )
-
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    rest = F.length("text")
-    clean = F.aggregate(
-        F.col("_marks"),
-        begin,
-        step,
-        lambda state: F.concat(
-            state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), rest)
-        ),
-    )
+    clean = _replaced(F.col("text"), F.col("_marks"))
     new = {"text": F.when(F.col("_marks").isNull(), F.col("text")).otherwise(clean)}
     rows = rows.withColumns(new)
     if "n_chars" in docs.columns:

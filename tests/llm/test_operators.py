@@ -345,6 +345,33 @@ def test_words_beside_an_entity_of_one_document(spark):
     assert clean[0] == "please call  [EMAIL] now" and clean[1] == made[1][1]
 
 
+def test_words_anywhere_in_the_document_of_an_entity(spark):
+    often = "one two three four five six. " * 60
+    text = f"𝄞 Li said. {often}\nMail é {'x' * 9}@b.example or +1 (988) 555-2485; {often} LI, Rumpel and li."
+    made = [(0, text, None, None), (0, text, None, None)]
+    made += [(i, f"{often} said mail or and example b x é", None, None) for i in range(1, 60)]
+    made = table(spark, made)
+    found = [r for r in pii.find_personal_data(made).collect() if r.doc_id == 0]
+    for r in found:
+        got = [text[t.start : t.end] for t in r.terms]
+        assert got == ["Li", "LI", "Rumpel", "li"] and {t.strength for t in r.terms} == {1.0}
+    clean = {r.doc_id: r.text for r in pii.sanitise(made).collect()}
+    wanted = text.replace(f"{'x' * 9}@b.example", "[EMAIL]").replace("+1 (988) 555-2485", "[PHONE]")
+    assert clean[0] == re.sub(r"\b(?:Li|LI|li|Rumpel)\b", "", wanted) and len(found) == 2
+
+
+def test_many_marks_are_replaced(spark):
+    rnd = random.Random(4)
+    cuts = sorted(rnd.sample(range(3000), 1000))
+    text = "".join(rnd.choice("aé𝄞 ") for _ in range(3000))
+    marks = [(a, b, rnd.choice(["", "[X]"])) for a, b in zip(cuts[::2], cuts[1::2])]
+    df = spark.createDataFrame([(text, marks), (text, [])], f"text string, marks {pii.MARKS}")
+    got = [r[0] for r in df.select(pii._replaced(F.col("text"), F.col("marks"))).collect()]
+    for a, b, label in reversed(marks):
+        text = text[:a] + label + text[b:]
+    assert got == [text, df.first().text]
+
+
 def test_quality(spark, docs, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
