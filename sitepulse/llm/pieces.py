@@ -28,6 +28,7 @@ SPACE = "▁"
 UNKNOWN = -2  # a character without a piece; bytes stand for it
 CACHED_WORDS = 1 << 19
 WORDS_AT_ONCE = 1 << 13
+CELLS_AT_ONCE = 1 << 21  # longest word times words
 CHUNK_CHARS = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -245,8 +246,7 @@ class _Encoder:
     def viterbi(self, hashes, begin: np.ndarray, size: np.ndarray):
         """Piece ids of the given words, one after the other, and how many each has."""
         order = np.argsort(-size, kind="stable")  # words of equal length side by side
-        runs = [order[i : i + WORDS_AT_ONCE] for i in range(0, len(order), WORDS_AT_ONCE)]
-        found = [self._advance(hashes, begin[run], size[run]) for run in runs]
+        found = [self._advance(hashes, begin[run], size[run]) for run in _runs(order, size)]
         count = np.concatenate([c for _, c in found])
         place = np.argsort(order, kind="stable")  # back to the order of the call
         start = (np.cumsum(count) - count)[place]
@@ -355,6 +355,15 @@ class _Encoder:
         return len(self.model.spelled[piece].decode())
 
 
+def _runs(order: np.ndarray, size: np.ndarray):
+    """Words from long to short in runs of bounded tables; a longer word is a run of its own."""
+    i = 0
+    while i < len(order):
+        n = min(max(CELLS_AT_ONCE // (int(size[order[i]]) + 1), 1), WORDS_AT_ONCE)
+        yield order[i : i + n]
+        i += n
+
+
 def _gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Concatenate ``flat[start:start + count]`` of all rows."""
     first = np.cumsum(count) - count

@@ -428,6 +428,23 @@ def test_pieces(spark, docs, rows, empty):
     assert not pieces.encoding_report(marked, model).first().round_trip
 
 
+def test_long_words_among_many_do_not_share_tables(monkeypatch):
+    model = pieces.load_pieces()
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL_FILE)
+    rnd = random.Random(12)
+    text = " ".join(["a" * 4000, *("".join(rnd.choices("etaoin", k=rnd.randint(1, 9))) for _ in range(9000))])
+    tables = []
+    advance = pieces._Encoder._advance
+
+    def watched(self, hashes, begin, size):
+        tables.append((int(size[0]) + 1) * len(begin))
+        return advance(self, hashes, begin, size)
+
+    monkeypatch.setattr(pieces._Encoder, "_advance", watched)
+    ids, _ = pieces._Encoder(model).encode([text])
+    assert ids.tolist() == library.encode(text) and max(tables) <= 1 << 21
+
+
 def test_unigram_scores():
     """Without merges the best sum of scores wins."""
     model = pieces.load_pieces()
