@@ -35,33 +35,40 @@ BLOCKS = CONTAINERS | frozenset(
 )
 SILENT = "script|style|template|svg|title|textarea|noscript|iframe"
 FRAME_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|breadcrumbs?|cookies?"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|breadcrumbs?|cookies?"
     r"|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies"
-    r"|widget|pagination|complementary|contentinfo|search|skip)(?:$|[^a-z])",
-    re.I,
+    r"|widget|pagination|complementary|contentinfo|search|skip"
 )
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|$)|<!?/?([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+
+
+def _names_frame(attributes: str) -> bool:
+    """Is a whole word of ``class``, ``id`` or ``role`` a name of frame?"""
+    words = " ".join(v.strip("\"'") for v in _NAMED.findall(attributes)).lower().split()
+    return any(map(FRAME_WORDS.fullmatch, words))
 
 
 def page_lines(page: str) -> list[tuple[str, str]]:
     """Lines of a page with their zone: ``main`` (in an article), ``frame`` or ``open``.
 
-    A line is the text of a block, references decoded, white space runs as one space, trimmed.
+    A line is the text of a block, references decoded, white space runs as one space, trimmed. Names make
+    no frame of an ``article``, of ``main`` or of what holds one.
     """
-    lines: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []
+    lines: list[tuple[str, str, int]] = []
+    stack: list[tuple[str, str, int]] = []
     zone, parts, at = "open", [], 0
+    named, outer, holds = 0, [0], [True]  # innermost container with a name of frame; per such one
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            lines.append((text, zone))
+            lines.append((text, zone, named))
 
     for token in _TOKEN.finditer(page):
         parts.append(page[at : token.start()])
@@ -80,20 +87,25 @@ def page_lines(page: str) -> list[tuple[str, str]]:
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if depth is not None:
-                zone = stack[depth][1]
+                _, zone, named = stack[depth]
                 del stack[depth:]
         elif not token[3].rstrip().endswith("/"):
-            stack.append((name, zone))
-            named = " ".join(_NAMED.findall(token[3]))
+            stack.append((name, zone, named))
             if zone == "frame":
                 continue
-            if name in FRAME or name == "header" and zone != "main" or FRAME_WORDS.search(named):
+            if name in FRAME or name == "header" and zone != "main":
                 zone = "frame"
             elif name in ("article", "main"):
-                zone = "main"
+                zone, up = "main", named
+                while not holds[up]:
+                    holds[up], up = True, outer[up]
+            elif _names_frame(token[3]):
+                outer.append(named)
+                holds.append(False)
+                named = len(outer) - 1
     parts.append(page[at:])
     flush()
-    return lines
+    return [(text, zone if holds[named] else "frame") for text, zone, named in lines]
 
 
 def line_key(line: str) -> int:

@@ -225,6 +225,22 @@ def test_page_text(spark):
     assert page_text.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='layout with-sidebar'>{}</div>",
+        "<div id=page class='content-sidebar-wrap sidebar'><article>{}</article></div>",
+        "<article class='post promo'>{}</article>",
+        "<main class='no-sidebar' data-id='search'>{}</main>",
+        "<article><section id='related-work'>{}</section></article>",
+        "<div class=widget><div class=menu><article><section id='notice-period'>{}</section></article></div></div>",
+    ],
+)
+def test_names_take_no_main_text(page):
+    frame = "<div class='box Promo'><p>buy</p></div><aside><article>card</article></aside>"
+    assert page_text.main_text(frame + page.format("<p>one<p>two"), []) == "one\ntwo"
+
+
 def test_page_text_of_given_pages(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
