@@ -5,7 +5,7 @@ The text lines of both outside an ``article`` are aligned by their longest commo
 shared ones, the site's frame, are deleted. Lines that the markup itself names as frame (``nav``,
 ``footer``, ``aside``, ``form``, adverts by class and so on) go whether or not the partner has them, because
 frames may change from page to page; lines inside an ``article`` never go by comparison, because
-pages may carry the same article. If a page has an ``article`` or ``main``, nothing outside is text.
+pages may carry the same article. For all other lines the comparison decides, also beside an ``article``.
 """
 
 from __future__ import annotations
@@ -152,13 +152,7 @@ def main_text(page: str, partner: list[int]) -> str:
     outside = [i for i, (_, zone) in enumerate(lines) if zone != "main"]
     shared = common_lines([line_key(lines[i][0]) for i in outside], partner)
     gone = {outside[k] for k in shared}
-    only_main = any(zone == "main" for _, zone in lines)
-    keep = [
-        text
-        for i, (text, zone) in enumerate(lines)
-        if i not in gone and (zone == "main" or zone == "open" and not only_main)
-    ]
-    return "\n".join(keep)
+    return "\n".join(text for i, (text, zone) in enumerate(lines) if i not in gone and zone != "frame")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

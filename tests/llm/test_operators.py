@@ -241,6 +241,16 @@ def test_names_take_no_main_text(page):
     assert page_text.main_text(frame + page.format("<p>one<p>two"), []) == "one\ntwo"
 
 
+def test_comparison_decides_beside_an_article(spark):
+    made = [
+        (i, f"http://h/a/{i}", f"<div>Motto</div><div id=content><p>story {i}<p>end {i}</div><article>card</article><p>Bye")
+        for i in (1, 2)
+    ]
+    pages = spark.createDataFrame(made, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract_text(pages).collect()}
+    assert got == {i: f"story {i}\nend {i}\ncard" for i in (1, 2)}
+
+
 def test_page_text_of_given_pages(spark):
     pages = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     source = {r.page_id: r.html for r in pages.collect()}
