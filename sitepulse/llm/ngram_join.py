@@ -7,8 +7,9 @@ are matched; passages that many documents share stay out of them. The overlap of
 pair is then counted fragment by fragment and summed.
 
 Documents with equal sets form a class, of which the smallest ``doc_id`` takes part. Pairs are not
-expanded within a group: first every member of an n-gram's group is compared with the group's
-smallest one, then only members that are not connected yet are compared with each other.
+expanded to rows: the classes lie in blocks of ``BLOCK``, any two blocks that share an n-gram of their
+prefixes are compared as a whole, and the number of such pairs of blocks grows with the square of
+the blocks that an n-gram is in.
 """
 
 from __future__ import annotations
