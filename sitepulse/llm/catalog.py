@@ -15,6 +15,7 @@ MODULES = (
     "quality",
     "ngram_join",
     "substring_dedup",
+    "manifest",
 )
 
 
