@@ -16,6 +16,7 @@ MODULES = (
     "ngram_join",
     "substring_dedup",
     "manifest",
+    "windows",
 )
 
 
