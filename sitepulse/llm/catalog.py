@@ -17,6 +17,7 @@ MODULES = (
     "substring_dedup",
     "manifest",
     "windows",
+    "lexical",
 )
 
 
