@@ -49,5 +49,5 @@ def test_odd_rows_pass_all_stages(spark):
 
 def test_registered():
     names = catalog.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(catalog.oracle_sql()) <= set(names)
