@@ -10,7 +10,7 @@ a task whatever its input, and nothing is padded.
 
 Ids are those of the ``tokenizers`` library, found once per distinct word of a task: the
 tokenizer drops white space and lets no token reach over it, so a text's ids are the ids
-of its words (cut at ASCII white space) in order.
+of its words (cut at ASCII white space) in order. The table of words is begun anew when it is full.
 
 Defined results: null and empty texts are a document of the end mark alone; repeated rows and rows
 without an id are documents like any other; an empty table gives no pieces; only ``doc_id`` and the text are read.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from .textbatch import map_batches
+from .textbatch import map_batches, text_chunks
 
 WINDOW = 4096  # ids in a full sequence
 OPEN = 16  # windows that a task keeps open
 MERGED = 32  # tasks whose leftovers meet in one task
 END = 2  # id after every document
-WORDS_BYTES = 32 << 20  # bytes of words whose ids a task remembers
+WORDS_BYTES = 16 << 20  # bytes of words whose ids a task remembers
+TEXT_BYTES = 1 << 20  # bytes of texts that are encoded together, if none is longer
+MARKS = b".,;:!?"
 BATCH_IDS = 1 << 20  # ids in a batch of pieces
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = pa.schema(
@@ -56,8 +59,26 @@ SCHEMA = (
 )
 
 
-class WordIds:
-    """Ids of whole texts from remembered ids of their words."""
+class _Growing:
+    """An array that doubles when it is full."""
+
+    def __init__(self, dtype, *shape: int):
+        self.data, self.used = np.zeros((1 << 16, *shape), dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data[: self.used], np.zeros((2 * need - self.used, *self.data.shape[1:]), self.data.dtype)])
+        self.data[self.used : need] = values
+        self.used = need
+
+
+class WordIds(dict):
+    """Ids of whole texts from remembered ids of their words: the number of each word by its bytes.
+
+    A word is a core and a tail of sentence marks, which the tokenizer always separates; cores that differ
+    in the case of ASCII letters only share their ids. ``None`` stands for the end of a document.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -66,40 +87,68 @@ class WordIds:
         self._forget()
 
     def _forget(self) -> None:
-        self._numbers: dict[str, int] = {}
-        self._bytes = 0
-        self._ids = np.zeros(1 << 16, np.uint32)
-        self._ends = np.zeros(1, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        found = self._tokenizer.encode_batch(words, add_special_tokens=False)
-        sizes = np.array([len(f.ids) for f in found], np.int64)
-        used = self._ends[-1]
-        need = used + int(sizes.sum())
-        if need > len(self._ids):
-            self._ids = np.concatenate([self._ids[:used], np.zeros(max(need, 2 * used) - used, np.uint32)])
-        self._ids[used:need] = np.fromiter((i for f in found for i in f.ids), np.uint32, need - used)
-        self._ends = np.concatenate([self._ends, used + np.cumsum(sizes)])
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of ``text`` and ``END``."""
-        # bytes.split cuts at ASCII white space only; a str would also be cut at separators
-        words = text.encode("utf-8", "surrogatepass").split()
+        self.clear()
+        self._units, self._fresh, self._parts, self._bytes = {b"": 0}, [], [], 0
+        self._ids, self._ends, self._words = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64, 2)
+        self._ids.extend([END])
+        self._ends.extend([0, 0, 1])  # ends of what comes before unit 0 (nothing), of it, of unit 1 (the end mark)
+        self._units[None] = 1
+        self[None] = 0
+        self._parts.append((1, 0))
+
+    def __missing__(self, word: bytes) -> int:
+        core, tail = word.rstrip(MARKS), b""
+        if len(core) < len(word) and core[-1:].isalnum():
+            tail = word[len(core) :]
+        else:
+            core = word
+        if core.isascii() and b"<|" not in core:  # which may begin a special token, where case matters
+            core = core.lower()
+        units = self._units
+        for unit in (core, tail):
+            if unit not in units:
+                units[unit] = len(units)
+                self._fresh.append(unit.decode())
+                self._bytes += len(unit)
+        self._bytes += len(word)
+        self._parts.append((units[core], units[tail]))
+        number = self[word] = len(self)
+        return number
+
+    def _ids_of(self, units: list[str]) -> list[list[int]]:
+        # small ASCII letters are what the tokenizer hands to its model as they are; of anything else
+        # it makes something first
+        merge = self._tokenizer.model.tokenize
+        plain = [u.isascii() and u.isalpha() and u.islower() for u in units]
+        others = [u for u, p in zip(units, plain) if not p]
+        rest = iter(self._tokenizer.encode_batch(others, add_special_tokens=False))
+        return [[t.id for t in merge(u)] if p else next(rest).ids for u, p in zip(units, plain)]
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of every text, each followed by ``END``."""
         if self._bytes > WORDS_BYTES:
             self._forget()
-        numbers = self._numbers
-        fresh = [w for w in dict.fromkeys(words) if w not in numbers]
-        if fresh:
-            self._learn([w.decode("utf-8", "surrogatepass") for w in fresh])
-            self._bytes += sum(map(len, fresh))
-            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
-        at = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        first, sizes = self._ends[at], self._ends[at + 1] - self._ends[at]
-        out = np.empty(int(sizes.sum()) + 1, np.uint32)
-        out[-1] = END
-        places = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(len(out) - 1)
-        out[:-1] = self._ids[places]
-        return out
+        words, last = [], []
+        for text in texts:
+            words += text.split()  # bytes are cut at ASCII white space only
+            last.append(len(words))
+            words.append(None)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self._parts:
+            self._words.extend(np.array(self._parts, np.int64))
+            self._parts = []
+        if self._fresh:
+            ids = self._ids_of(self._fresh)
+            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self._ids.used
+            self._ends.extend(ends)
+            self._ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - self._ids.used))
+            self._fresh = []
+        units = self._words.data[at].ravel()
+        first = self._ends.data[units]
+        sizes = self._ends.data[units + 1] - first
+        sums = np.cumsum(sizes)
+        flat = self._ids.data[np.repeat(first - sums + sizes, sizes) + np.arange(sums[-1])]
+        return np.split(flat, sums[2 * np.array(last[:-1], np.int64) + 1])
 
 
 class Packer:
@@ -195,10 +244,13 @@ def pack_windows(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         encoder, packer = WordIds(tokenizer), Packer(0, TaskContext.get().partitionId())
         for batch in batches:
-            for doc_id, text in zip(*batch.columns):
-                ids = encoder.encode(text.as_py() or "")
-                packer.add(doc_id.as_py(), 0, len(ids), ids)
-                yield from packer.batches(BATCH_IDS)
+            keys = batch.column(0).to_pylist()
+            for chunk in text_chunks(batch.column(1), TEXT_BYTES):
+                data = chunk.buf.tobytes()
+                texts = [data[a:b] for a, b in zip(chunk.starts, chunk.ends)]
+                for doc_id, ids in zip(keys[chunk.first :], encoder.encode(texts)):
+                    packer.add(doc_id, 0, len(ids), ids)
+                    yield from packer.batches(BATCH_IDS)
         packer.leave()
         yield from packer.batches()
 
