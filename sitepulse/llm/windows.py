@@ -24,6 +24,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ WINDOW = 4096  # ids in a full sequence
 OPEN = 16  # windows that a task keeps open
 MERGED = 32  # tasks whose leftovers meet in one task
 END = 2  # id after every document
-WORDS_BYTES = 16 << 20  # bytes of words whose ids a task remembers
-TEXT_BYTES = 1 << 20  # bytes of texts that are encoded together, if none is longer
-MARKS = b".,;:!?"
+WORDS_BYTES = 16 << 20  # characters of words whose ids a task remembers
+TEXT_BYTES = 1 << 22  # bytes of texts that are encoded together, if none is longer
+MARKS = ".,;:!?"
 BATCH_IDS = 1 << 20  # ids in a batch of pieces
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 PIECES = pa.schema(
@@ -73,11 +74,11 @@ class _Growing:
         self.used = need
 
 
-class WordIds(dict):
-    """Ids of whole texts from remembered ids of their words: the number of each word by its bytes.
+class UnitIds(dict):
+    """Ids of whole texts from remembered ids of units: the number of each unit.
 
-    A word is a core and a tail of sentence marks, which the tokenizer always separates; cores that differ
-    in the case of ASCII letters only share their ids. ``None`` stands for the end of a document.
+    A word is a unit and a tail of sentence marks, which the tokenizer always separates; a unit of ASCII
+    characters stands for all its spellings in small and capital letters.
     """
 
     def __init__(self, path: str):
@@ -88,67 +89,62 @@ class WordIds(dict):
 
     def _forget(self) -> None:
         self.clear()
-        self._units, self._fresh, self._parts, self._bytes = {b"": 0}, [], [], 0
-        self._ids, self._ends, self._words = _Growing(np.uint32), _Growing(np.int64), _Growing(np.int64, 2)
-        self._ids.extend([END])
-        self._ends.extend([0, 0, 1])  # ends of what comes before unit 0 (nothing), of it, of unit 1 (the end mark)
-        self._units[None] = 1
-        self[None] = 0
-        self._parts.append((1, 0))
-
-    def __missing__(self, word: bytes) -> int:
-        core, tail = word.rstrip(MARKS), b""
-        if len(core) < len(word) and core[-1:].isalnum():
-            tail = word[len(core) :]
-        else:
-            core = word
-        if core.isascii() and b"<|" not in core:  # which may begin a special token, where case matters
-            core = core.lower()
-        units = self._units
-        for unit in (core, tail):
-            if unit not in units:
-                units[unit] = len(units)
-                self._fresh.append(unit.decode())
-                self._bytes += len(unit)
-        self._bytes += len(word)
-        self._parts.append((units[core], units[tail]))
-        number = self[word] = len(self)
+        self._fresh, self._bytes, self._ids, self._ends = [], 0, _Growing(np.uint32), _Growing(np.int64)
+        self._ends.extend([0])
+
+    def __missing__(self, unit: str) -> int:
+        self._fresh.append(unit)
+        self._bytes += len(unit)
+        number = self[unit] = len(self)
         return number
 
-    def _ids_of(self, units: list[str]) -> list[list[int]]:
+    def _learn(self) -> None:
         # small ASCII letters are what the tokenizer hands to its model as they are; of anything else
         # it makes something first
         merge = self._tokenizer.model.tokenize
-        plain = [u.isascii() and u.isalpha() and u.islower() for u in units]
-        others = [u for u, p in zip(units, plain) if not p]
+        plain = [u.isascii() and u.isalpha() and u.islower() for u in self._fresh]
+        others = [u for u, p in zip(self._fresh, plain) if not p]
         rest = iter(self._tokenizer.encode_batch(others, add_special_tokens=False))
-        return [[t.id for t in merge(u)] if p else next(rest).ids for u, p in zip(units, plain)]
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        ids = [[t.id for t in merge(u)] if p else next(rest).ids for u, p in zip(self._fresh, plain)]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self._ids.used
+        self._ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - self._ids.used))
+        self._ends.extend(ends)
+        self._fresh = []
+
+    @staticmethod
+    def _units(words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Core and tail of distinct words."""
+        core = pc.utf8_rtrim(words, characters=MARKS)
+        marked = pc.and_(pc.not_equal(core, words), pc.match_substring_regex(core, "[0-9A-Za-z]$"))
+        tail = pc.replace_substring_regex(words, f"(?s)^.*[^{MARKS}]", "")
+        core = pc.if_else(marked, core, words)
+        # "<|" may begin a special token, in which case matters
+        any_case = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<|")))
+        return pc.if_else(any_case, pc.ascii_lower(core), core), pc.if_else(marked, tail, "")
+
+    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of every text, each followed by ``END``."""
         if self._bytes > WORDS_BYTES:
             self._forget()
-        words, last = [], []
-        for text in texts:
-            words += text.split()  # bytes are cut at ASCII white space only
-            last.append(len(words))
-            words.append(None)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self._parts:
-            self._words.extend(np.array(self._parts, np.int64))
-            self._parts = []
+        words = pc.ascii_split_whitespace(texts)
+        last = np.asarray(words.offsets)[1:] - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        units = pa.concat_arrays(self._units(coded.dictionary)).dictionary_encode()
+        names = units.dictionary.to_pylist()
+        numbers = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
         if self._fresh:
-            ids = self._ids_of(self._fresh)
-            ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) + self._ids.used
-            self._ends.extend(ends)
-            self._ids.extend(np.fromiter(chain.from_iterable(ids), np.uint32, ends[-1] - self._ids.used))
-            self._fresh = []
-        units = self._words.data[at].ravel()
-        first = self._ends.data[units]
-        sizes = self._ends.data[units + 1] - first
+            self._learn()
+        parts = numbers[np.asarray(units.indices)].reshape(2, -1).T
+        parts = parts[np.asarray(coded.indices)].ravel()
+        first = self._ends.data[parts]
+        sizes = self._ends.data[parts + 1] - first
         sums = np.cumsum(sizes)
-        flat = self._ids.data[np.repeat(first - sums + sizes, sizes) + np.arange(sums[-1])]
-        return np.split(flat, sums[2 * np.array(last[:-1], np.int64) + 1])
+        total = sums[-1] if len(sums) else 0
+        flat = self._ids.data[np.repeat(first - sums + sizes, sizes) + np.arange(total)]
+        begin = 0
+        for end in np.append(0, sums)[2 * last]:
+            yield np.append(flat[begin:end], np.uint32(END))
+            begin = end
 
 
 class Packer:
@@ -242,12 +238,12 @@ def pack_windows(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKEN
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        encoder, packer = WordIds(tokenizer), Packer(0, TaskContext.get().partitionId())
+        encoder, packer = UnitIds(tokenizer), Packer(0, TaskContext.get().partitionId())
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for chunk in text_chunks(batch.column(1), TEXT_BYTES):
-                data = chunk.buf.tobytes()
-                texts = [data[a:b] for a, b in zip(chunk.starts, chunk.ends)]
+            column = batch.column(1).fill_null("").cast(pa.large_string())
+            for chunk in text_chunks(column, TEXT_BYTES):
+                texts = column.slice(chunk.first, len(chunk.starts))
                 for doc_id, ids in zip(keys[chunk.first :], encoder.encode(texts)):
                     packer.add(doc_id, 0, len(ids), ids)
                     yield from packer.batches(BATCH_IDS)
