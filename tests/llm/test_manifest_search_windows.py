@@ -124,7 +124,7 @@ def test_manifest_sizes(spark, tmp_path):
     assert {(r.root, r.folded) for r in found} == {(top[-1][0],) * 2}
     assert {(r.grp, len(r.path)) for r in found} == {(g, len(x) - 1 + len(top) - 1) for g, x in trees.items()}
     # between the leaves and the top only every third level is stored
-    assert [d.count() for d in built.leaves] == [sum(sizes), 7 + 2, 1]
+    assert [d.count() for d in built.leaves] == [sum(sizes), 6 + 2, 1]
 
 
 def test_manifest_empty(spark, docs):
