@@ -36,7 +36,7 @@ from ..operators.ranks import with_row_index
 from ..session import shared_dir
 from .textbatch import FOLDED, Chunk, map_batches, mix, powers, text_chunks
 
-SEGMENT_TERMS = 1 << 22  # terms in a segment, if no document is longer
+SEGMENT_TERMS = 1 << 21  # terms in a segment, if no document is longer
 SEGMENT_DOCS = 1 << 16
 BLOCK = 128  # postings in a block
 WINDOW = 1 << 12  # documents that a query looks at together
