@@ -42,8 +42,16 @@ MODEL_QUERIES = (
     "cross_validation",
     "training_results",
     "parameter_tuning",
+    "prediction_rows",
+    "comparison_actuals",
+    "importance_names",
+    "fold_scores",
+    "tuning_points",
+    "training_result_rows",
+    "baseline_scores",
+    "request_score_rows",
+    "streamed_score_rows",
 )
-FITS_AT_ONCE = 8  # independent fits that overlap; each is a chain of small jobs
 CHUNK_ROWS = 200  # small, so that series really are cut in the given tables
 HISTOGRAM_COLUMNS = ["sessions", "hour_of_day", "day_of_week", "is_weekend", "month"]
 BOX_COLUMNS = ["sessions", "session_count", "avg_sessions"]
@@ -521,18 +529,18 @@ def q_saved_model(spark, sf_dir):
 def q_cross_validation(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
     train = training.indexed_training_part(rows)
-    return forecast.cross_validate(train, names, parallelism=FITS_AT_ONCE)
+    return forecast.cross_validate(train, names)
 
 
 def q_parameter_tuning(spark, sf_dir):
     rows, names = split_rows(spark, sf_dir)
     train = training.indexed_training_part(rows)
-    return forecast.tune(train, names, parallelism=FITS_AT_ONCE)[2]
+    return forecast.tune(train, names)[2]
 
 
 def q_training_results(spark, sf_dir):
     folder = f"{shared_dir(spark)}/training-{uuid.uuid4().hex}"
-    training.run_training(sessions(spark, sf_dir), folder, parallelism=FITS_AT_ONCE)
+    training.run_training(sessions(spark, sf_dir), folder)
     return reports.load_training_results(spark, folder)
 
 
@@ -556,6 +564,69 @@ def q_streamed_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+# What SQL can tell about the results of the fitted models: rows, keys, actual values, sizes, orders.
+
+
+def q_prediction_rows(spark, sf_dir):
+    model, test = default_fit(spark, sf_dir)
+    scored = forecast.actual_and_predicted(model, test, keep=("site_id", "hour"))
+    number = (F.col("predicted").isNotNull() & ~F.isnan("predicted")).alias("is_scored")
+    return rounded(scored.select("site_id", "hour", "actual", number))
+
+
+def q_comparison_actuals(spark, sf_dir):
+    series = forecast.comparison_series(*default_fit(spark, sf_dir))
+    return rounded(series.filter("series = 'actual'").drop("series"))
+
+
+def q_importance_names(spark, sf_dir):
+    found = forecast.feature_importance(default_fit(spark, sf_dir)[0])
+    return found.select("feature", F.col("importance").between(0, 1).alias("is_share"))
+
+
+def q_fold_scores(spark, sf_dir):
+    rows, names = split_rows(spark, sf_dir)
+    train = training.indexed_training_part(rows)
+    scores = forecast.cross_validate(train, names)
+    sizes = split.fold_summary(train).select("fold", "train_rows", "test_rows")
+    return scores.join(sizes, "fold").select("fold", "train_rows", "test_rows", (F.col("mae") > 0).alias("has_error"))
+
+
+def q_tuning_points(spark, sf_dir):
+    points = q_parameter_tuning(spark, sf_dir)
+    least = points.agg(F.min("mean_mae")).first()[0]
+    right = (F.col("mean_mae") == least) | ~F.col("is_best")
+    return points.select("max_depth", "learning_rate", "n_estimators", right.alias("is_consistent"))
+
+
+def q_training_result_rows(spark, sf_dir):
+    found = q_training_results(spark, sf_dir)
+    size = F.when(F.col("name") == "sample_size", F.col("value").cast("long"))
+    return found.select("section", "name", F.col("value").isNotNull().alias("has_value"), size.alias("size"))
+
+
+def q_baseline_scores(spark, sf_dir):
+    found = q_baseline_model(spark, sf_dir)
+    return found.select("sample_size", (F.col("mae") <= F.col("rmse")).alias("is_ordered"))
+
+
+def _score_rows(scores: DataFrame) -> DataFrame:
+    band = F.col("confidence_interval")
+    gaps = [
+        F.abs(band[end] - F.col("prediction") * share) <= 1e-9 * F.abs(F.col("prediction"))
+        for end, share in (("lower", 0.9), ("upper", 1.1))
+    ]
+    return scores.select("site_id", "timestamp", "model_version", (gaps[0] & gaps[1]).alias("has_band"))
+
+
+def q_request_score_rows(spark, sf_dir):
+    return _score_rows(q_request_scores(spark, sf_dir))
+
+
+def q_streamed_score_rows(spark, sf_dir):
+    return _score_rows(q_streamed_scores(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     """Every ``q_`` function above under its plain name."""
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_")}

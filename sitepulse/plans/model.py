@@ -1,79 +1,98 @@
-"""The forecast model: gradient-boosted regression trees from Spark ML."""
+"""The forecast model: gradient-boosted regression trees."""
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Mapping
-from multiprocessing.pool import ThreadPool
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..functions.metrics import regression_metrics
 from ..operators.features import align_features
-from ..operators.split import INDEX, TOTAL, fold_bounds
-from ..session import shared_dir
-
-LABEL, PREDICTION, VECTOR = "sessions", "prediction", "features"
-DEFAULT_PARAMS = {
-    "max_depth": defaults.MAX_DEPTH,
-    "learning_rate": defaults.LEARNING_RATE,
-    "n_estimators": defaults.N_ESTIMATORS,
-    "seed": defaults.RANDOM_STATE,
-}
-_SPARK_NAMES = {
-    "max_depth": "maxDepth",
-    "learning_rate": "stepSize",
-    "n_estimators": "maxIter",
-    "seed": "seed",
-}
-
-
-def _regressor(params: Mapping[str, Any]) -> GBTRegressor:
-    settings = {_SPARK_NAMES[k]: v for k, v in {**DEFAULT_PARAMS, **params}.items()}
-    return GBTRegressor(
-        featuresCol=VECTOR, labelCol=LABEL, predictionCol=PREDICTION, lossType="squared", **settings
-    )
-
-
-def _vectors(rows: DataFrame, names: list[str], *keep: str) -> DataFrame:
-    assembled = VectorAssembler(inputCols=names, outputCol=VECTOR).transform(rows)
-    return assembled.select(VECTOR, F.col(LABEL).cast("double").alias(LABEL), *keep)
-
-
-def _train(vectors: DataFrame, params: Mapping[str, Any]) -> GBTRegressionModel:
-    return _regressor(params).fit(vectors)
-
-
-def best_round(errors: Iterable[float], patience: int) -> int:
-    """Number of boosting rounds to keep: the best one before ``patience`` rounds without gain."""
-    best, best_error = 0, float("inf")
-    for done, error in enumerate(errors, start=1):
-        if error < best_error:
-            best, best_error = done, error
-        elif done - best >= patience:
-            break
-    return best
-
-
-def _train_until_best(
-    vectors: DataFrame, held_out: DataFrame, patience: int, params: Mapping[str, Any]
-) -> GBTRegressionModel:
-    total = params.get("n_estimators", defaults.N_ESTIMATORS)
-    for leg in sorted({min(2 * patience, total), total}):
-        model = _train(vectors, {**params, "n_estimators": leg})
-        rounds = best_round(model.evaluateEachIteration(held_out, "squared"), patience)
-        if rounds + patience <= leg:
-            break
-    if rounds < model.getNumTrees:
-        model = _train(vectors, {**params, "n_estimators": rounds})
-    return model
+from ..operators.split import INDEX, TOTAL
+from .boosting import Fit, Grown, bin_edges, bin_rows, boost
+
+LABEL, PREDICTION = "sessions", "prediction"
+KIND = "boosted regression trees"
+ABOUT = "kind string, names array<string>, base double, depth int, trees int"
+NODES = "tree int, node int, feature int, threshold double, value double, gain double"
+
+
+@dataclass
+class BoostedModel:
+    """Trees as heaps, a line each: node i has children 2i+1 (at most ``threshold``) and 2i+2; the
+    prediction is ``base`` plus the values of the leaves. Its size follows from the parameters, not from the rows."""
+
+    names: list[str]
+    base: float
+    feature: np.ndarray
+    threshold: np.ndarray
+    value: np.ndarray
+    gain: np.ndarray
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.feature)
+
+    @property
+    def depth(self) -> int:
+        return (self.feature.shape[1] + 1).bit_length() - 2
+
+    def prediction(self) -> Column:
+        """Prediction from the feature columns; a missing feature goes to the right."""
+        lines = list(zip(self.feature, self.threshold, self.value))
+        base, depth = self.base, self.depth
+
+        def score(*columns):
+            import numpy as np
+            import pandas as pd
+
+            rows = np.array([c.to_numpy(float, na_value=np.nan) for c in columns])
+            at = np.arange(rows.shape[1])
+            total = np.full(len(at), base)
+            for feature, threshold, value in lines:
+                node = np.zeros(len(at), np.int64)
+                for _ in range(depth):
+                    which = feature[node]
+                    right = ~(rows[which, at] <= threshold[node])
+                    node = np.where(which >= 0, 2 * node + 1 + right, node)
+                total += value[node]
+            return pd.Series(total)
+
+        score.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+        return F.pandas_udf(score, "double")(*[F.col(c).cast("double") for c in self.names])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(PREDICTION, self.prediction())
+
+
+def _model(names: list[str], grown: Grown, edges: list[np.ndarray], depth: int) -> BoostedModel:
+    width = 2 ** (depth + 1) - 1
+    lines = {c: np.zeros((len(grown.trees), width)) for c in ("feature", "threshold", "value", "gain")}
+    for i, tree in enumerate(grown.trees):
+        inner = np.flatnonzero(tree.feature >= 0)
+        lines["feature"][i] = tree.feature
+        lines["threshold"][i, inner] = [edges[f][b] for f, b in zip(tree.feature[inner], tree.bin[inner])]
+        lines["value"][i], lines["gain"][i] = tree.value, tree.gain
+    return BoostedModel(names, grown.base, lines.pop("feature").astype(int), **lines)
+
+
+def _parameters(params: Mapping[str, Any]) -> dict[str, Any]:
+    known = {"max_depth": defaults.MAX_DEPTH, "learning_rate": defaults.LEARNING_RATE}
+    known["n_estimators"] = defaults.N_ESTIMATORS
+    unknown = set(params) - set(known)
+    if unknown:
+        raise ValueError(f"Unknown parameters: {sorted(unknown)}")
+    chosen = {**known, **params}
+    return {"depth": chosen["max_depth"], "rate": chosen["learning_rate"], "rounds": chosen["n_estimators"]}
 
 
 def fit(
@@ -82,33 +101,34 @@ def fit(
     validation: DataFrame | None = None,
     patience: int = defaults.EARLY_STOPPING_ROUNDS,
     **params: Any,
-) -> PipelineModel:
+) -> BoostedModel:
     """Fit on ``feature_names`` and ``sessions``.
 
-    With validation rows, boosting stops where the validation error has not improved for
-    ``patience`` rounds: rounds are seeded one by one, so refitting with the best number of
-    rounds yields the same first trees. For the same reason a first leg of twice ``patience`` rounds
-    is enough where the best round lies in its first half; only otherwise all rounds are trained.
+    With validation rows, boosting stops where their squared error has not improved for ``patience``
+    rounds, and the trees up to the best round are the model.
     """
-    shared_dir(train.sparkSession)  # boosting cuts its lineage there
-    vectors = _vectors(train, feature_names).persist(StorageLevel.MEMORY_AND_DISK)
+    names = list(feature_names)
+    edges = bin_edges(train, names)
+    rows = bin_rows(train, names, edges, F.lit(0), LABEL)
+    if validation is not None:
+        rows = rows.union(bin_rows(validation, names, edges, F.lit(1), LABEL))
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    settings = _parameters(params)
+    held = (1, 2) if validation is not None else (0, 0)
     try:
-        if validation is None or validation.isEmpty():
-            model = _train(vectors, params)
-        else:
-            model = _train_until_best(vectors, _vectors(validation, feature_names), patience, params)
+        wanted = Fit(train=(0, 1), held=held, patience=patience, trees=True, **settings)
+        grown = boost(rows, [wanted], len(names))[0]
     finally:
-        vectors.unpersist()
-    assembler = VectorAssembler(inputCols=feature_names, outputCol=VECTOR)
-    return PipelineModel(stages=[assembler, model])
+        rows.unpersist()
+    return _model(names, grown, edges, settings["depth"])
 
 
-def feature_names(model: PipelineModel) -> list[str]:
+def feature_names(model: BoostedModel) -> list[str]:
     """The columns the model was trained on, in order."""
-    return model.stages[0].getInputCols()
+    return model.names
 
 
-def predict(model: PipelineModel | None, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+def predict(model: BoostedModel | None, df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """``keep`` columns and ``prediction`` for every row; missing features count as 0."""
     if model is None:
         raise RuntimeError("No model: it is not fitted yet.")
@@ -122,7 +142,7 @@ def predict(model: PipelineModel | None, df: DataFrame, keep: Iterable[str] = ()
     return scored.select(*[F.col(f"_keep_{c}").alias(c) for c in keep], PREDICTION)
 
 
-def actual_and_predicted(model: PipelineModel, rows: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+def actual_and_predicted(model: BoostedModel, rows: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """``keep``, ``actual`` and ``predicted``."""
     keep = list(keep)
     scored = predict(model, rows, keep=[*keep, LABEL])
@@ -131,70 +151,62 @@ def actual_and_predicted(model: PipelineModel, rows: DataFrame, keep: Iterable[s
     )
 
 
-def evaluate(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def evaluate(model: BoostedModel, rows: DataFrame) -> DataFrame:
     """One row of regression metrics."""
     return actual_and_predicted(model, rows).agg(*regression_metrics())
 
 
-def comparison_series(model: PipelineModel, rows: DataFrame) -> DataFrame:
+def comparison_series(model: BoostedModel, rows: DataFrame) -> DataFrame:
     """Actual and predicted demand per site and hour in long form."""
     wide = actual_and_predicted(model, rows, keep=("site_id", "hour"))
     return wide.unpivot(["site_id", "hour"], ["actual", "predicted"], "series", "sessions")
 
 
+def fold_range(fold: int, splits: int, rows: int) -> tuple[int, int]:
+    """``fold_bounds`` for a known number of rows."""
+    size = rows // (splits + 1)
+    start = rows - (splits - fold) * size
+    return start, start + size
+
+
 def _fold_errors(
-    indexed: DataFrame,
-    names: list[str],
-    splits: int,
-    grid: list[Mapping[str, Any]],
-    parallelism: int,
+    indexed: DataFrame, names: list[str], splits: int, grid: list[Mapping[str, Any]]
 ) -> list[list[float]]:
-    """MAE per grid point and fold. The fits are independent Spark jobs and may overlap.
+    """MAE per grid point and fold, all from the same jobs.
 
-    The vectors are assembled once; they lie in ``row_index`` order, so a fold skips cached
-    blocks. Trees are added one by one, so points that differ only in the number of rounds share
-    the fit with the most of them, and its error after each round gives all of theirs.
+    Trees are added one by one, so points that differ only in the number of rounds share the fit
+    with the most of them, and its error after each round gives all of theirs. Bins are those of all rows.
     """
-    spark = indexed.sparkSession
-    shared_dir(spark)
-    families: dict[tuple, list[int]] = {}
-    for place, params in enumerate(grid):
-        others = tuple(sorted((k, v) for k, v in params.items() if k != "n_estimators"))
-        families.setdefault(others, []).append(place)
-    rounds = [p.get("n_estimators", defaults.N_ESTIMATORS) for p in grid]
-    vectors = _vectors(indexed, names, INDEX, TOTAL).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def errors_of(item: tuple[list[int], int]) -> list[float]:
-        places, fold = item
-        start, end = fold_bounds(fold, splits)
-        most = {**grid[places[0]], "n_estimators": max(rounds[p] for p in places)}
-        model = _train(vectors.filter(F.col(INDEX) < start), most)
-        tested = vectors.filter((F.col(INDEX) >= start) & (F.col(INDEX) < end))
-        by_round = model.evaluateEachIteration(tested, "absolute")
-        return [by_round[rounds[p] - 1] for p in places]
-
-    work = [(places, fold) for places in families.values() for fold in range(splits)]
+    points = [_parameters(p) for p in grid]
+    families: dict[tuple, int] = {}
+    for p in points:
+        key = p["depth"], p["rate"]
+        families[key] = max(families.get(key, 0), p["rounds"])
+    edges = bin_edges(indexed, names)
+    binned = bin_rows(indexed, names, edges, F.col(INDEX), LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        with ThreadPool(min(parallelism, len(work))) as pool:
-            found = pool.map(inheritable_thread_target(spark)(errors_of), work, chunksize=1)
+        total = indexed.agg(F.max(TOTAL)).first()[0] or 0
+        bounds = [fold_range(fold, splits, total) for fold in range(splits)]
+        fits = [
+            Fit(depth, rate, rounds, train=(0, start), held=(start, end))
+            for (depth, rate), rounds in families.items()
+            for start, end in bounds
+        ]
+        grown = boost(binned, fits, len(names))
     finally:
-        vectors.unpersist()
-    errors = [[0.0] * splits for _ in grid]
-    for (places, fold), values in zip(work, found):
-        for place, value in zip(places, values):
-            errors[place][fold] = value
-    return errors
+        binned.unpersist()
+    places = {key: i * splits for i, key in enumerate(families)}
+    return [
+        [grown[places[p["depth"], p["rate"]] + fold].mae[p["rounds"] - 1] for fold in range(splits)]
+        for p in points
+    ]
 
 
 def cross_validate(
-    indexed: DataFrame,
-    names: list[str],
-    splits: int = defaults.CV_SPLITS,
-    parallelism: int = 2,
-    **params: Any,
+    indexed: DataFrame, names: list[str], splits: int = defaults.CV_SPLITS, **params: Any
 ) -> DataFrame:
     """MAE of every expanding-window fold over rows that carry a ``row_index``."""
-    errors = _fold_errors(indexed, names, splits, [params], parallelism)[0]
+    errors = _fold_errors(indexed, names, splits, [params])[0]
     spark = indexed.sparkSession
     return spark.createDataFrame(list(enumerate(errors)), "fold int, mae double")
 
@@ -210,12 +222,7 @@ def score_summary(fold_scores: DataFrame) -> DataFrame:
 
 def parameter_grid(grid: Mapping[str, Iterable[Any]] = defaults.TUNING_GRID) -> list[dict[str, Any]]:
     """Every combination of the grid values."""
-    builder = ParamGridBuilder()
-    template = GBTRegressor()
-    for name, values in grid.items():
-        builder = builder.addGrid(template.getParam(_SPARK_NAMES[name]), list(values))
-    own_names = {spark_name: name for name, spark_name in _SPARK_NAMES.items()}
-    return [{own_names[p.name]: v for p, v in point.items()} for point in builder.build()]
+    return [dict(zip(grid, point)) for point in itertools.product(*grid.values())]
 
 
 def tune(
@@ -223,12 +230,11 @@ def tune(
     names: list[str],
     grid: Mapping[str, Iterable[Any]] = defaults.TUNING_GRID,
     splits: int = defaults.TUNING_SPLITS,
-    parallelism: int = 2,
     **params: Any,
-) -> tuple[PipelineModel, dict[str, Any], DataFrame]:
+) -> tuple[BoostedModel, dict[str, Any], DataFrame]:
     """Grid search by mean fold MAE; returns the refitted best model, its parameters, all scores."""
     points = [{**params, **point} for point in parameter_grid(grid)]
-    errors = _fold_errors(indexed, names, splits, points, parallelism)
+    errors = _fold_errors(indexed, names, splits, points)
     means = [sum(e) / len(e) for e in errors]
     best = points[means.index(min(means))]
     scores = indexed.sparkSession.createDataFrame(
@@ -247,27 +253,49 @@ def tune(
     return fit(indexed, names, **best), best, scores
 
 
-def feature_importance(model: PipelineModel) -> DataFrame:
-    """Importance by feature name, smallest first."""
+def feature_importance(model: BoostedModel) -> DataFrame:
+    """Mean gain of the splits on each feature as a share of all, smallest first."""
     if model is None:
         raise RuntimeError("No model: it is not fitted yet.")
-    trees = model.stages[-1]
-    pairs = list(zip(feature_names(model), trees.featureImportances.toArray().tolist()))
+    inner = model.feature >= 0
+    n = len(model.names)
+    splits = np.bincount(model.feature[inner], minlength=n)
+    means = np.bincount(model.feature[inner], model.gain[inner], n) / np.maximum(splits, 1)
+    shares = means / (means.sum() or 1.0)
+    pairs = list(zip(model.names, shares.tolist()))
     spark = SparkSession.active()
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(
         "importance", "feature"
     )
 
 
-def save_model(model: PipelineModel, path: str) -> str:
-    """Write the model, replacing what is there."""
-    model.write().overwrite().save(path)
+def save_model(model: BoostedModel, path: str) -> str:
+    """Write the model, replacing what is there: a row per node and one that describes them."""
+    spark = SparkSession.active()
+    tree, node = np.nonzero((model.feature >= 0) | (model.value != 0))
+    columns = (model.feature, model.threshold, model.value, model.gain)
+    rows = zip(tree.tolist(), node.tolist(), *[c[tree, node].tolist() for c in columns])
+    spark.createDataFrame(list(rows), NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    about = [(KIND, model.names, model.base, model.depth, model.n_trees)]
+    spark.createDataFrame(about, ABOUT).coalesce(1).write.mode("overwrite").json(f"{path}/about")
     return path
 
 
-def load_model(path: str) -> PipelineModel:
+def load_model(path: str) -> BoostedModel:
     """Read a model and check that it is a forecast model."""
-    model = PipelineModel.load(path)
-    if not isinstance(model.stages[-1], GBTRegressionModel):
-        raise TypeError(f"Expected a boosted-tree forecast model, got {type(model.stages[-1])}")
-    return model
+    spark = SparkSession.active()
+    try:
+        about = spark.read.schema(ABOUT).json(f"{path}/about").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        about = None
+    if about is None or about["kind"] != KIND:
+        raise TypeError(f"Expected a boosted-tree forecast model: {path}")
+    shape = about["trees"], 2 ** (about["depth"] + 1) - 1
+    feature = np.full(shape, -1)
+    threshold, value, gain = (np.zeros(shape) for _ in range(3))
+    for r in spark.read.schema(NODES).parquet(f"{path}/nodes").collect():  # bounded like the model
+        at = r["tree"], r["node"]
+        feature[at], threshold[at], value[at], gain[at] = r["feature"], r["threshold"], r["value"], r["gain"]
+    return BoostedModel(about["names"], about["base"], feature, threshold, value, gain)

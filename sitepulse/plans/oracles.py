@@ -267,6 +267,12 @@ bad AS (
   FROM requests)"""
 
 
+REQUEST_SCORES = (
+    "SELECT site_id, strftime(hour, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, '1.0.0' AS model_version, "
+    "TRUE AS has_band FROM hourly"
+)
+
+
 def _correlation(a: str, b: str) -> str:
     """Pearson over complete pairs; NULL where one side is constant."""
     both = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
@@ -512,6 +518,26 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
         # A model that is read back predicts exactly the same.
         "saved_model": "SELECT site_id, hour, 0::DOUBLE AS prediction_gap "
         f"FROM (WITH {by_time}) WHERE split = 'test'",
+        "prediction_rows": f"SELECT site_id, hour, sessions AS actual, TRUE AS is_scored FROM (WITH {by_time}) WHERE split = 'test'",
+        "comparison_actuals": f"SELECT site_id, hour, sessions FROM (WITH {by_time}) WHERE split = 'test'",
+        "importance_names": f"SELECT unnest({model_feature_names()}) AS feature, TRUE AS is_share",
+        "fold_scores": f"SELECT CAST(k AS INTEGER) AS fold, n - (5 - k) * (n // 6) AS train_rows, n // 6 AS test_rows, "
+        f"TRUE AS has_error FROM (SELECT count(*) AS n FROM (WITH {by_time}) WHERE split = 'train'), range(5) AS r(k)",
+        "tuning_points": "SELECT max_depth, learning_rate::DOUBLE AS learning_rate, n_estimators, TRUE AS is_consistent FROM "
+        + ", ".join(f"(SELECT unnest({list(v)}) AS {c})" for c, v in defaults.TUNING_GRID.items()),
+        "training_result_rows": "SELECT section, name, TRUE AS has_value, CASE WHEN name = 'sample_size' THEN n END AS size FROM "
+        "(VALUES ('test', 'mae'), ('test', 'rmse'), ('test', 'mape'), ('test', 'r2'), ('test', 'sample_size'), "
+        + ", ".join(f"('cross_validation', 'fold_{k}')" for k in range(defaults.CV_SPLITS))
+        + ", ('cross_validation', 'mean_score'), ('cross_validation', 'std_score')) AS t(section, name), "
+        f"(SELECT count(*) AS n FROM (WITH {by_time}) WHERE split = 'test')",
+        "baseline_scores": _with(
+            f"{_hourly()}, features AS (SELECT *, {_columns({**CALENDAR, **LAGS})}, "
+            f"{_columns({c: v for c, v in ROLLING.items() if c.endswith('_24')})} FROM hourly)",
+            "SELECT n - CAST(floor(n * 0.9::DOUBLE) AS BIGINT) AS sample_size, TRUE AS is_ordered FROM (SELECT count(*) AS n "
+            f"FROM features WHERE {' AND '.join(f'{c} IS NOT NULL' for c in (*BASE, *LAGS, 'rmean_24', 'rstd_24'))})",
+        ),
+        "request_score_rows": _with(_hourly(), REQUEST_SCORES),
+        "streamed_score_rows": _with(_hourly(), REQUEST_SCORES),
         "random_split": "WITH "
         + _split(
             "md5('42|' || site_id || '|' || strftime(hour, '%Y-%m-%d %H')), hour, site_id",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import defaults
 from ..operators.requests import request_features
-from .model import PREDICTION, feature_names
+from .model import PREDICTION, BoostedModel, feature_names
 
 
 def prediction_interval(prediction: Column, margin: float = defaults.INTERVAL_MARGIN) -> Column:
@@ -20,7 +19,7 @@ def prediction_interval(prediction: Column, margin: float = defaults.INTERVAL_MA
 
 def score_requests(
     requests: DataFrame,
-    model: PipelineModel,
+    model: BoostedModel,
     model_version: str = "unknown",
     observation: Observation | None = None,
 ) -> DataFrame:

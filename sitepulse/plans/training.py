@@ -7,7 +7,6 @@ from collections.abc import Iterable, Mapping
 from datetime import datetime
 from typing import Any
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from ..operators.hourly import aggregate_hourly
 from ..operators.quality import drop_incomplete
 from ..sources.reports import RESULT_SCHEMA, save_named_model, save_training_results
 from . import model as forecast
+from .model import BoostedModel
 
 log = logging.getLogger(__name__)
 
@@ -50,9 +50,10 @@ def prepare_data(
     test_size: float = defaults.TEST_SIZE,
     validation_size: float = defaults.VALIDATION_SIZE,
     time_based_split: bool = True,
+    chunk_rows: int | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """Training rows with their ``split`` and the names of the model features."""
-    rows = training_rows(sessions)
+    rows = training_rows(sessions, chunk_rows)
     names = available_features(rows)
     rows = rows.select("site_id", "hour", forecast.LABEL, *names)
     divide = split.time_split if time_based_split else split.random_split
@@ -79,11 +80,11 @@ def _metric_rows(section: str, metrics: DataFrame) -> DataFrame:
 
 
 def _score_rows(section: str, scores: DataFrame) -> DataFrame:
-    return scores.select(
-        F.lit(section).alias("section"),
-        F.format_string("fold_%d", "fold").alias("name"),
-        F.col("mae").alias("value"),
-        F.lit(None).cast("string").alias("detail"),
+    """The error of each fold, their mean and their deviation."""
+    folds = scores.select(F.format_string("fold_%d", "fold").alias("name"), F.col("mae").alias("value"))
+    both = forecast.score_summary(scores).select("mean_score", "std_score")
+    return folds.union(both.unpivot([], both.columns, "name", "value")).select(
+        F.lit(section).alias("section"), "name", "value", F.lit(None).cast("string").alias("detail")
     )
 
 
@@ -95,14 +96,13 @@ def train_model(
     grid: Mapping[str, Iterable[Any]] = defaults.TUNING_GRID,
     cv_splits: int = defaults.CV_SPLITS,
     tuning_splits: int = defaults.TUNING_SPLITS,
-    parallelism: int = 2,
     **params: Any,
-) -> tuple[PipelineModel, list[DataFrame]]:
+) -> tuple[BoostedModel, list[DataFrame]]:
     """Fit with early stopping, or tune; then cross-validate. Returns the model and result rows."""
     results = []
     train = indexed_training_part(rows)
     if tuning:
-        model, best, scores = forecast.tune(train, names, grid, tuning_splits, parallelism, **params)
+        model, best, scores = forecast.tune(train, names, grid, tuning_splits, **params)
         params = {**params, **best}
         described = F.to_json(F.struct("max_depth", "learning_rate", "n_estimators"))
         results.append(
@@ -116,7 +116,7 @@ def train_model(
     else:
         model = forecast.fit(train, names, _part(rows, "validation"), **params)
     if cross_validation:
-        folds = forecast.cross_validate(train, names, cv_splits, parallelism, **params)
+        folds = forecast.cross_validate(train, names, cv_splits, **params)
         results.append(_score_rows("cross_validation", folds))
     return model, results
 
@@ -126,14 +126,15 @@ def run_training(
     output_dir: str | None = None,
     tuning: bool = False,
     now: datetime | None = None,
+    chunk_rows: int | None = None,
     **options: Any,
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[BoostedModel, DataFrame]:
     """Prepare, train, cross-validate and test; with ``output_dir`` also save all of it.
 
     The model is saved under a time-stamped path and under its plain name; the paths are
     the ``artifact`` rows of the returned results.
     """
-    rows, names = prepare_data(sessions)
+    rows, names = prepare_data(sessions, chunk_rows=chunk_rows)
     model, parts = train_model(rows, names, tuning=tuning, **options)
     parts.append(_metric_rows("test", forecast.evaluate(model, _part(rows, "test"))))
     results = parts[0]
@@ -164,7 +165,7 @@ def baseline_rows(sessions: DataFrame) -> DataFrame:
 
 def baseline_fit(
     sessions: DataFrame, n_estimators: int = defaults.BASELINE_ESTIMATORS, **params: Any
-) -> tuple[PipelineModel, DataFrame]:
+) -> tuple[BoostedModel, DataFrame]:
     """The baseline model on the first 90 % of rows, and its metrics on the rest."""
     names = list(defaults.BASELINE_FEATURES)
     rows = baseline_rows(sessions).select("site_id", "hour", forecast.LABEL, *names)

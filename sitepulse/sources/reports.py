@@ -8,11 +8,10 @@ from collections.abc import Mapping
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.model import save_model
+from ..plans.model import BoostedModel, save_model
 
 RECORD_SCHEMA = (
     "timestamp timestamp_ntz, mae double, rmse double, mape double, r2 double, sample_size bigint"
@@ -97,7 +96,7 @@ def load_training_results(
 
 
 def save_named_model(
-    models: Mapping[str, PipelineModel],
+    models: Mapping[str, BoostedModel],
     name: str,
     output_dir: str = "models",
     include_timestamp: bool = True,

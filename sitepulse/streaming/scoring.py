@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.requests import rejected_requests, valid_requests, validate_requests
+from ..plans.model import BoostedModel
 from ..plans.scoring import score_requests
 from ..sources.requests import stream_requests
 
@@ -15,7 +15,7 @@ from ..sources.requests import stream_requests
 def start_scoring(
     spark: SparkSession,
     requests_dir: str,
-    model: PipelineModel,
+    model: BoostedModel,
     output_dir: str,
     checkpoint_dir: str,
     model_version: str = "unknown",
