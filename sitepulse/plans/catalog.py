@@ -18,7 +18,7 @@ from ..operators.hourly import aggregate_hourly, data_summary, latest_hour
 from ..session import shared_dir
 from ..sources import reports
 from ..sources.event_log import EVENT_SCHEMA, sessions_from_events
-from ..sources.sessions import prepare_sessions
+from ..sources.sessions import load_sessions, prepare_sessions, unreadable_sessions
 from ..streaming.scoring import start_scoring
 from . import model as forecast
 from . import training
@@ -224,6 +224,32 @@ def q_load_sessions(spark, sf_dir):
     return rounded(prepare_sessions(raw, ("event_id",)).drop("event_id"))
 
 
+def written_log(spark: SparkSession, sf_dir: str, file_format: str) -> str:
+    """The log with repeated keys as several files in the order of the events, and as CSV with text in
+    place of some numbers."""
+    rows = dirty_sessions(spark, sf_dir)
+    if file_format == "csv":
+        rows = rows.withColumn("sessions", F.coalesce(F.col("sessions").cast("string"), F.lit("n/a")))
+    path = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    ordered = rows.repartitionByRange(3, "event_id").sortWithinPartitions("event_id")
+    ordered.write.option("header", True).format(file_format).save(path)
+    return path
+
+
+def q_load_sessions_csv(spark, sf_dir):
+    return rounded(load_sessions(spark, written_log(spark, sf_dir, "csv")).drop("event_id"))
+
+
+def q_load_sessions_parquet(spark, sf_dir):
+    path = written_log(spark, sf_dir, "parquet")
+    return rounded(load_sessions(spark, path, "parquet").drop("event_id"))
+
+
+def q_unreadable_sessions(spark, sf_dir):
+    found = unreadable_sessions(spark, written_log(spark, sf_dir, "csv"))
+    return found.select(F.concat_ws(",", "columns").alias("columns"), "text")
+
+
 def q_validate_report(spark, sf_dir):
     return quality.validation_report(dirty_sessions(spark, sf_dir))
 

@@ -267,6 +267,10 @@ bad AS (
   FROM requests)"""
 
 
+LOADED = """SELECT f.site_id, timestamp, coalesce(state, 'Unknown') AS state,
+  CASE WHEN sessions < 0 THEN 0.0::DOUBLE ELSE round(CAST(sessions AS DECIMAL(28, 9)), 6)::DOUBLE END AS sessions
+FROM (SELECT * FROM dirty {} QUALIFY row_number() OVER (PARTITION BY site_id, timestamp ORDER BY event_id) = 1) f
+LEFT JOIN states d ON d.site_id = f.site_id"""
 REQUEST_SCORES = (
     "SELECT site_id, strftime(hour, '%Y-%m-%dT%H:%M:%SZ') AS timestamp, '1.0.0' AS model_version, "
     "TRUE AS has_band FROM hourly"
@@ -330,6 +334,13 @@ def oracle_sql() -> dict[str, str]:
             "SELECT f.site_id, timestamp, round(CAST(greatest(sessions, 0) AS DECIMAL(28, 9)), 6)::DOUBLE AS sessions, "
             "coalesce(state, 'Unknown') AS state FROM firsts f LEFT JOIN states d ON d.site_id = f.site_id WHERE copy = 1",
         ),
+        "load_sessions_csv": _with(f"{STATES}, {DIRTY}", LOADED.format("WHERE sessions IS NOT NULL")),
+        "load_sessions_parquet": _with(f"{STATES}, {DIRTY}", LOADED.format("")),
+        "unreadable_sessions": _with(
+            DIRTY,
+            "SELECT 'sessions' AS columns, site_id || ',' || strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%g') || ',n/a,' || event_id "
+            "AS text FROM dirty WHERE sessions IS NULL",
+        ),
         "validate_report": _with(
             DIRTY,
             "SELECT count(*) AS total_rows, count(*) - count(site_id) AS null_site_id, "

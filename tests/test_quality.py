@@ -5,7 +5,7 @@ from conftest import SESSIONS, START
 from pyspark.sql import Observation
 
 from sitepulse.operators import quality
-from sitepulse.sources.sessions import load_sessions, prepare_sessions
+from sitepulse.sources.sessions import load_sessions, prepare_sessions, unreadable_sessions
 
 
 def test_empty_input_is_an_error(spark):
@@ -89,11 +89,58 @@ def test_csv_load(spark, tmp_path, raw_rows):
     assert seen.get["total_rows"] == 62 and seen.get["negative_sessions"] == 1
 
 
-def test_csv_value_of_the_wrong_type_fails(spark, tmp_path):
+BAD_CSV = """site_id,timestamp,sessions
+1,2024-01-01T00:00:00,many
+1,2024-01-01T01:00:00,5
+1,2024-01-01T01:00:00,6
+x,2024-13-01T01:00:00,7
+2,2024-01-01T02:00:00
+,2024-01-01T03:00:00,
+"""
+
+
+def test_csv_rows_that_cannot_be_read_are_set_aside(spark, tmp_path, caplog):
     path = tmp_path / "bad.csv"
-    path.write_text("site_id,timestamp,sessions\n1,2024-01-01T00:00:00,many\n")
-    with pytest.raises(Exception, match="(?i)malformed|cast"):
-        load_sessions(spark, str(path)).collect()
+    path.write_text(BAD_CSV)
+    seen = Observation("bad")
+    with caplog.at_level("WARNING"):
+        df = load_sessions(spark, str(path), observation=seen, log_findings=True)
+    rows = [(r["site_id"], r["sessions"]) for r in df.orderBy("site_id").collect()]
+    assert rows == [(None, None), (1, 5.0)]  # missing values are not unreadable
+    assert seen.get["unreadable_rows"] == 3 and seen.get["total_rows"] == 6
+    found = {tuple(r["columns"]): r["text"] for r in unreadable_sessions(spark, str(path)).collect()}
+    assert found == {
+        ("sessions",): "1,2024-01-01T00:00:00,many",
+        ("site_id", "timestamp"): "x,2024-13-01T01:00:00,7",
+        ("line",): "2,2024-01-01T02:00:00",
+    }
+    assert "3 rows hold values" in caplog.text and "Missing values" in caplog.text
+
+
+@pytest.mark.parametrize("name", ["site_id", "sessions"])
+def test_csv_column_without_a_number_is_an_error(spark, tmp_path, name):
+    path = tmp_path / "text.csv"
+    values = {"site_id": "1", "sessions": "2"} | {name: "abc"}
+    path.write_text(f"site_id,timestamp,sessions\n{values['site_id']},2024-01-01T00:00:00,{values['sessions']}\n")
+    with pytest.raises(quality.DataValidationError, match=f"{name} must be numeric"):
+        load_sessions(spark, str(path))
+
+
+def test_warnings_name_sites_without_a_state(spark, tmp_path, caplog):
+    path = tmp_path / "sites.csv"
+    path.write_text("site_id,timestamp,sessions\n99,2024-01-01T00:00:00,-1\n1,2024-01-01T00:00:00,1\n")
+    with caplog.at_level("WARNING"):
+        load_sessions(spark, str(path), log_findings=True)
+    assert "[99]" in caplog.text and "1 rows count less than zero" in caplog.text
+
+
+def test_filters_reach_the_parquet_scan(spark, tmp_path):
+    path = str(tmp_path / "sessions")
+    spark.createDataFrame([(1, START, 1.0)], SESSIONS).write.parquet(path)
+    chosen = load_sessions(spark, path, "parquet").filter("site_id = 1 AND timestamp >= TIMESTAMP_NTZ '2024-01-01'")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters: [")[1].split("]")[0]
+    assert "EqualTo(site_id,1)" in pushed and "GreaterThanOrEqual(timestamp" in pushed
 
 
 def test_missing_file(spark, tmp_path):
