@@ -37,7 +37,11 @@ def is_iso_timestamp(text: Column) -> Column:
 
 
 def validate_requests(requests: DataFrame) -> DataFrame:
-    """Add ``rejects``: the names of the fields that break a rule, empty for a valid request."""
+    """Add ``rejects``: the names of the fields that break a rule, empty for a valid request.
+
+    A field that the reader found to be of another type (``unreadable``) breaks its rule too, also if
+    it may be missing.
+    """
     checks = [
         F.when(F.col(c).isNull() | _outside(c, *bounds), c) for c, bounds in REQUIRED_RANGES.items()
     ]
@@ -45,7 +49,28 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         F.when(~F.coalesce(is_iso_timestamp(F.col("timestamp")), F.lit(False)), "timestamp")
     )
     checks += [F.when(_outside(c, *bounds), c) for c, bounds in OPTIONAL_RANGES.items()]
-    return requests.withColumn("rejects", F.array_compact(F.array(*checks)))
+    rejects = F.array_compact(F.array(*checks))
+    if "unreadable" in requests.columns:
+        rejects = F.array_union(rejects, F.col("unreadable"))
+    return requests.withColumn("rejects", rejects)
+
+
+def _rules() -> dict[str, str]:
+    whole = {"site_id", "hour_of_day", "day_of_week", "is_weekend"}
+    found = {"timestamp": "required ISO 8601 date or time", "line": "one JSON object"}
+    for need, ranges in (("required", REQUIRED_RANGES), ("optional", OPTIONAL_RANGES)):
+        for name, (low, high) in ranges.items():
+            kind = "whole number" if name in whole else "number"
+            limits = f"from {low} to {high}" if high is not None else f"of at least {low}"
+            found[name] = f"{need} {kind} {limits}"
+    return found
+
+
+def name_rules(rejected: DataFrame) -> DataFrame:
+    """Add ``rules``: for every rejected field its name and the rule that it breaks."""
+    texts = F.create_map(*[F.lit(f"{part}") for pair in _rules().items() for part in pair])
+    rules = F.transform("rejects", lambda name: F.concat(name, F.lit(": "), texts[name]))
+    return rejected.withColumn("rules", rules)
 
 
 def valid_requests(validated: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from ..session import shared_dir
 from ..sources import reports
 from ..sources.event_log import EVENT_SCHEMA, sessions_from_events
 from ..sources.sessions import load_sessions, prepare_sessions, unreadable_sessions
-from ..streaming.scoring import start_scoring
+from ..streaming.scoring import start_answering, start_scoring
 from . import model as forecast
 from . import training
 from .scoring import prediction_interval, score_requests
@@ -51,6 +51,7 @@ MODEL_QUERIES = (
     "baseline_scores",
     "request_score_rows",
     "streamed_score_rows",
+    "answered_requests",
 )
 CHUNK_ROWS = 200  # small, so that series really are cut in the given tables
 HISTOGRAM_COLUMNS = ["sessions", "hour_of_day", "day_of_week", "is_weekend", "month"]
@@ -590,6 +591,40 @@ def q_streamed_scores(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of JSON per hourly row; sites 2 to 6 break one rule each."""
+    site, hour = F.col("site_id"), F.hour("hour")
+    return hourly(spark, sf_dir).select(
+        F.concat(
+            F.lit('{"site_id": '),
+            F.when(site == 2, F.lit('"two"')).otherwise(site.cast("string")),
+            F.date_format("hour", "', \"timestamp\": \"'yyyy-MM-dd'T'HH:mm:ss'Z\"'"),
+            F.lit(', "hour_of_day": '),
+            F.when(site == 6, (hour + 24).cast("string")).otherwise(hour.cast("string")),
+            F.when(site == 3, F.lit(".5")).otherwise(F.lit("")),
+            F.lit(', "day_of_week": '),
+            F.weekday("hour").cast("string"),
+            F.lit(', "is_weekend": 0, "hour_sin": 0, "hour_cos": 1'),
+            F.when(site == 4, F.lit(', "lag_1": "many"')).otherwise(F.lit("")),
+            F.when(site == 5, F.lit("")).otherwise(F.lit("}")),
+        ).alias("value")
+    )
+
+
+def q_answered_requests(spark, sf_dir):
+    """One stream over good and bad requests: answered ones by site and time, refused ones whole."""
+    model, _ = default_fit(spark, sf_dir)
+    folder = f"{shared_dir(spark)}/requests-{uuid.uuid4().hex}"
+    request_lines(spark, sf_dir).write.text(f"{folder}/in")
+    places = (f"{folder}/{name}" for name in ("answers", "refused", "progress"))
+    start_answering(spark, f"{folder}/in", model, *places, "1.0.0").awaitTermination()
+    answers = spark.read.parquet(f"{folder}/answers").select("site_id", "timestamp")
+    refused = spark.read.parquet(f"{folder}/refused")
+    return answers.unionByName(
+        refused.select("raw", F.concat_ws("; ", "rules").alias("rules")), allowMissingColumns=True
+    )
+
+
 # What SQL can tell about the results of the fitted models: rows, keys, actual values, sizes, orders.
 
 

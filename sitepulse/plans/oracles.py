@@ -547,6 +547,24 @@ peak AS (SELECT hour(hour) AS h, sum(sessions) AS s FROM today GROUP BY 1 ORDER
             "SELECT n - CAST(floor(n * 0.9::DOUBLE) AS BIGINT) AS sample_size, TRUE AS is_ordered FROM (SELECT count(*) AS n "
             f"FROM features WHERE {' AND '.join(f'{c} IS NOT NULL' for c in (*BASE, *LAGS, 'rmean_24', 'rstd_24'))})",
         ),
+        "answered_requests": _with(
+            _hourly(),
+            """SELECT CASE WHEN site_id NOT BETWEEN 2 AND 6 THEN site_id END AS site_id,
+  CASE WHEN site_id NOT BETWEEN 2 AND 6 THEN strftime(hour, '%Y-%m-%dT%H:%M:%SZ') END AS timestamp,
+  CASE WHEN site_id BETWEEN 2 AND 6 THEN '{"site_id": ' || CASE site_id WHEN 2 THEN '"two"' ELSE CAST(site_id AS VARCHAR) END
+    || strftime(hour, ', "timestamp": "%Y-%m-%dT%H:%M:%SZ"') || ', "hour_of_day": '
+    || CAST(hour(hour) + CASE site_id WHEN 6 THEN 24 ELSE 0 END AS VARCHAR) || CASE site_id WHEN 3 THEN '.5' ELSE '' END
+    || ', "day_of_week": ' || CAST(isodow(hour) - 1 AS VARCHAR) || ', "is_weekend": 0, "hour_sin": 0, "hour_cos": 1'
+    || CASE site_id WHEN 4 THEN ', "lag_1": "many"' ELSE '' END || CASE site_id WHEN 5 THEN '' ELSE '}' END END AS raw,
+  CASE site_id WHEN 2 THEN 'site_id: required whole number of at least 1'
+    WHEN 3 THEN 'hour_of_day: required whole number from 0 to 23' WHEN 4 THEN 'lag_1: optional number of at least 0'
+    WHEN 5 THEN 'site_id: required whole number of at least 1; hour_of_day: required whole number from 0 to 23; '
+      || 'day_of_week: required whole number from 0 to 6; is_weekend: required whole number from 0 to 1; '
+      || 'hour_sin: required number from -1 to 1; hour_cos: required number from -1 to 1; '
+      || 'timestamp: required ISO 8601 date or time; line: one JSON object'
+    WHEN 6 THEN 'hour_of_day: required whole number from 0 to 23' END AS rules
+FROM hourly""",
+        ),
         "request_score_rows": _with(_hourly(), REQUEST_SCORES),
         "streamed_score_rows": _with(_hourly(), REQUEST_SCORES),
         "random_split": "WITH "

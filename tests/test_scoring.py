@@ -8,9 +8,10 @@ from sitepulse.operators import requests as ops
 from sitepulse.operators.features import model_feature_names
 from sitepulse.plans import model as forecast
 from sitepulse.plans.scoring import score_requests
-from sitepulse.sources.requests import REQUEST_SCHEMA, read_requests
-from sitepulse.streaming.scoring import start_rejects, start_scoring
+from sitepulse.sources.requests import REQUEST_SCHEMA, parse_requests, read_requests
+from sitepulse.streaming.scoring import answer_batch, start_answering, start_rejects, start_scoring
 
+# A request as clients send it.
 SAMPLE = {
     "site_id": 1,
     "timestamp": "2024-01-15T14:30:00Z",
@@ -136,3 +137,54 @@ def test_stream_equals_batch(spark, model, tmp_path):
     assert len(streamed) == 30
     assert ops.rejected_requests(everything).count() == 2
     assert spark.read.json(str(tmp_path / "refused")).count() == 2
+
+
+@pytest.mark.parametrize(
+    ("change", "rejects"),
+    [
+        ({"site_id": "7", "hour_of_day": 14.0}, []),  # numbers as text, whole numbers with a fraction of 0
+        ({"site_id": "invalid"}, ["site_id"]),
+        ({"hour_of_day": 4.5}, ["hour_of_day"]),
+        ({"lag_1": "many"}, ["lag_1"]),  # optional, but not of any type
+        ({"lag_24": [1]}, ["lag_24"]),
+        ({"unknown": 1}, []),
+    ],
+)
+def test_wrong_types_are_named_and_kept(spark, change, rejects):
+    line = json.dumps({**SAMPLE, **change})
+    row = ops.name_rules(ops.validate_requests(parse_requests(spark.createDataFrame([(line,), (" ",)], "value string"))))
+    found = row.collect()
+    assert len(found) == 1 and found[0]["rejects"] == rejects and found[0]["raw"] == line
+    assert [r.split(":")[0] for r in found[0]["rules"]] == rejects
+
+
+def test_lines_that_are_no_object_are_refused_whole(spark):
+    lines = ["{", "[1]", '"text"', "{}"]
+    rows = ops.validate_requests(parse_requests(spark.createDataFrame([(x,) for x in lines], "value string"))).collect()
+    found = {r["raw"]: r for r in rows}
+    assert set(found) == set(lines) and all(r["rejects"] for r in rows)
+    assert "line" in found["{"]["rejects"] and "line" not in found["{}"]["rejects"]
+
+
+def test_one_stream_answers_and_refuses_and_repeats_nothing(spark, model, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    places = [str(tmp_path / n) for n in ("answers", "refused", "progress")]
+    good = [{**SAMPLE, "site_id": i} for i in range(1, 13)]
+    bad = [{**SAMPLE, "site_id": 0}, {**SAMPLE, "site_id": "invalid"}]
+
+    def drop_file(name, requests):
+        (source / name).write_text("\n".join(json.dumps(r) for r in requests) + "\n")
+
+    drop_file("a.json", good[:5] + bad)
+    start_answering(spark, str(source), model, *places, "1.0.0").awaitTermination()
+    # a crash after writing and before the commit: the same batch comes again
+    answer_batch(read_requests(spark, str(source)), 0, model, *places[:2], "1.0.0")
+    drop_file("b.json", good[5:])
+    start_answering(spark, str(source), model, *places, "1.0.0").awaitTermination()
+    start_answering(spark, str(source), model, *places, "1.0.0").awaitTermination()
+    answers = spark.read.parquet(places[0])
+    assert sorted(r["site_id"] for r in answers.collect()) == list(range(1, 13))
+    refused = spark.read.parquet(places[1]).collect()
+    assert sorted(r["raw"] for r in refused) == sorted(map(json.dumps, bad))
+    assert {tuple(r["rejects"]) for r in refused} == {("site_id",)}
