@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.calendar import floor_hour
+from ..session import materialize
 from .enrich import add_state
 from .quality import DataValidationError, nan_to_null
-from .quantiles import exact_quantiles
+from .quantiles import brackets, exact_quantiles
 
 
 def aggregate_hourly(
@@ -78,7 +79,7 @@ def data_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
     df = nan_to_null(df, "sessions")
     time = "timestamp" if "timestamp" in df.columns else "hour"
     value = F.col("sessions")
-    totals = df.agg(
+    totals = [
         F.count(F.lit(1)).alias("total_rows"),
         F.countDistinct("site_id").alias("unique_sites"),
         F.min(time).alias("start"),
@@ -89,10 +90,14 @@ def data_summary(df: DataFrame, approximate_median: bool = False) -> DataFrame:
         F.min(value).alias("min"),
         F.max(value).alias("max"),
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns],
-    )
+    ]
     if approximate_median:
-        return totals.withColumn(
-            "median", df.select(F.percentile_approx("sessions", 0.5, 10000)).scalar()
-        )
-    median = exact_quantiles(df, ["sessions"], {"median": 0.5}).select("median")
-    return totals.withColumn("median", median.scalar())
+        return df.agg(*totals, F.percentile_approx("sessions", 0.5, 10000).alias("median"))
+    # The sketch of the median comes from the same pass; a scalar row is all that is kept of it.
+    whole = {"median": 0.5}
+    number = F.when(~F.isnan(value.cast("double")), value.cast("double")).alias("value")
+    sketched = df.withColumn("value", number).agg(*totals, brackets(whole).alias("bounds"))
+    sketched = materialize(sketched, "summary")
+    bounds = sketched.select(F.lit("sessions").alias("feature"), "bounds").filter("bounds IS NOT NULL")
+    median = exact_quantiles(df, ["sessions"], whole, bounds).select("median")
+    return sketched.drop("bounds").withColumn("median", median.scalar())

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
-from .quantiles import exact_quantiles, long_form, numeric_columns
+from ..functions.comoments import pair_correlations
+from ..session import materialize
+from .quantiles import brackets, exact_quantiles, long_form, numeric_columns
 
 # Column families by a part of the column name.
 FEATURE_FAMILIES = {
@@ -24,23 +28,6 @@ def _constant(x: Column) -> Column:
     return F.min(x) == F.max(x)
 
 
-def _safe_correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation over the rows that have both values; NULL if either is constant."""
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    spread = F.stddev_samp(x) * F.stddev_samp(y)
-    r = F.try_divide(F.covar_samp(x, y), spread)
-    return (
-        F.when(_constant(x) | _constant(y), F.lit(None))
-        .when(r > 1, 1.0)
-        .when(r < -1, -1.0)
-        .otherwise(r)
-    )
-
-
-def _vector(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("_v"))
-
-
 def _names(columns: list[str], index: str) -> Column:
     return F.array(*[F.lit(c) for c in columns])[F.col(index)]
 
@@ -51,15 +38,11 @@ def correlation_with_target(
     """Correlation of each numeric column with the target, ascending, and its sign flag."""
     if columns is None:
         columns = numeric_columns(df, exclude=(*KEY_COLUMNS, target))
-    rows = _vector(df, [*columns, target]).select(
-        F.posexplode(F.slice("_v", 1, len(columns))).alias("_i", "_x"),
-        F.col("_v")[len(columns)].alias("_y"),
-    )
+    pairs = [(i, len(columns)) for i in range(len(columns))]
     return (
-        rows.groupBy("_i")
-        .agg(_safe_correlation(F.col("_x"), F.col("_y")).alias("correlation"))
+        pair_correlations(df, [*columns, target], pairs)
         .select(
-            _names(columns, "_i").alias("feature"),
+            _names(columns, "a").alias("feature"),
             "correlation",
             F.coalesce(F.col("correlation") > 0, F.lit(False)).alias("is_positive"),
         )
@@ -80,26 +63,13 @@ def family_columns_of(names: list[str], families: tuple[str, ...] = DEFAULT_FAMI
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Correlation of every two columns (upper triangle) as rows ``feature_a, feature_b``.
 
-    Each row is fanned out to its column pairs inside the task and folded at once by the map-side
-    aggregation, so only one row per pair and task is shuffled.
+    A task sends on one block for all pairs, whatever its number of rows.
     """
     if columns is None:
         columns = family_columns(df)
-    last = len(columns) - 1
-    pairs = (
-        _vector(df, columns)
-        .select("_v", F.explode(F.sequence(F.lit(0), F.lit(last - 1))).alias("_i"))
-        .select("_v", "_i", F.explode(F.sequence(F.col("_i") + 1, F.lit(last))).alias("_j"))
-        .select("_i", "_j", F.col("_v")[F.col("_i")].alias("_x"), F.col("_v")[F.col("_j")].alias("_y"))
-    )
-    return (
-        pairs.groupBy("_i", "_j")
-        .agg(_safe_correlation(F.col("_x"), F.col("_y")).alias("correlation"))
-        .select(
-            _names(columns, "_i").alias("feature_a"),
-            _names(columns, "_j").alias("feature_b"),
-            "correlation",
-        )
+    pairs = list(itertools.combinations(range(len(columns)), 2))
+    return pair_correlations(df, columns, pairs).select(
+        _names(columns, "a").alias("feature_a"), _names(columns, "b").alias("feature_b"), "correlation"
     )
 
 
@@ -131,13 +101,19 @@ def histogram(
     )
 
 
+def _with_quantiles(df: DataFrame, columns: list[str], quantiles: dict[str, float], *moments: Column) -> DataFrame:
+    """``moments`` of ``value`` and exact quantiles per column; ``df`` is read twice."""
+    found = long_form(df, columns).groupBy("feature").agg(*moments, brackets(quantiles).alias("bounds"))
+    found = materialize(found, "moments")  # a row per column
+    exact = exact_quantiles(df, columns, quantiles, found.select("feature", "bounds"))
+    return found.drop("bounds").join(exact, "feature")
+
+
 def box_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, quartiles and maximum per column, all exact."""
-    ends = long_form(df, columns).groupBy("feature").agg(
-        F.min("value").alias("min"), F.max("value").alias("max")
-    )
-    quartiles = exact_quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75})
-    return ends.join(quartiles, "feature").select("feature", "min", "q25", "median", "q75", "max")
+    ends = F.min("value").alias("min"), F.max("value").alias("max")
+    found = _with_quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}, *ends)
+    return found.select("feature", "min", "q25", "median", "q75", "max")
 
 
 def reference_stats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -145,7 +121,7 @@ def reference_stats(df: DataFrame, columns: list[str] | None = None) -> DataFram
     if columns is None:
         columns = numeric_columns(df)
     value = F.col("value")
-    moments = long_form(df, columns).groupBy("feature").agg(
+    moments = (
         F.avg(value).alias("mean"),
         F.when(_constant(value) & (F.count(value) > 1), 0.0)
         .otherwise(F.stddev_samp(value))
@@ -155,7 +131,6 @@ def reference_stats(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.when(~_constant(value), F.skewness(value)).alias("skewness"),
         F.when(~_constant(value), F.kurtosis(value)).alias("kurtosis"),
     )
-    quartiles = exact_quantiles(df, columns, {"median": 0.5, "q25": 0.25, "q75": 0.75})
-    return moments.join(quartiles, "feature").select(
+    return _with_quantiles(df, columns, {"median": 0.5, "q25": 0.25, "q75": 0.75}, *moments).select(
         "feature", "mean", "std", "min", "max", "median", "q25", "q75", "skewness", "kurtosis"
     )

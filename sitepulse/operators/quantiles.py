@@ -3,10 +3,16 @@
 Equal values of a column are counted together first, so a value that fills a third of the rows
 is one row afterwards. The counts are then sorted over all tasks; a task's share is the bucket
 in which order statistics are looked up, and only bucket totals are put in sequence.
+
+Quantiles need few of the values. A sketch (in the same pass as the caller's moments) brackets each wanted
+rank; the second pass counts what lies between the brackets and keeps the distinct values inside.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +21,7 @@ from pyspark.sql.window import Window
 from .ranks import write_sorted
 
 BUCKET = ("feature", "bucket")
+SKETCH = 10_000  # accuracy of the sketch that brackets ranks
 
 
 def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
@@ -47,11 +54,53 @@ def sorted_counts(long: DataFrame, *counts: Column) -> DataFrame:
     )
 
 
+def brackets(probabilities: dict[str, float]) -> Column:
+    """Aggregate over ``value``: lower and upper bounds of the wanted order statistics, in rank order.
+
+    The sketch is off by one rank in ``SKETCH`` at most, so four are a safe distance, and two ranks more from
+    ``SKETCH`` values on. Below that a bracket is the whole range.
+    """
+    slack = 4.0 / SKETCH
+    shares = [min(max(p + d, 0.0), 1.0) for p in sorted(probabilities.values()) for d in (-slack, slack)]
+    whole = F.array(*[F.min("value"), F.max("value")] * len(probabilities))
+    return F.when(F.count("value") < SKETCH, whole).otherwise(F.percentile_approx("value", shares, SKETCH))
+
+
+def _bracketed_counts(long: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
+    """Counts per distinct value inside the ``n`` brackets of its feature and one count per gap.
+
+    ``last`` of a gap is its largest value, so the order is that of the values, and ``is_value`` is false.
+    """
+    value = F.col("value")
+    ends = [(F.col("bounds")[2 * i], F.col("bounds")[2 * i + 1]) for i in range(n)]
+    inside = reduce(or_, [value.between(low, high) for low, high in ends])
+    gap = sum(((value > high).cast("int") for _, high in ends), F.lit(0))
+    keys = [gap.alias("gap"), F.when(inside, value).alias("exact")]
+    # One row of bounds per column.
+    counted = long.join(F.broadcast(bounds), "feature").groupBy("feature", *keys)
+    return counted.agg(F.max("value").alias("last"), F.count(F.lit(1)).alias("ties")).select(
+        "feature", F.col("last").alias("value"), "ties", F.col("exact").isNotNull().alias("is_value")
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, columns: list[str], probabilities: dict[str, float]
+    df: DataFrame,
+    columns: list[str],
+    probabilities: dict[str, float],
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per column with the linearly interpolated quantiles, named by ``probabilities``."""
-    counts = sorted_counts(long_form(df, columns), F.count(F.lit(1)).alias("ties"))
+    """One row per column with the linearly interpolated quantiles, named by ``probabilities``.
+
+    ``bounds`` (``feature, bounds``) are the ``brackets`` of the columns, if the caller has them from a pass of
+    its own.
+    """
+    long = long_form(df, columns)
+    if bounds is None:
+        bounds = long.groupBy("feature").agg(brackets(probabilities).alias("bounds"))
+    few = _bracketed_counts(long, bounds, len(probabilities))
+    counts = (
+        write_sorted(few, "feature", "value").withColumnRenamed("_task", "bucket").drop("_place")
+    )
 
     # Which bucket holds each wanted rank: one row per column and bucket is enough to tell.
     by_bucket = Window.partitionBy("feature").orderBy("bucket")
@@ -99,6 +148,11 @@ def exact_quantiles(
     hits = placed.join(F.broadcast(targets), list(BUCKET)).filter(
         (F.col("local_rank") < F.col("last")) & (F.col("local_rank") >= F.col("last") - F.col("ties"))
     )
+    # a rank outside its bracket would be an error of the sketch: no result rather than a wrong one
+    value = F.when(F.col("is_value"), F.col("value")).otherwise(
+        F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double")
+    )
+    hits = hits.withColumn("value", value)
     lower = F.max(F.when(F.col("is_lower"), F.col("value")))
     upper = F.max(F.when(~F.col("is_lower"), F.col("value")))
     quantile = lower + F.coalesce((upper - lower) * F.max("fraction"), F.lit(0.0))

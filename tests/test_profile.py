@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from sitepulse.functions import comoments
 from sitepulse.operators import profile
 from sitepulse.operators.features import create_feature_table
 from sitepulse.operators.quantiles import exact_quantiles
@@ -84,3 +85,59 @@ def test_box_and_reference_stats(spark, long_series):
     flat = spark.createDataFrame([(2.0,)] * 5, "v double")
     row = profile.reference_stats(flat).first()
     assert row["std"] == 0.0 and row["skewness"] is None
+
+
+def test_blocks_merge_to_the_block_of_all_rows():
+    rng = np.random.default_rng(8)
+    values = rng.normal(size=(900, 4)) + [0, 1e7, -3, 5]
+    values[:, 2] += 2 * values[:, 0]
+    values[rng.random(values.shape) < 0.2] = np.nan
+    values[:300, 3] = np.nan  # a task without any value of a column
+    whole = comoments.block_of(values)
+    merged = comoments.block_of(values[:300])
+    for part in (values[300:301], values[301:700], values[700:]):
+        merged = comoments.merge_blocks(merged, comoments.block_of(part))
+    want = pd.DataFrame(values).corr().to_numpy()
+    for block in (whole, merged):
+        assert comoments.correlations_of(block) == pytest.approx(want, abs=1e-9)
+    assert (merged[0] == whole[0]).all() and (merged[4:] == whole[4:]).all()
+
+
+def test_correlation_sends_blocks_not_rows(table):
+    plan = profile.correlation_matrix(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("MapInArrow") == 1
+    assert profile.correlation_matrix(table.limit(0)).count() == 0
+
+
+def test_correlation_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(comoments, "MERGED", 2)
+    df = spark.range(0, 500, 1, 7).selectExpr("id AS x", "pow(id, 2) AS y", "IF(id < 250, 3, NULL) AS z")
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, ["x", "y", "z"]).collect()}
+    x = np.arange(500.0)
+    assert got["x", "y"] == pytest.approx(np.corrcoef(x, x**2)[0, 1])
+    assert got["x", "z"] is None and got["y", "z"] is None
+
+
+def test_quantiles_write_only_what_lies_in_the_brackets(spark, monkeypatch):
+    """Values outside the brackets are counted, not kept, and the result is exact."""
+    from sitepulse.operators import quantiles
+
+    written = []
+    plain = quantiles.write_sorted
+
+    def counted(df, *order):
+        out = plain(df, *order)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(quantiles, "write_sorted", counted)
+    monkeypatch.setattr(quantiles, "SKETCH", 200)
+    rng = np.random.default_rng(5)
+    values = np.exp(rng.normal(0, 3, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"x": values, "y": -values})).repartition(6)
+    wanted = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+    for row in exact_quantiles(df, ["x", "y"], wanted).collect():
+        data = values if row["feature"] == "x" else -values
+        for name, p in wanted.items():
+            assert row[name] == pytest.approx(np.quantile(data, p), rel=1e-12)
+    assert written[0] < 0.15 * 2 * len(values)
