@@ -179,15 +179,20 @@ def mix_sources(docs: DataFrame) -> DataFrame:
 
 def take_copies(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` says."""
-    key = [F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.xxhash64("text")]
     names = ["_id", "_null", "_fp"]
-    left = docs.select("*", *[k.alias(n) for k, n in zip(key, names)])
-    key[2] = F.col("fp")
-    right = mixed.select("copies", *[k.alias(n) for k, n in zip(key, names)])
+
+    def keys(doc_id: Column, fp: Column) -> list[Column]:
+        parts = F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), fp
+        return [k.alias(n) for k, n in zip(parts, names)]
+
+    # the row travels as one column, so that its names cannot clash with those used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    left = docs.select(row, *keys(F.col("doc_id"), F.xxhash64("text")))
+    right = mixed.select("copies", *keys(F.col("doc_id"), F.col("fp")))
     left = left.withColumn("_no", F.row_number().over(Window.partitionBy(*names).orderBy("_fp")))
     right = right.withColumn("_no", F.row_number().over(Window.partitionBy(*names).orderBy("copies")))
     both = left.join(right.filter("copies > 0"), [*names, "_no"])
-    return both.select(*docs.columns, F.explode(F.expr("sequence(1, copies)")).alias("_copy")).drop("_copy")
+    return both.select("_row", F.explode(F.expr("sequence(1, copies)")).alias("_copy")).select("_row.*")
 
 
 def q_op2_mixing(spark, sf_dir: str) -> DataFrame:

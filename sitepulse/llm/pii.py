@@ -280,14 +280,15 @@ def sanitise(docs: DataFrame) -> DataFrame:
         F.col("fp").alias("_fp"),
         F.array_sort(F.concat(_merged(base), terms)).alias("_marks"),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_fp"))
-    rows = docs.join(marks, same, "left")
-    clean = _replaced(F.col("text"), F.col("_marks"))
-    new = {"text": F.when(F.col("_marks").isNull(), F.col("text")).otherwise(clean)}
-    rows = rows.withColumns(new)
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast("long"))
-    return rows.select(*docs.columns)
+    # the row travels as one column, so that its names cannot clash with those used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    text = F.col("_row.text")
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_fp"))
+    rows = rows.join(marks, same, "left")
+    new = F.when(F.col("_marks").isNull(), text).otherwise(_replaced(text, F.col("_marks")))
+    rows = rows.withColumn("_new", new)
+    made = {"text": F.col("_new"), "n_chars": F.length("_new").cast("long")}
+    return rows.select(*[made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import sentencepiece
+from pyspark.sql import functions as F
 
 from sitepulse.llm import catalog, langid, mixing, ngram_join, pieces, pii
 
@@ -15,7 +16,7 @@ def test_stages_follow_their_operators(spark):
             for r in langid.predict_languages(d, langid.fit_languages(d)).collect()
             if r.lang_pred != "und" and r.score >= corpus_pipeline.SURE
         },
-        "near copies": lambda d: {r.component_id for r in ngram_join.similar_groups(d).collect()},
+        "near copies": lambda d: {r.component_id for r in ngram_join.similar_groups(d, 5, 80).collect()},
         "personal data": lambda d: {r.doc_id for r in d.collect()},
         "mixing": lambda d: {r.doc_id for r in mixing.mix_sources(d).collect() if r.copies},
         "pieces": lambda d: {r.doc_id for r in d.collect()},
@@ -47,6 +48,47 @@ def test_odd_rows_pass_all_stages(spark):
         assert table.count() >= 0
 
 
+COPY = " ".join(f"word{i}" for i in range(80))
+COPY_ROWS = [
+    (3, COPY), (7, COPY + " more"), (7, "something else entirely under the same id"), (7, COPY + " more"),
+    (None, COPY), (None, COPY), (9, COPY), (11, "a text of its own"), (11, "a text of its own"), (12, COPY + " again"),
+    (11, COPY + " once more"), (20, None), (21, ""),
+]
+
+
+def test_near_copies_go_by_id_and_text(spark):
+    """Only copies of a kept text go; rows without an id stay, and so does another text under a copy's id."""
+    docs = spark.createDataFrame([(*r, "x") for r in COPY_ROWS], "doc_id long, text string, node string")
+    kept = corpus_pipeline.drop_near_copies(spark, docs.repartition(3), SF_DIR)
+    assert kept.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    expected = [(3, COPY), (7, "something else entirely under the same id"), (11, "a text of its own")]
+    expected += [(None, COPY), (None, COPY), (20, None), (21, "")]
+    assert found == sorted(expected, key=repr)
+
+
+HELPERS = (
+    "copies", "_id", "_fp", "_marks", "_copy", "_no", "_lang_pred", "_lang_score", "_row", "_new", "_null", "_decoded",
+    "row", "node", "text_hash", "place", "fp", "unit", "taken", "size", "Node",
+)
+
+
+def test_columns_with_the_names_of_helpers_pass_all_stages(spark):
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    rows = [(i, f"the cat sat on the mat near the number {i} house, mail me at me{i}@mail.org", "en", "ab"[i % 2], 5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    extra = [h for h in HELPERS if h != "Node"]
+    docs = docs.withColumns({h: F.concat(F.lit(f"{h}-"), F.col("doc_id")) for h in extra})
+    table = docs
+    for name, stage in corpus_pipeline.STAGES:
+        table = stage(spark, table, SF_DIR)
+        assert table.columns[: len(docs.columns)] == docs.columns, name
+    found = table.collect()
+    assert found
+    for r in found:
+        assert all(r[h] == f"{h}-{r.doc_id}" for h in extra)
+
+
 def test_registered():
     names = catalog.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
