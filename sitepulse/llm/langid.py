@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .learning import held_out, sample_ids
-from .textbatch import map_batches, mix, powers
+from .textbatch import map_batches, mix, powers, releasing
 
 SAMPLE_DOCS = 800  # documents per language that are learned from
 VOCABULARY = 20_000  # most frequent words, and n-grams of each length, kept per language
@@ -123,7 +123,7 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, vocabulary: i
                             ["lang", "level", "key", "n"],
                         )
 
-    counted = map_batches(texts, count, "lang string, level int, key long, n long")
+    counted = map_batches(texts, releasing(count), "lang string, level int, key long, n long")
     counted = counted.groupBy("lang", "level", "key").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn(
         "rank", F.expr("row_number() OVER (PARTITION BY lang, level ORDER BY n DESC, key)")
@@ -212,7 +212,7 @@ def add_language(
     schema = T.StructType(
         [*docs.schema.fields, T.StructField(name_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     )
-    return map_batches(docs, predict, schema)
+    return map_batches(docs, releasing(predict), schema)
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -25,7 +25,7 @@ from ..operators.ranks import with_row_index
 from ..session import materialize
 from .components import connected_components, least_reached
 from .packing import pack_texts, unpack_column
-from .textbatch import FOLDED, find_words, map_batches, text_chunks, window_hashes
+from .textbatch import FOLDED, find_words, map_batches, releasing, text_chunks, window_hashes
 
 GRAM_WORDS = 4
 PERCENT = 85
@@ -93,7 +93,7 @@ def gram_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     return map_batches(
         docs.select("doc_id", "text"),
-        build,
+        releasing(build),
         "doc_id long, n_shingles long, n_lead long, digest binary, keys array<long>",
     )
 
@@ -127,7 +127,7 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 )
 
     members = classes.select(F.col("rep").alias("doc_id"), "n_shingles", "n_lead").join(common, "doc_id")
-    chosen = map_batches(members, choose, "key long, doc long, n long")
+    chosen = map_batches(members, releasing(choose), "key long, doc long, n long")
     return materialize(chosen, "prefixes")
 
 
@@ -233,7 +233,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, blocks: DataFrame, weights: DataF
     rows = pack_texts(docs).join(tags.hint("shuffle_hash"), "doc_id")
     rows = map_batches(
         rows.select("doc_id", "blob", "tags", "weight"),
-        spread,
+        releasing(spread),
         "a long, b long, block long, doc long, weight long, grams binary",
     )
     return rows.groupBy("a", "b").applyInArrow(compare, "doc long, root long, links long")

@@ -6,6 +6,7 @@ bytes modulo 2**64, taken from prefix sums, so that its cost does not depend on
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,6 +52,24 @@ def map_batches(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def releasing(fn):
+    """``fn`` for one task, after which memory that is no longer used goes back to the system.
+
+    Python workers serve many tasks; what one of them keeps after large arrays is lacking elsewhere.
+    """
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim:
+                trim(0)
+
+    return run
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, .. modulo 2**64; kept for the next call."""
     have = _tables.get(base)
