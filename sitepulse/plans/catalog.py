@@ -16,7 +16,7 @@ from ..operators import drift, enrich, features, performance, profile, quality,
 from ..operators import requests as request_ops
 from ..operators.hourly import aggregate_hourly, data_summary, latest_hour
 from ..session import shared_dir
-from ..sources import reports
+from ..sources import hourly_store, reports
 from ..sources.event_log import EVENT_SCHEMA, sessions_from_events
 from ..sources.sessions import load_sessions, prepare_sessions, unreadable_sessions
 from ..streaming.scoring import start_answering, start_scoring
@@ -522,6 +522,48 @@ def q_performance_history_cycle(spark, sf_dir):
     return rounded(saved[0])
 
 
+def q_performance_history_compacted(spark, sf_dir):
+    """Three saves, the second one repeated, put into one entry, and a save after that."""
+    path = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    records, baseline = daily_records(spark, sf_dir), baseline_metrics(spark, sf_dir)
+    day = F.dayofmonth("timestamp") % 3
+    for number in (0, 1, 1):
+        reports.save_performance_history(records.filter(day == number), baseline, path, training.MODEL_NAME)
+    reports.compact_performance_history(spark, path)
+    reports.save_performance_history(records.filter(day == 2), baseline, path, training.MODEL_NAME)
+    return rounded(reports.load_performance_history(spark, path)[0])
+
+
+def hourly_store_of(spark: SparkSession, sf_dir: str, sites: int = 10) -> str:
+    """A store that got the events in two batches, the second one twice."""
+    path = f"{shared_dir(spark)}/hours-{uuid.uuid4().hex}"
+    events = sessions_from_events(spark, sf_dir, sites)
+    for batch in (0, 1, 1):
+        part = events.filter(F.col("event_id") % 2 == batch).drop("event_id")
+        hourly_store.add_batch(part, path, f"part-{batch}")
+    return path
+
+
+def q_hourly_store_update(spark, sf_dir):
+    return rounded(hourly_store.read_hourly(spark, hourly_store_of(spark, sf_dir, 25)))
+
+
+def q_stored_overview(spark, sf_dir):
+    return rounded(hourly_store.stored_overview(spark, hourly_store_of(spark, sf_dir)))
+
+
+def q_stored_station_status(spark, sf_dir):
+    path = hourly_store_of(spark, sf_dir)
+    last = hourly_store.latest_date(spark, path)
+    hours = hourly_store.read_hourly(spark, path, last, last)
+    return rounded(enrich.station_status(hours, hourly_store.latest_hour(spark, path)))
+
+
+def q_stored_daily_by_state(spark, sf_dir):
+    hours = hourly_store.read_hourly(spark, hourly_store_of(spark, sf_dir), *DATE_RANGE)
+    return rounded(rollups.daily_by_state(hours, *DATE_RANGE))
+
+
 def q_hourly_agg_nan(spark, sf_dir):
     """Values that are not a number count as missing."""
     raw = sessions(spark, sf_dir)

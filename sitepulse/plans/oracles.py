@@ -318,7 +318,7 @@ def _quantiles(names: dict[str, float]) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL by query name. Queries without an entry fit a model or test rounding-free p-values."""
+    """SQL by query name. Queries without an entry fit a model."""
     day = "date_trunc('day', hour)"
     latest = "(SELECT date_trunc('day', max(hour)) FROM hourly)"
     pct = "round((({0}) / nullif({1}, 0) - 1) * 100, 1)"
@@ -693,6 +693,14 @@ FROM hourly""",
             "SELECT metric, n, round(CAST(slope AS DECIMAL(28, 9)), 6)::DOUBLE AS slope, round(CAST(p_value AS DECIMAL(28, 9)), 6)::DOUBLE AS p_value, trend FROM trends",
         ),
     }
-    sql["performance_history_cycle"] = sql["performance_history"]
+    for name, same in (
+        ("performance_history_cycle", "performance_history"),
+        ("performance_history_compacted", "performance_history"),
+        ("hourly_store_update", "hourly_agg"),
+        ("stored_overview", "overview_metrics"),
+        ("stored_station_status", "station_status"),
+        ("stored_daily_by_state", "daily_by_state"),
+    ):
+        sql[name] = sql[same]
     sql["feature_table_in_chunks"] = sql["feature_table"]
     return sql

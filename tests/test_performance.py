@@ -145,3 +145,56 @@ def test_saving_what_was_loaded_keeps_everything(spark, tmp_path):
     back, base = reports.load_performance_history(spark, path, "gbt")
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, history.collect()))
     assert sorted((r.metric, r.value) for r in base.collect()) == [("mae", 1.0), ("r2", 0.5)]
+
+
+def _bytes_below(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.json"))
+
+
+def test_saves_at_once_keep_both_sets_of_records(spark, tmp_path, monkeypatch):
+    """Both savers look at the history before either of them has written."""
+    history = records(spark, [1, 2, 3, 4])
+    baseline = spark.createDataFrame([("mae", 1.0)], "metric string, value double")
+    path = str(tmp_path / "history")
+    reports.save_performance_history(history.filter("mae = 1"), baseline, path, "gbt")
+    seen = reports._commits(spark, path)
+    monkeypatch.setattr(reports, "_commits", lambda *_: seen)
+    for part in ("mae = 2", "mae = 3"):
+        reports.save_performance_history(history.filter(part), baseline, path, "gbt")
+    monkeypatch.undo()
+    assert sorted(c["seq"] for c in reports._commits(spark, path)) == [1, 2, 2]
+    back, base = reports.load_performance_history(spark, path)
+    assert sorted(r["mae"] for r in back.collect()) == [1, 2, 3] and base.count() == 1
+
+
+def test_a_later_save_wins_also_after_compaction(spark, tmp_path):
+    history = records(spark, [1, 2, 3])
+    path = str(tmp_path / "history")
+    for round_ in range(3):
+        baseline = spark.createDataFrame([("mae", float(round_))], "metric string, value double")
+        changed = history.withColumn("sample_size", history.sample_size * 0 + round_)
+        reports.save_performance_history(changed, baseline, path, "gbt")
+        if round_:
+            reports.compact_performance_history(spark, path)
+            assert len(reports._commits(spark, path)) == 1
+        back, base = reports.load_performance_history(spark, path, "gbt")
+        assert {r["sample_size"] for r in back.collect()} == {round_} and back.count() == 3
+        assert [r["value"] for r in base.collect()] == [float(round_)]
+
+
+def test_a_save_does_not_rewrite_the_history(spark, tmp_path):
+    baseline = spark.createDataFrame([("mae", 1.0)], "metric string, value double")
+    folder = tmp_path / "history"
+    reports.save_performance_history(records(spark, range(1, 400)), baseline, str(folder), "gbt")
+    before = _bytes_below(folder)
+    reports.save_performance_history(records(spark, [500]), baseline, str(folder), "other")
+    assert _bytes_below(folder) - before < before / 20
+
+
+def test_a_save_that_failed_is_not_seen(spark, tmp_path):
+    history = records(spark, [1, 2])
+    baseline = spark.createDataFrame([("mae", 1.0)], "metric string, value double")
+    path = str(tmp_path / "history")
+    reports.save_performance_history(history.limit(1), baseline, path, "gbt")
+    history.select("*").write.json(f"{path}/entries/broken/history")  # no commit follows
+    assert reports.load_performance_history(spark, path)[0].count() == 1
