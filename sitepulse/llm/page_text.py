@@ -2,10 +2,15 @@
 
 Pages are sorted by host and URL path; the neighbour with the longer common path is a page's partner.
 The text lines of both outside an ``article`` are aligned by their longest common subsequence and
-shared ones, the site's frame, are deleted. Lines that the markup itself names as frame (``nav``,
-``footer``, ``aside``, ``form``, adverts by class and so on) go whether or not the partner has them, because
-frames may change from page to page; lines inside an ``article`` never go by comparison, because
-pages may carry the same article. For all other lines the comparison decides, also beside an ``article``.
+shared ones, the site's frame, are deleted. Lines in elements of the frame (``nav``, ``footer``, ``aside``, ``form``
+and so on) go whether or not the partner has them, because frames may change from page to page; lines
+inside an ``article`` never go by comparison, because pages may carry the same article. A class, id or role that
+sounds like frame only lowers a line's standing: such an element goes where the page has an ``article``, or where it
+holds at most half of the text outside the elements of the frame and something else is left; otherwise its lines go,
+like all others, if the partner has them.
+
+Markup is read in one pass with the rules of HTML for attributes, comments and raw text, so that odd markup
+costs no more than any other of its length.
 """
 
 from __future__ import annotations
@@ -13,8 +18,11 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,35 +41,110 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption blockquote pre address hr figcaption summary "
     "fieldset legend body head html option tbody thead tfoot".split()
 )
-SILENT = "script|style|template|svg|title|textarea|noscript|iframe"
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+HIDDEN = frozenset("template svg".split())
+NAMED = "named "
+PAIRS_A_LINE = 8  # pairs of equal lines, by lines, that are walked over one by one
 FRAME_WORDS = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|footer|breadcrumbs?|cookies?"
     r"|consent|notice|popup|modal|newsletter|subscribe|share|social|related|recommend\w*|comments?|replies"
     r"|widget|pagination|complementary|contentinfo|search|skip"
 )
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|$)|<!?/?([a-zA-Z][a-zA-Z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(
+    r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>]*+)))?+"
 )
-_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+_BETWEEN = re.compile(r"[\s/]*+")
+
+
+def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag from ``at`` on and the place of its ``>``, or the end of the page."""
+    found: dict[str, str] = {}
+    while True:
+        at = _BETWEEN.match(page, at).end()
+        if at >= len(page) or page[at] == ">":
+            return found, at
+        one = _ATTRIBUTE.match(page, at)
+        found.setdefault(one[1].lower(), one[2] or one[3] or one[4] or "")
+        at = one.end()
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
+    """Text (``("", text, {})``) and tags (``("<" or "/", name, attributes)``) of a page, in one pass.
+
+    Comments, declarations and the contents of raw and hidden elements are left out. As in HTML a tag, a comment
+    or a raw element that never ends takes the rest of the page with it; a hidden element that never ends is ignored.
+    """
+    at, size, low = 0, len(page), None
+    endless: set[str] = set()  # hidden elements that do not end any more
+    while at < size:
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = size
+        if begin > at:
+            yield "", page[at:begin], {}
+        if begin == size:
+            return
+        at = begin
+        if page.startswith("<!--", at):
+            if page.startswith(("<!-->", "<!--->"), at):
+                at = page.index(">", at) + 1
+            else:
+                end = page.find("-->", at + 4)
+                at = size if end < 0 else end + 3
+            continue
+        name = _NAME.match(page, at)
+        if not name:
+            if page.startswith(("<!", "<?", "</"), at):
+                end = page.find(">", at)
+                at = size if end < 0 else end + 1
+            else:
+                yield "", "<", {}
+                at += 1
+            continue
+        attributes, end = _attributes(page, name.end())
+        if end >= size:
+            return
+        closing, tag, at = page[begin + 1] == "/", name[1].lower(), end + 1
+        if closing or page[end - 1] == "/" and tag in HIDDEN:
+            yield "/", tag, {}
+        elif tag in RAW or tag in HIDDEN and tag not in endless:
+            if low is None:
+                low = page.translate(_LOWER)
+            end = low.find(f"</{tag}", at)
+            while end >= 0 and low[end + len(tag) + 2 : end + len(tag) + 3] not in _ENDS:
+                end = low.find(f"</{tag}", end + 1)
+            if end >= 0:
+                at = end
+            elif tag in RAW:
+                return
+            else:
+                endless.add(tag)
+        elif tag not in HIDDEN:
+            yield "<", tag, attributes
 
 
-def _names_frame(attributes: str) -> bool:
+_LOWER = {c: c + 32 for c in range(65, 91)}  # keeps the length, unlike ``str.lower``
+_ENDS = ("", ">", "/", " ", "\t", "\n", "\r", "\f")
+
+
+def _names_frame(attributes: dict[str, str]) -> bool:
     """Is a whole word of ``class``, ``id`` or ``role`` a name of frame?"""
-    words = " ".join(v.strip("\"'") for v in _NAMED.findall(attributes)).lower().split()
-    return any(map(FRAME_WORDS.fullmatch, words))
+    words = " ".join(attributes.get(n, "") for n in ("class", "id", "role"))
+    return any(map(FRAME_WORDS.fullmatch, html.unescape(words).lower().split()))
 
 
 def page_lines(page: str) -> list[tuple[str, str]]:
-    """Lines of a page with their zone: ``main`` (in an article), ``frame`` or ``open``.
+    """Lines of a page with their zone: ``main`` (in an article), ``frame``, ``open``, or ``named`` with the number of
+    the outermost element that has a name of frame.
 
     A line is the text of a block, references decoded, white space runs as one space, trimmed. Names make
     no frame of an ``article``, of ``main`` or of what holds one.
     """
     lines: list[tuple[str, str, int]] = []
     stack: list[tuple[str, str, int]] = []
-    zone, parts, at = "open", [], 0
+    open_now: Counter[str] = Counter()
+    zone, parts = "open", []
     named, outer, holds = 0, [0], [True]  # innermost container with a name of frame; per such one
 
     def flush() -> None:
@@ -70,13 +153,10 @@ def page_lines(page: str) -> list[tuple[str, str]]:
         if text:
             lines.append((text, zone, named))
 
-    for token in _TOKEN.finditer(page):
-        parts.append(page[at : token.start()])
-        at = token.end()
-        if not token[2]:
+    for kind, name, attributes in tokens(page):
+        if not kind:
+            parts.append(name)
             continue
-        name = token[2].lower()
-        closing = token[0].startswith("</")
         if name not in BLOCKS:
             if name == "br":
                 parts.append(" ")
@@ -84,13 +164,15 @@ def page_lines(page: str) -> list[tuple[str, str]]:
         flush()
         if name not in CONTAINERS:
             continue
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                _, zone, named = stack[depth]
-                del stack[depth:]
-        elif not token[3].rstrip().endswith("/"):
+        if kind == "/":
+            while open_now[name]:  # up to the innermost one of that name
+                last, zone, named = stack.pop()
+                open_now[last] -= 1
+                if last == name:
+                    break
+        else:
             stack.append((name, zone, named))
+            open_now[name] += 1
             if zone == "frame":
                 continue
             if name in FRAME or name == "header" and zone != "main":
@@ -99,13 +181,18 @@ def page_lines(page: str) -> list[tuple[str, str]]:
                 zone, up = "main", named
                 while not holds[up]:
                     holds[up], up = True, outer[up]
-            elif _names_frame(token[3]):
+            elif _names_frame(attributes):
                 outer.append(named)
                 holds.append(False)
                 named = len(outer) - 1
-    parts.append(page[at:])
     flush()
-    return [(text, zone if holds[named] else "frame") for text, zone, named in lines]
+    outermost = [0] * len(outer)  # an element comes after the one that it is in
+    for i in range(1, len(outer)):
+        outermost[i] = i if holds[outer[i]] else outermost[outer[i]]
+    return [
+        (text, f"{NAMED}{outermost[named]}" if zone == "open" and not holds[named] else zone)
+        for text, zone, named in lines
+    ]
 
 
 def line_key(line: str) -> int:
@@ -115,7 +202,8 @@ def line_key(line: str) -> int:
 def common_lines(a: list[int], b: list[int]) -> set[int]:
     """Places in ``a`` of a longest common subsequence with ``b``.
 
-    Walks over the matching pairs only; equal ends are taken off first.
+    Equal ends are taken off first. Few pairs of equal lines are walked over one by one; where lines repeat
+    so often that the pairs are many, rows of the alignment are words of bits instead.
     """
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -124,13 +212,21 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     shared = set(range(head)) | set(range(len(a) - tail, len(a)))
+    inner_a, inner_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    in_b = Counter(inner_b)
+    many = sum(in_b[x] for x in inner_a) > PAIRS_A_LINE * (len(inner_a) + len(inner_b))
+    return shared | {head + i for i in (_by_bits if many else _by_pairs)(inner_a, inner_b)}
+
+
+def _by_pairs(a: list[int], b: list[int]) -> set[int]:
+    shared = set()
     places: dict[int, list[int]] = {}
-    for j in range(len(b) - tail - 1, head - 1, -1):
+    for j in range(len(b) - 1, -1, -1):
         places.setdefault(b[j], []).append(j)
     ends: list[int] = []  # least end in b of a common subsequence of each length
     links: list[tuple] = []
-    for i in range(head, len(a) - tail):
-        for j in places.get(a[i], ()):
+    for i, line in enumerate(a):
+        for j in places.get(line, ()):
             k = bisect_left(ends, j)
             link = (i, links[k - 1] if k else None)
             if k == len(ends):
@@ -146,13 +242,57 @@ def common_lines(a: list[int], b: list[int]) -> set[int]:
     return shared
 
 
+def _reach(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of ``a`` with each prefix of ``b``, a bit per line of ``b``."""
+    masks: dict[int, int] = {}
+    wanted = set(a)
+    for j, line in enumerate(b):
+        if line in wanted:
+            masks[line] = masks.get(line, 0) | 1 << j
+    row = full = (1 << len(b)) - 1
+    for line in a:
+        hit = row & masks.get(line, 0)
+        row = (row + hit | row - hit) & full
+    data = np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8)
+    steps = 1 - np.unpackbits(data, bitorder="little")[: len(b)].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(steps)])
+
+
+def _by_bits(a: list[int], b: list[int]) -> set[int]:
+    """Halves ``a`` and cuts ``b`` where the two parts have most in common."""
+    shared, todo = set(), [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        if low == high or left == right:
+            continue
+        if high - low == 1:
+            if a[low] in b[left:right]:
+                shared.add(low)
+            continue
+        middle = (low + high) // 2
+        ahead = _reach(a[low:middle], b[left:right])
+        back = _reach(a[middle:high][::-1], b[left:right][::-1])[::-1]
+        cut = left + int((ahead + back).argmax())
+        todo += [(low, middle, left, cut), (middle, high, cut, right)]
+    return shared
+
+
 def main_text(page: str, partner: list[int]) -> str:
     """The text of a page, given the keys of its partner's lines outside articles."""
     lines = page_lines(page)
     outside = [i for i, (_, zone) in enumerate(lines) if zone != "main"]
     shared = common_lines([line_key(lines[i][0]) for i in outside], partner)
     gone = {outside[k] for k in shared}
-    return "\n".join(text for i, (text, zone) in enumerate(lines) if i not in gone and zone != "frame")
+    size = Counter()
+    for text, zone in lines:
+        size[zone] += len(text)
+    total = size.total() - size["frame"]
+    frame = {
+        zone
+        for zone in size
+        if zone == "frame" or zone.startswith(NAMED) and (size["main"] or size["open"] and 2 * size[zone] <= total)
+    }
+    return "\n".join(text for i, (text, zone) in enumerate(lines) if i not in gone and zone not in frame)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
