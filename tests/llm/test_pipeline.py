@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sitepulse.llm import catalog, langid, mixing, ngram_join, pieces, pii
 
 SF_DIR = "/root/testdata/sf0.001"
+STAGE = corpus_pipeline.COPY_WORDS, corpus_pipeline.COPY_PERCENT
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -16,7 +17,7 @@ def test_stages_follow_their_operators(spark):
             for r in langid.predict_languages(d, langid.fit_languages(d)).collect()
             if r.lang_pred != "und" and r.score >= corpus_pipeline.SURE
         },
-        "near copies": lambda d: {r.component_id for r in ngram_join.similar_groups(d, 5, 80).collect()},
+        "near copies": lambda d: {r.component_id for r in ngram_join.similar_groups(d, *STAGE).collect()},
         "personal data": lambda d: {r.doc_id for r in d.collect()},
         "mixing": lambda d: {r.doc_id for r in mixing.mix_sources(d).collect() if r.copies},
         "pieces": lambda d: {r.doc_id for r in d.collect()},
