@@ -12,7 +12,7 @@ from sitepulse.operators.ranks import with_row_index
 from sitepulse.session import materialize, shared_dir
 
 SURE = 0.5  # least posterior probability of a language
-COPY_WORDS, COPY_PERCENT = 5, 80  # words of a shingle, least similarity of near copies
+COPY_WORDS, COPY_PERCENT = 4, 85  # words of a shingle, least similarity of near copies: those of op6
 
 
 def _free(docs: DataFrame, *names: str) -> list[str]:
