@@ -36,14 +36,15 @@ def degraded_metrics(
 
     Errors degrade upwards, R2 downwards. Metrics without a baseline are not checked.
     """
-    known = baseline.filter(F.col("metric").isin(*METRICS)).select(
-        "metric", F.col("value").alias("baseline")
+    twice = F.raise_error(F.lit("a metric has several baseline values")).cast("double")
+    known = baseline.filter(F.col("metric").isin(*METRICS)).groupBy("metric").agg(
+        F.when(F.min(value) != F.max(value), twice).otherwise(F.max(value)).alias("baseline")
     )
     worse_by = F.when(F.col("metric") == "r2", F.col("baseline") - F.col("value")).otherwise(
         F.col("value") - F.col("baseline")
     )
     degradation = F.try_divide(worse_by, F.col("baseline"))
-    # At most one baseline row per metric name.
+    # One baseline row per metric name.
     return (
         _by_metric(records)
         .join(F.broadcast(known), "metric")
@@ -62,7 +63,7 @@ def degraded_metrics(
 def performance_alerts(degraded: DataFrame, model_name: str) -> DataFrame:
     """One subject and message per record time, listing its degraded metrics."""
     line = F.format_string(
-        "- %s: %.4f (baseline: %.4f, degradation: %.1f%%)",
+        "%s is %.4f and was %.4f: worse by %.1f percent",
         "metric",
         "current",
         "baseline",

@@ -675,8 +675,8 @@ FROM hourly""",
             "round(CAST(degradation_pct AS DECIMAL(28, 9)), 6)::DOUBLE AS degradation_pct FROM degraded",
         ),
         "performance_alerts": _with(
-            f"{DEGRADED}, lines AS (SELECT timestamp, '- ' || metric || ': ' || printf('%.4f', current) || ' (baseline: ' "
-            "|| printf('%.4f', baseline) || ', degradation: ' || printf('%.1f', degradation_pct) || '%)' AS line FROM degraded)",
+            f"{DEGRADED}, lines AS (SELECT timestamp, metric || ' is ' || printf('%.4f', current) || ' and was ' "
+            "|| printf('%.4f', baseline) || ': worse by ' || printf('%.1f', degradation_pct) || ' percent' AS line FROM degraded)",
             "SELECT timestamp, 'Performance Degradation Alert' AS subject, 'Model: gbt' || chr(10) || 'Worse than the baseline:' || chr(10) "
             "|| string_agg(line, chr(10) ORDER BY line) || chr(10) "
             "|| 'Look at the recent data or train again.' AS message FROM lines GROUP BY timestamp",

@@ -49,7 +49,7 @@ def test_degraded(spark):
     assert rows["r2"]["degradation_pct"] == pytest.approx(50)
     alerts = performance.performance_alerts(got, "gbt").collect()
     assert len(alerts) == 1
-    assert "- mae: 1.2000 (baseline: 1.0000, degradation: 20.0%)" in alerts[0]["message"]
+    assert "mae is 1.2000 and was 1.0000: worse by 20.0 percent" in alerts[0]["message"]
 
 
 def t_tail(t, df):
@@ -198,3 +198,11 @@ def test_a_save_that_failed_is_not_seen(spark, tmp_path):
     reports.save_performance_history(history.limit(1), baseline, path, "gbt")
     history.select("*").write.json(f"{path}/entries/broken/history")  # no commit follows
     assert reports.load_performance_history(spark, path)[0].count() == 1
+
+
+def test_several_baseline_values_of_a_metric_are_an_error(spark):
+    twice = spark.createDataFrame([("mae", 1.0), ("mae", 2.0)], "metric string, value double")
+    with pytest.raises(Exception, match="several baseline values"):
+        performance.degraded_metrics(records(spark, [9]), twice).collect()
+    same = spark.createDataFrame([("mae", 1.0), ("mae", 1.0)], "metric string, value double")
+    assert performance.degraded_metrics(records(spark, [9]), same).count() == 1
