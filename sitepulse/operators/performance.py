@@ -38,7 +38,7 @@ def degraded_metrics(
     """
     twice = F.raise_error(F.lit("a metric has several baseline values")).cast("double")
     known = baseline.filter(F.col("metric").isin(*METRICS)).groupBy("metric").agg(
-        F.when(F.min(value) != F.max(value), twice).otherwise(F.max(value)).alias("baseline")
+        F.when(F.min("value") != F.max("value"), twice).otherwise(F.max("value")).alias("baseline")
     )
     worse_by = F.when(F.col("metric") == "r2", F.col("baseline") - F.col("value")).otherwise(
         F.col("value") - F.col("baseline")
