@@ -1,12 +1,13 @@
 """Document fingerprints from improbable features.
 
-A feature is a window of ``WINDOW`` bytes. Windows start where a hash of the byte and the two before it
-says so, about at every fourth byte, so that they move along with the text. Each window is ranked by
-how far its entropy lies from that of usual text: few windows have such an entropy. A window
-that is the rarest of ``RUN`` consecutive ones at least ``POPULAR`` times in a row is selected. Features
-go, in text order, into a chain of Bloom filters with ``PER_FILTER`` features each. Two
-fingerprints are compared filter by filter: the bits in common beyond chance, as a share of what is
-possible beyond chance.
+A feature is a window of ``WINDOW`` bytes, and one begins at every byte that has as many bytes after it; a
+shorter text is one window, filled up with zeros. A first pass over all texts counts how many
+windows have which entropy; the rarer a window's entropy, the higher its rank, and a hash of the window
+decides between equals. A window that ranks highest in ``RUN`` consecutive ones (fewer at both
+ends of a text) at least ``POPULAR`` times in a row is selected. Windows of very low entropy, such as runs
+of one symbol, rank behind all others. Features go, in text order, into a chain of Bloom filters
+with ``PER_FILTER`` features each. Two fingerprints are compared filter by filter: the bits in common
+beyond chance, as a share of what is possible beyond chance.
 """
 
 from __future__ import annotations
@@ -24,92 +25,111 @@ from ..session import materialize
 from .packing import pack_texts, unpack
 from .textbatch import BYTE_VALUES, map_batches, mix, powers
 
-WINDOW = 64
-SHORT = 12
-RUN = 16
-POPULAR = 4
+WINDOW = 24
+RUN = 64
+POPULAR = 16
 PER_FILTER = 160
 BITS = 2048
 PROBES = 5
-USUAL = 3800  # entropy of usual text, in thousandths of a bit
-LEAST = 1000  # windows of less entropy are never selected
+LEAST = 1.0  # windows of fewer bits of entropy rank last
 _CLASSES = 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_TERMS = np.array([round(1000 * c * np.log2(c)) if c else 0 for c in range(WINDOW + 1)], np.int32)
-_CHUNK = 2 << 20
+_UNITS = 100  # entropy is summed in hundredths of a bit for each byte of a window
+_TERMS = np.array([round(_UNITS * c * np.log2(c)) if c else 0 for c in range(WINDOW + 1)], np.uint16)
+_BIN = 4  # sums are counted in bins of 2**_BIN
+_BINS = (int(_TERMS[-1]) >> _BIN) + 1
+_LOW = int(_UNITS * WINDOW * (np.log2(WINDOW) - LEAST)) >> _BIN  # first bin below LEAST
+_PAD = max(RUN, WINDOW)  # no run of windows reaches from one text into another
+_LAST, _NONE = np.uint64(0xFFFE), np.uint64(0xFFFFFFFFFFFFFFFF)
+_CHUNK = 1 << 18
 
 Digest = tuple[np.ndarray, np.ndarray]  # features per filter, filters as rows of 64-bit words
 
 
-def _entropy(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Entropy of the windows at ``at`` in thousandths of a bit; a byte counts by its low five bits."""
-    symbols = buf & (_CLASSES - 1)
-    total = np.zeros(len(at), np.int32)
-    for c in np.unique(symbols):
-        seen = np.cumsum(symbols == c, dtype=np.uint8)  # wraps; differences stay right
-        total += _TERMS[seen[at + WINDOW - 1] - seen[at - 1]]
-    return int(1000 * np.log2(WINDOW)) - total // WINDOW
-
-
-def _select(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """Selected features of the texts in a padded buffer, in order: owners and hashes."""
-    a, b, c = buf[2:].astype(np.int32), buf[1:-1].astype(np.int32), buf[:-2].astype(np.int32)
-    gate = np.flatnonzero(((a * 167 + b * 89 + c * 31) >> 3) % 4 == 0) + 2
-    owner = np.searchsorted(starts, gate, side="right") - 1
-    ok = (owner >= 0) & (gate + WINDOW <= ends[owner])
-    at, owner = gate[ok], owner[ok]
-    if len(at) < RUN:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[buf] * powers(_BASE, len(buf)), out=sums[1:])
-    hashes = mix((sums[at + WINDOW] - sums[at]) * powers(_INVERSE, len(buf))[at])
-    entropy = _entropy(buf, at)
-    usual = np.where(entropy < LEAST, 0xFFFF, 0x8000 - np.abs(entropy - USUAL)).astype(np.uint64)
-    key = usual << np.uint64(48) | hashes >> np.uint64(16)
-    rarest, width = key, 1
+class _Buffer:
+    """Texts with padding around them, and which places begin a window."""
+
+    def __init__(self, texts: list[bytes]):
+        pad = b"\0" * _PAD
+        self.bytes = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
+        sizes = np.array([len(t) for t in texts])
+        starts = _PAD + np.cumsum(sizes + _PAD) - sizes - _PAD
+        self.ends = starts + sizes
+        change = np.zeros(len(self.bytes) + 1, np.int8)
+        some = sizes > 0
+        change[starts[some]] = 1
+        change[np.maximum(self.ends - WINDOW, starts)[some] + 1] = -1
+        self.begins = np.cumsum(change[: len(self.bytes) - WINDOW + 1], dtype=np.int8) > 0
+
+    def bins(self) -> np.ndarray:
+        """Entropy bin of the window at every place, 0 for the highest entropy; a byte counts by
+        its low five bits."""
+        symbols = self.bytes & np.uint8(_CLASSES - 1)
+        total = np.zeros(len(self.begins), np.uint16)
+        seen = np.zeros(len(symbols) + 1, np.uint8)
+        for c in np.flatnonzero(np.bincount(symbols, minlength=_CLASSES)):
+            np.cumsum((symbols == c).view(np.uint8), dtype=np.uint8, out=seen[1:])  # wraps; differences stay right
+            total += _TERMS.take(seen[WINDOW:] - seen[:-WINDOW])
+        return total >> _BIN
+
+
+def _runs(texts: list[bytes]):
+    """Lists of consecutive texts of about ``_CHUNK`` bytes."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text) + _PAD
+        if size >= _CHUNK:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def entropy_counts(texts: list[bytes]) -> np.ndarray:
+    """Number of windows by entropy bin."""
+    counts = np.zeros(_BINS, np.int64)
+    for run in _runs(texts):
+        buf = _Buffer(run)
+        counts += np.bincount(buf.bins()[buf.begins], minlength=_BINS)
+    return counts
+
+
+def rarity_ranks(counts: np.ndarray) -> np.ndarray:
+    """Rank of every bin, 0 for the rarest; bins below ``LEAST`` come last."""
+    ranks = np.empty(_BINS, np.uint64)
+    ranks[np.argsort(counts, kind="stable")] = np.arange(_BINS, dtype=np.uint64)
+    ranks[_LOW:] = _LAST
+    return ranks
+
+
+def _select(buf: _Buffer, ranks: np.ndarray):
+    """Selected features of the texts in a buffer, in order: owners and hashes."""
+    n = len(buf.bytes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_VALUES[buf.bytes] * powers(_BASE, n), out=sums[1:])
+    hashes = mix((sums[WINDOW:] - sums[:-WINDOW]) * powers(_INVERSE, n - WINDOW + 1))
+    key = ranks[buf.bins()] << np.uint64(48) | hashes >> np.uint64(16)
+    rarest = np.full(n + RUN, _NONE)
+    rarest[RUN : RUN + len(key)][buf.begins] = key[buf.begins]
+    width = 1
     while width < RUN:  # minimum over RUN windows, by doubling
         rarest = np.minimum(rarest[:-width], rarest[width:])
         width *= 2
-    owner_of_run = owner[: len(rarest)]
-    whole = owner_of_run == owner[RUN - 1 :]
-    rarest, owner_of_run = rarest[whole], owner_of_run[whole]
-    if not len(rarest):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    new = np.append(True, (rarest[1:] != rarest[:-1]) | (owner_of_run[1:] != owner_of_run[:-1]))
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.append(True, rarest[1:] != rarest[:-1]))
     length = np.diff(np.append(first, len(rarest)))
-    taken = first[(length >= POPULAR) & (rarest[first] >> np.uint64(48) < 0xFFFF)]
-    owners, features = owner_of_run[taken], rarest[taken] & np.uint64((1 << 48) - 1)
+    taken = first[(length >= POPULAR) & (rarest[first] != _NONE)]
+    owners = np.searchsorted(buf.ends, taken - RUN, side="right")
+    features = rarest[taken] & np.uint64((1 << 48) - 1)
     pairs = owners.astype(np.uint64) << np.uint64(48) | features
     _, once = np.unique(pairs, return_index=True)
     once.sort()
     return owners[once], features[once]
 
 
-def _short_features(text: bytes) -> np.ndarray:
-    """Short or uniform texts without a selected window: about every fourth window of ``SHORT`` bytes,
-    chosen by its hash, or the text as a whole."""
-    windows = dict.fromkeys(text[i : i + SHORT] for i in range(len(text) - SHORT + 1))
-    hashes = [int.from_bytes(hashlib.blake2b(w, digest_size=6).digest(), "little") for w in windows]
-    chosen = [h for h in hashes if h % 4 == 0]
-    whole = int.from_bytes(hashlib.blake2b(text, digest_size=6).digest(), "little")
-    return np.array(chosen or [whole], np.uint64)
-
-
-def _digest_chunk(texts: list[bytes]) -> list[Digest]:
-    pad = b"\0" * WINDOW
-    buf = np.frombuffer(pad + pad.join(texts) + pad, np.uint8)
-    sizes = np.array([len(t) for t in texts])
-    starts = WINDOW + np.cumsum(sizes + WINDOW) - sizes - WINDOW
-    owner, features = _select(buf, starts, starts + sizes)
-    missing = np.setdiff1d(np.flatnonzero(sizes), owner)
-    if len(missing):
-        short = [_short_features(texts[i]) for i in missing]
-        owner = np.append(owner, np.repeat(missing, [len(f) for f in short]))
-        features = np.append(features, np.concatenate(short))
-        order = np.argsort(owner, kind="stable")
-        owner, features = owner[order], features[order]
+def _digest_run(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
+    owner, features = _select(_Buffer(texts), ranks)
     count = np.bincount(owner, minlength=len(texts))
     filters = -(-count // PER_FILTER)
     base = np.cumsum(filters) - filters
@@ -124,15 +144,9 @@ def _digest_chunk(texts: list[bytes]) -> list[Digest]:
     return [(held[f : f + n], packed[f : f + n]) for f, n in zip(base, filters)]
 
 
-def digest(texts: list[bytes]) -> list[Digest]:
-    out, run, size = [], [], 0
-    for text in texts:
-        run.append(text)
-        size += len(text) + WINDOW
-        if size >= _CHUNK or len(run) == 1 << 14:
-            out += _digest_chunk(run)
-            run, size = [], 0
-    return out + (_digest_chunk(run) if run else [])
+def digest(texts: list[bytes], ranks: np.ndarray) -> list[Digest]:
+    """Fingerprints of ``texts``, with the ranks of the entropy bins."""
+    return [d for run in _runs(texts) for d in _digest_run(run, ranks)]
 
 
 def as_string(d: Digest) -> str:
@@ -173,14 +187,14 @@ RESULT = (
 )
 
 
-def _results(ids: list, texts: list[str], following: list[str], digests=None) -> list[pa.Array]:
+def _results(ids: list, texts: list[str], following: list[str], ranks: np.ndarray, digests=None) -> list[pa.Array]:
     edited = [_edited(t, f).encode() for t, f in zip(texts, following)]
     raw = [t.encode() for t in texts]
-    own = digests or digest(raw)
-    after = own[1:] + digest([following[-1].encode()]) if digests is None and texts else None
+    own = digests or digest(raw, ranks)
+    after = own[1:] + digest([following[-1].encode()], ranks) if digests is None and texts else None
     if after is None or any(f != t for f, t in zip(following[:-1], texts[1:])):
-        after = digest([f.encode() for f in following])
-    changed = digest(edited)
+        after = digest([f.encode() for f in following], ranks)
+    changed = digest(edited, ranks)
     return [
         pa.array(ids, pa.int64()),
         pa.array([len(t) for t in texts], pa.int64()),
@@ -195,16 +209,35 @@ def _results(ids: list, texts: list[str], following: list[str], digests=None) ->
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 
 
+def corpus_ranks(docs: DataFrame) -> np.ndarray:
+    """Ranks of the entropy bins from all windows of all texts. Every task sends on one row per
+    bin, and so many rows reach the driver."""
+
+    def count(batches):
+        counts = np.zeros(_BINS, np.int64)
+        for batch in batches:
+            counts += entropy_counts([t.encode() for t in batch.column(0).fill_null("").to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_BINS)), pa.array(counts)], ["bin", "n"])
+
+    found = map_batches(docs.select("text"), count, "bin long, n long")
+    counts = np.zeros(_BINS, np.int64)
+    for bin_, n in found.groupBy("bin").agg(F.sum("n")).collect():
+        counts[bin_] = n
+    return rarity_ranks(counts)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """A row for every row of ``docs`` (``doc_id, text``); columns as in ``RESULT``.
 
     The edited text has its last quarter of code points replaced by as many from the start of the next
     document by ``doc_id`` (null ids first, equal ids by a hash of the text; the first follows the
-    last). Null text counts as empty, with an empty fingerprint. Other columns are ignored.
+    last). Null text counts as empty, with an empty fingerprint. Other columns are ignored. Fingerprints
+    can be compared within one call, since all texts of ``docs`` decide which entropies are rare.
 
     One range shuffle sorts the documents. A task does all rows but its last, whose next document
     is the first of a later task; those few are written with both ends and done in a second step.
     """
+    ranks = corpus_ranks(docs)
     rows = pack_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     rows = rows.withColumn("tie", F.xxhash64("blob"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -220,7 +253,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             if held:
                 ids, blobs = [held[0], *ids], [held[1], *blobs]
             texts = [unpack(b).decode() for b in blobs]
-            columns = _results(ids[:-1], texts[:-1], texts[1:])
+            columns = _results(ids[:-1], texts[:-1], texts[1:], ranks)
             n = len(ids) - 1
             head = [None] * n
             if not begun and n:
@@ -250,9 +283,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def finish(batches):
         for batch in batches:
             texts, following = ([unpack(b).decode() for b in batch.column(i).to_pylist()] for i in (1, 2))
-            own = digest([t.encode() for t in texts])
+            own = digest([t.encode() for t in texts], ranks)
             yield pa.RecordBatch.from_arrays(
-                _results(batch.column(0).to_pylist(), texts, following, own), NAMES
+                _results(batch.column(0).to_pylist(), texts, following, ranks, own), NAMES
             )
 
     return done.filter("own IS NULL").select(*NAMES).unionByName(map_batches(ends, finish, RESULT))

@@ -1,7 +1,9 @@
 """Every operator against a brute-force version, on small tables with awkward rows."""
 
+import collections
 import hashlib
 import html
+import itertools
 import random
 import re
 
@@ -199,12 +201,73 @@ def test_likeness_separates_edits_from_strangers():
     rnd = random.Random(4)
     texts = [" ".join("".join(rnd.choice("etaoinshr") for _ in range(rnd.randint(2, 9))) for _ in range(600)) for _ in range(8)]
     cut = [t[: len(t) * 3 // 4] + s[: len(t) // 4] for t, s in zip(texts, texts[1:] + texts[:1])]
-    own, changed = (fingerprint.digest([t.encode() for t in part]) for part in (texts, cut))
+    ranks = fingerprint.rarity_ranks(fingerprint.entropy_counts([t.encode() for t in texts]))
+    own, changed = (fingerprint.digest([t.encode() for t in part], ranks) for part in (texts, cut))
     assert all(fingerprint.likeness(a, b) > 0.5 for a, b in zip(own, changed))
     assert all(fingerprint.likeness(a, b) < 0.2 for a, b in zip(own, own[1:]))
     assert fingerprint.likeness(own[0], own[0]) == 1.0
 
 
+def _bin(window):
+    total = sum(round(100 * c * np.log2(c)) for c in collections.Counter(b & 31 for b in window).values())
+    return total >> 4
+
+
+def _plain_features(text, ranks):
+    """Selected windows of one text, by definition."""
+    if not text:
+        return []
+    n = fingerprint.WINDOW
+    windows = [text[i : i + n].ljust(n, b"\0") for i in range(max(1, len(text) - n + 1))]
+    scale = [pow(fingerprint._BASE, j, 1 << 64) for j in range(n)]
+
+    def key(window):
+        total = sum(int(fingerprint.BYTE_VALUES[b]) * k for b, k in zip(window, scale)) % (1 << 64)
+        return int(ranks[_bin(window)]) << 48 | int(fingerprint.mix(np.array([total], np.uint64))[0]) >> 16
+
+    keys = [key(w) for w in windows]
+    runs = [min(keys[max(0, i) : i + fingerprint.RUN]) for i in range(1 - fingerprint.RUN, len(keys))]
+    taken = [k & (1 << 48) - 1 for k, g in itertools.groupby(runs) if len(list(g)) >= fingerprint.POPULAR]
+    return list(dict.fromkeys(taken))
+
+
+def test_fingerprints_equal_their_definition():
+    rnd = random.Random(5)
+    sizes = [0, 1, 7, 23, 24, 25, 60, 100, 150, 400, 1500, 9000]
+    texts = [bytes(rnd.choice(b"etaoin shrdlu.\n\xc3\xa9") for _ in range(n)) for n in sizes]
+    texts += [b"", b"a" * 500, b"01" * 300, texts[9], b"\0" * 90, b"", "äöü 漢字 ".encode() * 40, texts[10] * 30]
+    counts = fingerprint.entropy_counts(texts)
+    plain = np.zeros(len(counts), int)
+    for t in filter(None, texts):
+        for i in range(max(1, len(t) - fingerprint.WINDOW + 1)):
+            plain[_bin(t[i : i + fingerprint.WINDOW].ljust(fingerprint.WINDOW, b"\0"))] += 1
+    assert (counts == plain).all()
+    ranks = fingerprint.rarity_ranks(counts)
+    assert len(set(ranks[: fingerprint._LOW])) == fingerprint._LOW
+    digests = fingerprint.digest(texts, ranks)
+    for text, (held, filters) in zip(texts, digests):
+        features = _plain_features(text, ranks)
+        assert bool(text) == bool(features) and held.sum() == len(features)
+        for row, at in zip(filters, range(0, len(features), fingerprint.PER_FILTER)):
+            part = fingerprint.mix(np.array(features[at : at + fingerprint.PER_FILTER], np.uint64))
+            bits = {int(h) >> 11 * k & fingerprint.BITS - 1 for h in part for k in range(fingerprint.PROBES)}
+            assert set(np.flatnonzero(np.unpackbits(row.view(np.uint8)))) == bits
+    # where a text lies in the buffer does not matter
+    alone = [fingerprint.as_string(fingerprint.digest([t], ranks)[0]) for t in texts]
+    assert alone == [fingerprint.as_string(d) for d in digests]
+
+
+def test_likeness_does_not_depend_on_size():
+    rnd = random.Random(6)
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 9))) for _ in range(900)]
+    whole = [" ".join(rnd.choice(words) for _ in range(200)).encode() for _ in range(60)]
+    ranks = fingerprint.rarity_ranks(fingerprint.entropy_counts(whole))
+    for n in (100, 150, 250, 500):
+        short, longer = (fingerprint.digest([t[:m] for t in whole], ranks) for m in (n, 2 * n))
+        found = [fingerprint.likeness(a, b) for a, b in zip(short, longer)]
+        assert np.mean(found) > 0.5 and np.mean([f == 0 for f in found]) < 0.1
+
+
 def test_page_text(spark):
     frame = "<nav><a>Home</a></nav><div>Site motto</div>"
     made = [
