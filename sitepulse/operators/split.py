@@ -1,4 +1,8 @@
-"""Training rows and their assignment to splits and folds."""
+"""Training rows and their assignment to splits and folds.
+
+Rows have one ``site_id`` and ``hour`` each. Splits evaluate their input twice, once for the sizes of key
+groups; write an input that is costly first.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import defaults
-from .ranks import with_row_index
+from .ranks import with_key_index
 
 INDEX, TOTAL = "row_index", "row_total"
 TIME_ORDER = ("hour", "site_id")
 SITE_ORDER = ("site_id", "hour")
+SITES_IN_GROUP = 4096
+
+
+def in_time_order(rows: DataFrame) -> DataFrame:
+    """``row_index`` and ``row_total`` by hour and site, counted by hour and run of sites."""
+    sites = F.floor(F.col("site_id") / SITES_IN_GROUP)
+    return with_key_index(rows, F.col("hour"), sites, *TIME_ORDER)
+
+
+def in_site_order(rows: DataFrame) -> DataFrame:
+    """``row_index`` and ``row_total`` by site and hour, counted by site and month."""
+    return with_key_index(rows, F.col("site_id"), F.date_trunc("month", "hour"), *SITE_ORDER)
 
 
 def _three_way(n_test: Column, n_val: Column) -> Column:
@@ -27,12 +43,9 @@ def time_split(
     test_size: float = defaults.TEST_SIZE,
     validation_size: float = defaults.VALIDATION_SIZE,
 ) -> DataFrame:
-    """Oldest rows to ``train``, then ``validation``, newest to ``test``; sizes round down.
-
-    The rows come back written in time order, so a filter on ``hour`` skips row groups.
-    """
+    """Oldest rows to ``train``, then ``validation``, newest to ``test``; sizes round down."""
     share = [F.floor(F.col(TOTAL) * F.lit(s)) for s in (test_size, validation_size)]
-    return with_row_index(rows, *TIME_ORDER).withColumn("split", _three_way(*share))
+    return in_time_order(rows).withColumn("split", _three_way(*share))
 
 
 def random_split(
@@ -49,14 +62,15 @@ def random_split(
     hashed = rows.withColumn("_hash", F.md5(key))
     n_test = F.ceil(F.col(TOTAL) * F.lit(test_size))
     n_val = F.ceil((F.col(TOTAL) - n_test) * F.lit(validation_size / (1 - test_size)))
-    indexed = with_row_index(hashed, "_hash", *TIME_ORDER)
+    groups = F.substring("_hash", 1, 4), F.substring("_hash", 5, 1)
+    indexed = with_key_index(hashed, *groups, "_hash", *TIME_ORDER)
     return indexed.withColumn("split", _three_way(n_test, n_val)).drop("_hash")
 
 
 def baseline_split(rows: DataFrame, train_size: float = 0.9) -> DataFrame:
     """First part of the rows in site and hour order to ``train``, the rest to ``test``."""
     n_train = F.floor(F.col(TOTAL) * F.lit(train_size))
-    return with_row_index(rows, *SITE_ORDER).withColumn(
+    return in_site_order(rows).withColumn(
         "split", F.when(F.col(INDEX) < n_train, "train").otherwise("test")
     )
 

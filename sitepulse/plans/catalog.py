@@ -418,8 +418,7 @@ def q_baseline_split(spark, sf_dir):
 
 
 def q_ts_folds(spark, sf_dir):
-    indexed = split.with_row_index(split_keys(spark, sf_dir), *split.TIME_ORDER)
-    return split.fold_summary(indexed)
+    return split.fold_summary(split.in_time_order(split_keys(spark, sf_dir)))
 
 
 def q_align_features(spark, sf_dir):

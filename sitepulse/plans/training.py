@@ -22,6 +22,7 @@ from ..operators.features import (
 )
 from ..operators.hourly import aggregate_hourly
 from ..operators.quality import drop_incomplete
+from ..session import materialize
 from ..sources.reports import RESULT_SCHEMA, save_named_model, save_training_results
 from . import model as forecast
 from .model import BoostedModel
@@ -55,9 +56,10 @@ def prepare_data(
     """Training rows with their ``split`` and the names of the model features."""
     rows = training_rows(sessions, chunk_rows)
     names = available_features(rows)
-    rows = rows.select("site_id", "hour", forecast.LABEL, *names)
+    rows = materialize(rows.select("site_id", "hour", forecast.LABEL, *names), "rows")
     divide = split.time_split if time_based_split else split.random_split
-    return divide(rows, test_size, validation_size), names
+    # bins, fits and scores each read parts of it
+    return materialize(divide(rows, test_size, validation_size), "split"), names
 
 
 def _part(rows: DataFrame, name: str) -> DataFrame:
@@ -169,6 +171,6 @@ def baseline_fit(
     """The baseline model on the first 90 % of rows, and its metrics on the rest."""
     names = list(defaults.BASELINE_FEATURES)
     rows = baseline_rows(sessions).select("site_id", "hour", forecast.LABEL, *names)
-    parts = split.baseline_split(rows)
+    parts = materialize(split.baseline_split(materialize(rows, "rows")), "split")
     model = forecast.fit(_part(parts, "train"), names, n_estimators=n_estimators, **params)
     return model, forecast.evaluate(model, _part(parts, "test"))

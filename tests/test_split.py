@@ -30,6 +30,26 @@ def test_row_index_equals_the_global_order(spark, crowded, order):
     assert list(ranked["row_index"]) == list(range(541))
 
 
+@pytest.mark.parametrize("index", [split.in_time_order, split.in_site_order])
+def test_key_index_equals_the_global_order(spark, crowded, index, monkeypatch):
+    monkeypatch.setattr(split, "SITES_IN_GROUP", 64)
+    start = datetime(2024, 2, 1)
+    odd = [(None, start, 0.0), (None, None, 0.0), (4, None, 0.0), (5, None, 0.0), (-70, start, 0.0), (4, start, 0.0)]
+    rows = crowded.union(spark.createDataFrame(odd, SCHEMA))
+    order = split.TIME_ORDER if index is split.in_time_order else split.SITE_ORDER
+    got = [(tuple(r[c] for c in order), r.row_index, r.row_total) for r in index(rows).collect()]
+    got.sort(key=lambda r: [(v is not None, v) if v is not None else (False,) for v in r[0]])
+    assert [r[1] for r in got] == list(range(547)) and {r[2] for r in got} == {547}
+    assert index(rows.limit(0)).count() == 0
+
+
+def test_splits_neither_sort_all_rows_nor_write_them(crowded, capsys):
+    for divide in (split.time_split, split.random_split, split.baseline_split):
+        divide(crowded).explain("formatted")
+        plan = capsys.readouterr().out
+        assert "rangepartitioning" not in plan and "parquet" not in plan.lower()
+
+
 def test_a_crowded_hour_is_spread_over_tasks(spark, crowded):
     from sitepulse.operators.ranks import write_sorted
 
