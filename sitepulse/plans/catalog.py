@@ -15,6 +15,7 @@ from ..functions.metrics import METRICS, regression_metrics
 from ..operators import drift, enrich, features, performance, profile, quality, rollups, split
 from ..operators import requests as request_ops
 from ..operators.hourly import aggregate_hourly, data_summary, latest_hour
+from ..operators.ranks import with_row_index
 from ..session import shared_dir
 from ..sources import hourly_store, reports
 from ..sources.event_log import EVENT_SCHEMA, sessions_from_events
@@ -418,7 +419,8 @@ def q_baseline_split(spark, sf_dir):
 
 
 def q_ts_folds(spark, sf_dir):
-    return split.fold_summary(split.in_time_order(split_keys(spark, sf_dir)))
+    indexed = with_row_index(split_keys(spark, sf_dir), *split.TIME_ORDER)
+    return split.fold_summary(indexed)
 
 
 def q_align_features(spark, sf_dir):
