@@ -20,6 +20,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 FAN = 64
+COPIES = 4096  # repeated rows that are numbered in one step
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -66,9 +67,24 @@ def source_targets(units: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with a number ``no`` among their equals.
+
+    Equal rows are counted before the shuffle and written out again by number, first in runs of
+    ``COPIES`` that are dealt to all tasks, so any number of them is spread and numbers do not depend on
+    where a row was read.
+    """
+    names = rows.columns
+    counted = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    runs = counted.select(*names, "n", F.explode(F.expr(f"sequence(0, (n - 1) div {COPIES})")).alias("run"))
+    dealt = runs.repartition(F.xxhash64(*[F.col(c) for c in names], "run"))
+    first = F.col("run") * COPIES
+    return dealt.select(*names, F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)).alias("no"))
+
+
 def _chance(a: Column, b: Column) -> Column:
     """A number in [0, 1) that depends on the two documents only, so that reruns agree."""
-    bits = F.xxhash64(a["doc_id"], a["fp"], b["doc_id"], b["fp"], F.lit("pivot"))
+    bits = F.xxhash64(*[u[c] for u in (a, b) for c in ("doc_id", "fp", "no")], F.lit("pivot"))
     return F.pmod(bits, F.lit(1 << 52)) / float(1 << 52)
 
 
@@ -120,7 +136,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         "source",
         text_size(F.col("text")).alias("size"),
     )
-    units = materialize(units, "units")
+    units = materialize(_numbered(units), "units")
     targets = materialize(source_targets(units), "targets")
     wanted = targets.withColumnRenamed("source", "_source")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -130,13 +146,13 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         .withColumn("whole", F.floor("expected"))
         .withColumn("mass", (F.col("expected") - F.col("whole")) * F.col("size"))
     )
-    fields = ["doc_id", "fp", "size", "source_size", "target", "whole"]
+    fields = ["doc_id", "fp", "no", "size", "source_size", "target", "whole"]
     is_open = (F.col("mass") > 0) & (F.col("mass") < F.col("size"))
     settled = rows.filter(~is_open).withColumn("mass", F.lit(0.0)).select(*fields, "mass")
     buckets = F.ceil(F.col("n_docs") / FAN)
     level = rows.filter(is_open).select(
         "source",
-        F.pmod(F.xxhash64("doc_id", "fp"), buckets).alias("bucket"),
+        F.pmod(F.xxhash64("doc_id", "fp", "no"), buckets).alias("bucket"),
         F.struct(*fields, "mass").alias("unit"),
     )
     unit_type = level.schema["unit"].dataType.simpleString()

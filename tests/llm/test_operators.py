@@ -208,6 +208,25 @@ def test_likeness_separates_edits_from_strangers():
     assert fingerprint.likeness(own[0], own[0]) == 1.0
 
 
+def test_many_repeated_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 256)
+    same = spark.range(30000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit(None).cast("string").alias("source")
+    )
+    other = spark.range(9).select("id", F.lit("some more words").alias("text"), F.lit("s").alias("source"))
+    docs = same.union(other)
+    numbered = mixing._numbered(docs).groupBy("doc_id", "text", "source").agg(
+        F.count("no"), F.countDistinct("no"), F.min("no"), F.max("no")
+    )
+    assert sorted(tuple(r)[3:] for r in numbered.collect() if r.doc_id is None) == [(30000, 30000, 0, 29999)]
+    mixed = mixing.mix_sources(docs).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")
+    )
+    found = {r.doc_id: r for r in mixed.collect()}
+    assert found[None].n == 30000 and len(found) == 10
+    assert abs(found[None].taken - found[None].target) <= 3 and found[None].most <= 2
+
+
 def _bin(window):
     total = sum(round(100 * c * np.log2(c)) for c in collections.Counter(b & 31 for b in window).values())
     return total >> 4
