@@ -55,6 +55,8 @@ _ATTRIBUTE = re.compile(
     r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|([^\s>]*+)))?+"
 )
 _BETWEEN = re.compile(r"[\s/]*+")
+# only A-Z count as capital letters
+_CLOSING = {tag: re.compile(rf"</{tag}(?=[>/ \t\n\r\f]|\Z)", re.ASCII | re.IGNORECASE) for tag in RAW | HIDDEN}
 
 
 def _attributes(page: str, at: int) -> tuple[dict[str, str], int]:
@@ -75,7 +77,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
     Comments, declarations and the contents of raw and hidden elements are left out. As in HTML a tag, a comment
     or a raw element that never ends takes the rest of the page with it; a hidden element that never ends is ignored.
     """
-    at, size, low = 0, len(page), None
+    at, size = 0, len(page)
     endless: set[str] = set()  # hidden elements that do not end any more
     while at < size:
         begin = page.find("<", at)
@@ -109,13 +111,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
         if closing or page[end - 1] == "/" and tag in HIDDEN:
             yield "/", tag, {}
         elif tag in RAW or tag in HIDDEN and tag not in endless:
-            if low is None:
-                low = page.translate(_LOWER)
-            end = low.find(f"</{tag}", at)
-            while end >= 0 and low[end + len(tag) + 2 : end + len(tag) + 3] not in _ENDS:
-                end = low.find(f"</{tag}", end + 1)
-            if end >= 0:
-                at = end
+            end = _CLOSING[tag].search(page, at)
+            if end:
+                at = end.start()
             elif tag in RAW:
                 return
             else:
@@ -124,10 +122,6 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
             yield "<", tag, attributes
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}  # keeps the length, unlike ``str.lower``
-_ENDS = ("", ">", "/", " ", "\t", "\n", "\r", "\f")
-
-
 def _names_frame(attributes: dict[str, str]) -> bool:
     """Is a whole word of ``class``, ``id`` or ``role`` a name of frame?"""
     words = " ".join(attributes.get(n, "") for n in ("class", "id", "role"))

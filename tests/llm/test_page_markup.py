@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from sitepulse.llm.page_text import _by_bits, _by_pairs, common_lines, line_key, main_text, page_lines
+from sitepulse.llm.page_text import _by_bits, _by_pairs, common_lines, line_key, main_text, page_lines, tokens
 
 
 @pytest.mark.parametrize(
@@ -77,3 +77,19 @@ def test_comparison_decides_without_an_article():
     page = "<div class='search results'><p>shared</p><p>own words</p></div>"
     assert main_text(page, [line_key("shared")]) == "own words"
     assert {zone for _, zone in page_lines(page)} == {"named 1"}
+
+
+def test_a_script_costs_no_pass_over_the_page():
+    """Capital letters of closing tags are looked for where the element is; folding the page took seconds here."""
+    page = "<sCript>x</SCRIPT>" + "é" * 8_000_000
+    taken = []
+    for _ in range(3):
+        begin = time.process_time()
+        assert [text for kind, text, _ in tokens(page) if not kind] == [page[18:]]
+        taken.append(time.process_time() - begin)
+    assert min(taken) < 0.3
+
+
+def test_only_capitals_of_ascii_close():
+    assert main_text("<script>a</\u017fcript>b</SCRIPT\x0cx>c", []) == "c"
+    assert main_text("<title>a</T\u0130TLE>b</titles>c</Title/>d", []) == "d"
