@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -254,3 +255,25 @@ def test_windows_keep_short_documents_whole(spark):
 def test_windows_empty(spark, docs):
     assert windows.pack_windows(docs.limit(0)).count() == 0
     assert windows.pack_windows(docs.filter("doc_id = 2001")).select(F.hex("ids")).first()[0] == "02000000"
+
+
+def encoded(texts):
+    encoder = windows.UnitIds(windows.TOKENIZER)
+    found = [ids.tolist() for ids in encoder.encode(pa.array(texts, pa.large_string()))]
+    library = Tokenizer.from_file(windows.TOKENIZER).encode_batch(texts, add_special_tokens=False)
+    assert found == [[*text.ids, windows.END] for text in library]
+    return encoder
+
+
+def test_spellings_and_signs_share_a_unit():
+    """Each is encoded once, whatever signs follow it and in whatever letters of Latin-1 it is written."""
+    assert set(encoded(["r\u00e9r\u00e9, R\u00c9R\u00c9! r\u00e9r\u00e9$$$ R\u00e9r\u00e9,### the&&& THE"])) == {
+        "r\u00e9r\u00e9", "the", "", ",", "!", "$$$", ",###", "&&&",
+    }
+
+
+def test_ids_of_odd_words_are_those_of_the_library():
+    parts = [*"aesABZ0\u00c9\u00e9\u00df\u00fc\u00ff\u00d7\u00f7\u00b5\u00aa\u0130\u0131\u017f\u212a\u03a3\u03c3\u0416\u0439\u0301\u0338\u0307\u02bc\u2019\u4e2d"]
+    parts += [*" .,;:!?$#&'()*-<=>|~\u00a0\u0085\u00ad", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "'s", "'LL", "\U0001f600"]
+    rnd = random.Random(9)
+    encoded(["".join(rnd.choices(parts, k=rnd.randint(0, 20))) for _ in range(5000)])
